@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm.jaccard import jaccard_components
+from larkspur.llm.packing import pack_documents
 from larkspur.llm.substring import remove_repeats
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -20,5 +29,15 @@ def op4_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), window=13)
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_recompression,)}
+def op3_packing_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens: one row per piece."""
+    return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
+
+
+def op8_ngram_jaccard_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have Jaccard 0.85 or more."""
+    return jaccard_components(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op3_packing_swap_search, op4_substring_recompression, op8_ngram_jaccard_product)}
 ORACLES: dict[str, str] = {}

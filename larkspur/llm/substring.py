@@ -14,13 +14,14 @@ which something is left gives the window's high-level symbol. Equal windows have
    (`verification`),
 3. chunks remove the covered words.
 
-One exchange of the texts serves the three steps. A passage that a third of all documents hold costs one entry per chunk.
+Copies of an earlier word sequence lose all their words and take no part in this. One exchange of the texts serves the three steps. A passage that a third of all documents hold costs one entry per chunk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,10 +128,31 @@ KEYS = np.dtype([("k", "<u8"), ("many", "u1")])
 WIN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("many", "u1")])
 
 
+def _sequences(batches):
+    """doc_id, words, and a 128-bit hash of the word sequence of each document."""
+    for batch in batches:
+        ids, n_words, a_, b_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)]
+        for own, _, _, s, _, first, h in _parsed(pa.Table.from_batches([batch]), 0):
+            ids.append(own)
+            n_words.append(np.diff(first))
+            place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+            for out, seed in ((a_, 5), (b_, 6)):
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(K.mix(h, seed) * K.powers(K.Q1, int(place.max(initial=0)) + 1)[place], dtype=U)])
+                out.append(K.mix(sums[first[1:]] - sums[first[:-1]]))
+        cols = [np.concatenate(x) for x in (ids, n_words, a_, b_)]
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["doc_id", "n", "a", "b"])
+
+
+def _without(docs: pa.Table, copies: pa.Table) -> pa.Table:
+    """The documents that are no copies of an earlier one."""
+    gone = copies["copy"].drop_null()
+    return docs.filter(pc.invert(pc.is_in(docs["doc_id"], gone))) if docs.num_rows and len(gone) else docs
+
+
 def _send_symbols(window: int, buckets: int):
-    def send(docs: pa.Table) -> pa.Table:
-        chunk, keys, owner = docs["chunk"][0].as_py(), [], []
-        for ids, _, _, _, _, first, h in _parsed(docs, window):
+    def send(docs: pa.Table, copies: pa.Table) -> pa.Table:
+        chunk, keys, owner = docs["chunk"][0].as_py() if docs.num_rows else 0, [], []
+        for ids, _, _, _, _, first, h in _parsed(_without(docs, copies), window):
             start, row, symbol = window_symbols(h, first, window)
             u, inverse = np.unique(symbol, return_inverse=True)
             pair = np.unique(inverse.astype(np.int64) * len(ids) + row)  # distinct (symbol, document)
@@ -166,7 +188,7 @@ def _send_windows(window: int, buckets: int):
         out = []
         shared = np.sort(S.joined(answer["shared"], "<u8")[0])
         if docs.num_rows and len(shared):
-            for ids, _, _, _, _, first, h in _parsed(docs, window):
+            for ids, _, _, _, _, first, h in _parsed(_without(docs, answer), window):
                 start, row, symbol = window_symbols(h, first, window)
                 keep = shared[np.minimum(np.searchsorted(shared, symbol), len(shared) - 1)] == symbol
                 w = np.empty(int(keep.sum()), WIN)
@@ -214,6 +236,7 @@ def _remove(window: int, texts: bool):
         earlier, _ = S.joined(answer["earlier"], WIN)
         earlier = earlier[np.argsort(earlier["a"], kind="stable")]
         ea, eb, ed = (np.ascontiguousarray(earlier[c]) for c in ("a", "b", "doc"))
+        copies = answer["copy"].drop_null().to_numpy()
         ids_, n_words, n_removed, sha, kept = [], [], [], [], []
         for ids, d, _, s, e, first, h in _parsed(docs, window) if docs.num_rows else ():
             gone = np.zeros(len(h), bool)
@@ -229,6 +252,8 @@ def _remove(window: int, texts: bool):
                 np.add.at(cover, bad, 1)
                 np.add.at(cover, bad + window, -1)
                 gone = np.cumsum(cover[:-1]) > 0
+            if len(copies):
+                gone |= np.repeat(np.isin(ids, copies) & (np.diff(first) >= window), np.diff(first))
             raw = d.tobytes()
             for r in range(len(ids)):
                 x, y = int(first[r]), int(first[r + 1])
@@ -258,10 +283,21 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, chunk
     rows, size = S.text_bytes(docs)
     chunks = S.parts(size, chunk_bytes)
     buckets = S.parts(size, S.BUCKET_BYTES)
+    same = docs.select("doc_id", "text").mapInArrow(_sequences, "doc_id long, n long, a long, b long")
+    same = S.kept(same.where(f"n >= {window}"), "sequences")
+    least = same.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    copies = same.join(least, ["n", "a", "b"]).where("doc_id > least").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").alias("copy"))
+    copies = S.kept(copies, "copies")
+    none = F.lit(None)
     dealt = S.chunked(docs, chunks, "doc_id", "text")
     by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.applyInArrow(_send_symbols(window, buckets), "bucket int, chunk int, keys binary")
+
+    def with_copies(answer: DataFrame, column: str):
+        told = answer.withColumn("copy", none.cast("long"))
+        return told.unionByName(copies.withColumn(column, none.cast("binary"))).groupBy("chunk")
+
+    sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_send_symbols(window, buckets), "bucket int, chunk int, keys binary")
     shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_symbols, "chunk int, shared binary")
-    wins = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_send_windows(window, buckets), "bucket int, chunk int, windows binary")
+    wins = by_chunk.cogroup(with_copies(shared, "shared")).applyInArrow(_send_windows(window, buckets), "bucket int, chunk int, windows binary")
     first = wins.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_first_documents, "chunk int, earlier binary")
-    return by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_remove(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return by_chunk.cogroup(with_copies(first, "earlier")).applyInArrow(_remove(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
