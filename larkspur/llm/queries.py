@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.functions.ship import ship
+from larkspur.llm import langid, quality
+from larkspur.llm.caps import near_duplicates
 from larkspur.llm.jaccard import jaccard_components
 from larkspur.llm.packing import pack_documents
+from larkspur.llm.pivots import top_k
 from larkspur.llm.substring import remove_repeats
 
 
@@ -17,10 +21,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
@@ -39,5 +45,32 @@ def op8_ngram_jaccard_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing_swap_search, op4_substring_recompression, op8_ngram_jaccard_product)}
+def op6_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    learn = docs.where(~langid.held_out()).join(labels, "doc_id")
+    model = quality.fit(learn)
+    return quality.score(docs.withColumn("held_out", langid.held_out()), model, keep=("held_out",))
+
+
+def op7_topk_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 other vectors of largest integer inner product for every 20th vector."""
+    return top_k(embeddings(spark, sf_dir), every=20, k=20, scale=64.0)
+
+
+def op9_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between embeddings, and their components."""
+    return near_duplicates(embeddings(spark, sf_dir), cos=0.9)
+
+
+def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows outside the held-out fold."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), model, keep=("held_out",))
+
+
+_ALL = (op3_packing_swap_search, op4_substring_recompression, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
