@@ -100,3 +100,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
             break
         pairs = nxt
     return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def key_bytes(items: int) -> int:
+    """Bytes of a hash by which about 1 of 2**16 unlike items among so many meets another: enough for a first sieve."""
+    return min(8, max(2, -(-(int(items).bit_length() + 17) // 8)))
+
+
+def narrow(key: np.ndarray, width: int) -> np.ndarray:
+    """The upper `width` bytes of each 64-bit key, the lowest bit cleared for a flag."""
+    return (key >> np.uint64(64 - 8 * width)) & ~np.uint64(1)
+
+
+def narrow_blob(key: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.ascontiguousarray(key, "<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def joined_narrow(col, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As joined(), of keys written by narrow_blob."""
+    flat, counts = joined(col, np.uint8)
+    out = np.zeros((len(flat) // width, 8), np.uint8)
+    out[:, :width] = flat.reshape(-1, width)
+    return out.view("<u8").ravel(), counts // width

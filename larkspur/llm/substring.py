@@ -8,7 +8,7 @@ get the same symbols inside, whatever stands around them; only at the two edges
 For each window of `window` words we follow the part of the parse that the window alone determines. The last round in
 which something is left gives the window's high-level symbol. Equal windows have equal symbols there, so
 
-1. each chunk of documents sends its distinct high-level symbols, 8 bytes each, to buckets by symbol; a symbol found
+1. each chunk of documents sends its distinct high-level symbols, a few bytes of each, to buckets by symbol; a symbol found
    twice goes back to the chunks that hold it (`shared symbols`),
 2. chunks send 128-bit hashes of only those windows whose symbol is shared; buckets find the smallest document of each
    (`verification`),
@@ -124,7 +124,6 @@ def _least(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return k[at], v[at], v[at] != v[last]
 
 
-KEYS = np.dtype([("k", "<u8"), ("many", "u1")])
 WIN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("many", "u1")])
 
 
@@ -149,7 +148,7 @@ def _without(docs: pa.Table, copies: pa.Table) -> pa.Table:
     return docs.filter(pc.invert(pc.is_in(docs["doc_id"], gone))) if docs.num_rows and len(gone) else docs
 
 
-def _send_symbols(window: int, buckets: int):
+def _send_symbols(window: int, buckets: int, width: int):
     def send(docs: pa.Table, copies: pa.Table) -> pa.Table:
         chunk, keys, owner = docs["chunk"][0].as_py() if docs.num_rows else 0, [], []
         for ids, _, _, _, _, first, h in _parsed(_without(docs, copies), window):
@@ -160,36 +159,37 @@ def _send_symbols(window: int, buckets: int):
             owner.append(ids[pair % max(len(ids), 1)])
         k, _, many = _least(np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, U), None, np.zeros(0, bool))
         order, got, at = S.by_bucket(k, buckets)
-        out = np.empty(len(k), KEYS)
-        out["k"], out["many"] = k[order], many[order]
+        out = S.narrow_blob(S.narrow(k[order], width) | many[order].astype(U), width)
         return S.table(bucket=pa.array(got, pa.int32()), chunk=pa.array([chunk] * len(got), pa.int32()), keys=S.blobs([out[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]))
 
     return send
 
 
-def _shared_symbols(sent: pa.Table) -> pa.Table:
-    """Symbols of two documents or more, for each chunk that holds them."""
-    got, counts = S.joined(sent["keys"], KEYS)
-    chunk = np.repeat(sent["chunk"].to_numpy(), counts)
-    order = np.argsort(got["k"], kind="stable")
-    k, many, chunk = got["k"][order], got["many"][order].astype(bool), chunk[order]
-    new = np.append(True, k[1:] != k[:-1])
-    group = np.cumsum(new) - 1
-    shared = (np.bincount(group) > 1) | (np.bincount(group, weights=many) > 0)
-    keep = shared[group]
-    k, chunk = k[keep], chunk[keep]
-    order = np.argsort(chunk, kind="stable")
-    own, at = np.unique(chunk[order], return_index=True)
-    return S.table(chunk=pa.array(own, pa.int32()), shared=S.blobs(np.split(k[order], at[1:]) if len(own) else []))
+def _shared_symbols(width: int):
+    def match(sent: pa.Table) -> pa.Table:
+        """Symbols of two documents or more, for each chunk that holds them."""
+        got, counts = S.joined_narrow(sent["keys"], width)
+        chunk = np.repeat(sent["chunk"].to_numpy(), counts)
+        order = np.argsort(got, kind="stable")
+        k, many, chunk = got[order] & ~U(1), got[order] & U(1), chunk[order]
+        group = np.cumsum(np.append(True, k[1:] != k[:-1])) - 1 if len(k) else np.zeros(0, np.int64)
+        keep = ((np.bincount(group) > 1) | (np.bincount(group, weights=many) > 0))[group] if len(k) else np.zeros(0, bool)
+        k, chunk = k[keep], chunk[keep]
+        order = np.argsort(chunk, kind="stable")
+        own, at = np.unique(chunk[order], return_index=True)
+        return S.table(chunk=pa.array(own, pa.int32()), shared=S.blobs([S.narrow_blob(x, width) for x in np.split(k[order], at[1:])] if len(own) else []))
+
+    return match
 
 
-def _send_windows(window: int, buckets: int):
+def _send_windows(window: int, buckets: int, width: int):
     def send(docs: pa.Table, answer: pa.Table) -> pa.Table:
         out = []
-        shared = np.sort(S.joined(answer["shared"], "<u8")[0])
+        shared = np.sort(S.joined_narrow(answer["shared"], width)[0])
         if docs.num_rows and len(shared):
             for ids, _, _, _, _, first, h in _parsed(_without(docs, answer), window):
                 start, row, symbol = window_symbols(h, first, window)
+                symbol = S.narrow(symbol, width)
                 keep = shared[np.minimum(np.searchsorted(shared, symbol), len(shared) - 1)] == symbol
                 w = np.empty(int(keep.sum()), WIN)
                 w["a"], w["b"] = _window_hashes(h, start[keep], window)
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, chunk
     """
     rows, size = S.text_bytes(docs)
     chunks = S.parts(size, chunk_bytes)
-    buckets = S.parts(size, S.BUCKET_BYTES)
+    buckets, width = S.parts(size, S.BUCKET_BYTES), S.key_bytes(size)
     same = docs.select("doc_id", "text").mapInArrow(_sequences, "doc_id long, n long, a long, b long")
     same = S.kept(same.where(f"n >= {window}"), "sequences")
     least = same.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
@@ -296,8 +296,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, chunk
         told = answer.withColumn("copy", none.cast("long"))
         return told.unionByName(copies.withColumn(column, none.cast("binary"))).groupBy("chunk")
 
-    sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_send_symbols(window, buckets), "bucket int, chunk int, keys binary")
-    shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_symbols, "chunk int, shared binary")
-    wins = by_chunk.cogroup(with_copies(shared, "shared")).applyInArrow(_send_windows(window, buckets), "bucket int, chunk int, windows binary")
+    sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_send_symbols(window, buckets, width), "bucket int, chunk int, keys binary")
+    shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_symbols(width), "chunk int, shared binary")
+    wins = by_chunk.cogroup(with_copies(shared, "shared")).applyInArrow(_send_windows(window, buckets, width), "bucket int, chunk int, windows binary")
     first = wins.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_first_documents, "chunk int, earlier binary")
     return by_chunk.cogroup(with_copies(first, "earlier")).applyInArrow(_remove(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
