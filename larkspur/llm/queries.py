@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.functions.ship import ship
-from larkspur.llm import langid, quality
+from larkspur.llm import langid, pii, quality
 from larkspur.llm.caps import near_duplicates
 from larkspur.llm.jaccard import jaccard_components
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.pivots import top_k
+from larkspur.llm.runindex import remove_matches
 from larkspur.llm.substring import remove_repeats
 
 
@@ -35,6 +36,11 @@ def op4_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), window=13)
 
 
+def op2_pii_bootstrapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: seed spans by fixed patterns, more by contexts learned from them."""
+    return pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_packing_swap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens: one row per piece."""
     return pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
@@ -45,6 +51,11 @@ def op8_ngram_jaccard_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=4, num=85, den=100)
 
 
+def op5_suffix_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed because a 100-byte string around them starts earlier in the corpus: one row per document."""
+    return remove_matches(documents(spark, sf_dir), window=100)
+
+
 def op6_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learned from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -71,6 +82,6 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), model, keep=("held_out",))
 
 
-_ALL = (op3_packing_swap_search, op4_substring_recompression, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
+_ALL = (op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
