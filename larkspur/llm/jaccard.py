@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,13 +66,18 @@ def _sets(docs: pa.Table, n: int, wanted: np.ndarray | None = None):
         yield (ids[i:j], *shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], n))
 
 
+def _set_hashes(v: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each row's set."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(K.mix(v, seed), dtype=U)])
+    return K.mix(sums[off[1:]] - sums[off[:-1]])
+
+
 def _sign(n: int):
     def sign(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             for ids, v, off in _sets(t, n):
-                sums = np.concatenate([np.zeros((2, 1), U), np.cumsum(np.stack([K.mix(v, 3), K.mix(v, 4)]), axis=1, dtype=U)], axis=1)
-                a, b = K.mix(sums[0][off[1:]] - sums[0][off[:-1]]).view(np.int64), K.mix(sums[1][off[1:]] - sums[1][off[:-1]]).view(np.int64)
+                a, b = _set_hashes(v, off, 3).view(np.int64), _set_hashes(v, off, 4).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off)), pa.array(a), pa.array(b)], ["doc_id", "n", "a", "b"])
                 u, c = np.unique(v, return_counts=True)
                 common = c >= max(4, len(ids) // 200)
@@ -85,15 +91,15 @@ def least_overlap(na, nb, num: int, den: int):
     return -(-num * (na + nb) // (num + den))
 
 
-PRE = np.dtype([("k", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+PRE = np.dtype([("k", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 PAIR = "u long, v long, nu int, nv int, c long, iu int, iv int"
 
 
-def _send_prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray):
-    def send(docs: pa.Table, reps: pa.Table) -> pa.Table:
-        out, chunk = [], 0
-        if docs.num_rows and reps.num_rows:
-            for ids, v, off in _sets(docs, n, reps["rep"].to_numpy()):
+def _prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray):
+    def send(batches):
+        for batch in batches:
+            out = []
+            for ids, v, off in _sets(pa.Table.from_batches([batch]), n):
                 row, size = K.row_of(off, len(v)), np.diff(off)
                 late = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v if len(last) else np.zeros(len(v), bool)
                 order = np.lexsort((v, late, row))
@@ -101,11 +107,12 @@ def _send_prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray):
                 keep = pos < (size - -(-num * size // den) + 1)[row]
                 p = np.empty(int(keep.sum()), PRE)
                 p["k"], p["doc"], p["n"], p["pos"] = v[order][keep], ids[row[keep]], size[row[keep]], pos[keep]
+                p["set"] = _set_hashes(v, off, 3)[row[keep]]
                 out.append(p)
-        p = np.concatenate(out) if out else np.zeros(0, PRE)
-        order, got, at = S.by_bucket(p["k"], buckets)
-        p = p[order]
-        return S.table(bucket=pa.array(got, pa.int32()), entries=S.blobs([p[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]))
+            p = np.concatenate(out) if out else np.zeros(0, PRE)
+            order, got, at = S.by_bucket(p["k"], buckets)
+            p = p[order]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), S.blobs([p[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])], ["bucket", "entries"])
 
     return send
 
@@ -116,7 +123,9 @@ def _columns(num: int, den: int):
 
     def multiply(sent: pa.Table) -> pa.Table:
         p, _ = S.joined(sent["entries"], PRE)
-        p = p[np.lexsort((p["doc"], p["k"]))]
+        p = p[np.lexsort((p["doc"], p["n"], p["set"], p["k"]))]
+        if len(p):  # equal sets are one row, that of their least document
+            p = p[np.append(True, (p["k"][1:] != p["k"][:-1]) | (p["set"][1:] != p["set"][:-1]) | (p["n"][1:] != p["n"][:-1]))]
         new = np.append(True, p["k"][1:] != p["k"][:-1]) if len(p) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         p = p[(np.bincount(group) > 1)[group]] if len(p) else p
@@ -156,10 +165,19 @@ def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Overlap so far of each pair, without those whose sizes rule them out."""
     acc = pairs.groupBy("u", "v").agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"), F.sum("c").alias("c"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
     most = F.col("c") + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
-    return acc.where(most * (num + den) >= (F.col("nu") + F.col("nv")) * num).select("u", "v")
+    return acc.where(most * (num + den) >= (F.col("nu") + F.col("nv")) * num).select("u", "v", "nu", "nv")
+
+
+#: Columns go in two parts by their hash: the first quarter rules out most pairs, the rest is sent for the others only.
+PARTS = ((0, 1 << 62), (1 << 62, 1 << 64))
 
 
-def _send_sets(n: int):
+def _part(values: np.ndarray, part: int) -> np.ndarray:
+    low, high = PARTS[part]
+    return values[np.searchsorted(values, U(low)) : np.searchsorted(values, U(high - 1), "right")]
+
+
+def _send_sets(n: int, part: int):
     def send(docs: pa.Table, asked: pa.Table) -> pa.Table:
         to, v_, sets = [], [], []
         if docs.num_rows and asked.num_rows:
@@ -168,65 +186,80 @@ def _send_sets(n: int):
             v, dest = v[order], dest[order]
             for ids, values, off in _sets(docs, n, v):
                 for r, doc in enumerate(ids.tolist()):
-                    raw = values[off[r] : off[r + 1]].tobytes()
+                    raw = _part(values[off[r] : off[r + 1]], part).tobytes()
                     for d in dest[np.searchsorted(v, doc) : np.searchsorted(v, doc, "right")].tolist():
                         to.append(d)
                         v_.append(doc)
                         sets.append(raw)
-        return S.table(chunk=pa.array(to, pa.int32()), u=pa.nulls(len(to), pa.int64()), v=pa.array(v_, pa.int64()), set=pa.array(sets, pa.binary()))
+        return S.table(chunk=pa.array(to, pa.int32()), v=pa.array(v_, pa.int64()), set=pa.array(sets, pa.binary()))
 
     return send
 
 
-def _products(n: int, num: int, den: int):
+def _products(n: int, num: int, den: int, part: int):
+    """Adds a part's overlap to each pair, block of columns by block, and drops pairs that can't reach what they need."""
+
     def multiply(docs: pa.Table, work: pa.Table) -> pa.Table:
-        eu, ev = [], []
+        out: list[tuple] = []
         if docs.num_rows and work.num_rows:
-            is_set = np.array(work["set"].is_valid())
-            sets = dict(zip(work["v"].filter(pa.array(is_set)).to_pylist(), work["set"].filter(pa.array(is_set)).to_pylist(), strict=True))
-            pairs = work.filter(pa.array(~is_set))
-            u, v = pairs["u"].to_numpy(), pairs["v"].to_numpy()
+            is_set = pa.array(np.array(work["set"].is_valid()))
+            sent = work.filter(is_set)
+            sets = dict(zip(sent["v"].to_pylist(), sent["set"].to_pylist(), strict=True))
+            pairs = work.filter(pc.invert(is_set)).sort_by("v")
             own = {}
-            for ids, values, off in _sets(docs, n, u):
+            for ids, values, off in _sets(docs, n, pairs["u"].to_numpy()):
                 for r, doc in enumerate(ids.tolist()):
-                    own[doc] = values[off[r] : off[r + 1]]
-            edges = (np.arange(1, BLOCKS, dtype=U) * U(2**64 // BLOCKS)).astype(U)
-            order = np.argsort(v, kind="stable")
-            u, v = u[order], v[order]
-            at = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else []
+                    own[doc] = _part(values[off[r] : off[r + 1]], part)
+            low, high = PARTS[part]
+            edges = np.array([low + (high - low) // BLOCKS * i for i in range(1, BLOCKS)], U)
+            u, v, nu, nv, acc = (pairs[c].to_numpy().copy() for c in ("u", "v", "nu", "nv", "c"))
+            need = least_overlap(nu.astype(np.int64), nv.astype(np.int64), num, den)
+            left_u, left_v = nu.astype(np.int64), nv.astype(np.int64)
+            if part:  # what the first part held is behind
+                left_u = np.array([len(own[int(d)]) for d in u], np.int64)
+                left_v = np.array([len(sets[int(d)]) // 8 for d in v], np.int64)
+            at = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
             for x, y in zip(at, np.append(at[1:], len(v)), strict=True):
                 right = np.frombuffer(sets[int(v[x])], U)
                 cut_r = np.concatenate([[0], np.searchsorted(right, edges), [len(right)]])
-                live = [int(d) for d in u[x:y]]
-                acc = dict.fromkeys(live, 0)
-                cuts = {d: np.concatenate([[0], np.searchsorted(own[d], edges), [len(own[d])]]) for d in live}
+                live = np.arange(x, y)
+                cuts = {i: np.concatenate([[0], np.searchsorted(own[int(u[i])], edges), [len(own[int(u[i])])]]) for i in live.tolist()}
                 for b in range(BLOCKS):
                     block = right[cut_r[b] : cut_r[b + 1]]
-                    rows = [own[d][cuts[d][b] : cuts[d][b + 1]] for d in live]
+                    rows = [own[int(u[i])][cuts[i][b] : cuts[i][b + 1]] for i in live.tolist()]
                     sizes = np.array([len(r) for r in rows], np.int64)
                     if len(block) and sizes.sum():
                         cat = np.concatenate(rows)
                         hit = block[np.minimum(np.searchsorted(block, cat), len(block) - 1)] == cat
                         total = np.concatenate([[0], np.cumsum(hit)])
                         ends = np.cumsum(sizes)
-                        for d, k in zip(live, (total[ends] - total[ends - sizes]).tolist(), strict=True):
-                            acc[d] += k
-                    left = len(right) - cut_r[b + 1]
-                    live = [d for d in live if acc[d] + min(left, len(own[d]) - cuts[d][b + 1]) >= least_overlap(len(own[d]), len(right), num, den)]
-                eu += live
-                ev += [int(v[x])] * len(live)
-        return S.table(u=pa.array(eu, pa.int64()), v=pa.array(ev, pa.int64()))
+                        acc[live] += total[ends] - total[ends - sizes]
+                    left_u[live] -= sizes
+                    left_v[live] -= len(block)
+                    live = live[acc[live] + np.minimum(left_u[live], left_v[live]) >= need[live]]
+                    if not len(live):
+                        break
+                out.append((u[live], v[live], nu[live], nv[live], acc[live]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+        return pa.table([pa.array(c).cast(t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["u", "v", "nu", "nv", "c"])
 
     return multiply
 
 
-def _verified(dealt: DataFrame, chunks: int, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those pairs u, v that link: the set of v goes once to each chunk that holds a partner u."""
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -> DataFrame:
+    """Those pairs u, v that link. Only the documents in a pair are read on; the set of v goes once to each chunk that holds a partner u."""
+    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    picked = S.kept(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), "picked")
+    chunks = S.parts(S.text_bytes(picked)[1], chunk_bytes)
+    by_chunk = S.chunked(picked, chunks, "doc_id", "text").groupBy("chunk")
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    asked = pairs.select(chunk("v").alias("chunk"), "v", chunk("u").alias("cu")).distinct()
-    sets = dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_send_sets(n), "chunk int, u long, v long, set binary")
-    work = pairs.select(chunk("u").alias("chunk"), "u", "v", F.lit(None).cast("binary").alias("set")).unionByName(sets)
-    return dealt.groupBy("chunk").cogroup(work.groupBy("chunk")).applyInArrow(_products(n, num, den), "u long, v long")
+    pairs = pairs.withColumn("c", F.lit(0).cast("long"))
+    for part in range(len(PARTS)):
+        asked = pairs.select(chunk("v").alias("chunk"), "v", chunk("u").alias("cu")).distinct()
+        sets = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(_send_sets(n, part), "chunk int, v long, set binary")
+        work = pairs.select(chunk("u").alias("chunk"), "u", "v", "nu", "nv", "c").unionByName(sets, allowMissingColumns=True)
+        pairs = S.kept(by_chunk.cogroup(work.groupBy("chunk")).applyInArrow(_products(n, num, den, part), "u long, v long, nu int, nv int, c long"), "products")
+    return pairs.select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
@@ -236,21 +269,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     shingle; null texts and texts without words have none, and stand alone. Equal sets link. An empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
     rows, size = S.text_bytes(docs)
-    chunks, buckets = S.parts(size, chunk_bytes), S.parts(size // 2, S.BUCKET_BYTES)
+    buckets = S.parts(size // 2, S.BUCKET_BYTES)
     signed = S.kept(docs.select("doc_id", "text").mapInArrow(_sign(n), "doc_id long, n long, a long, b long"), "signed")
     common = signed.where("doc_id is null").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(LAST)
     last = np.sort(np.array([r.a for r in common.select("a").collect()], np.int64).view(U))
     sets = signed.where("doc_id is not null")
     classes = S.kept(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
-    dealt = S.chunked(docs, chunks, "doc_id", "text")
-    reps = classes.select(F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int").alias("chunk"), "rep")
-    sent = dealt.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(_send_prefixes(n, num, den, buckets, last), "bucket int, entries binary")
+    sent = docs.select("doc_id", "text").mapInArrow(_prefixes(n, num, den, buckets, last), "bucket int, entries binary")
     cols = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_columns(num, den), PAIR + ", k long")
     cols = S.kept(cols, "columns")
     first = S.kept(_possible(cols.where("k is null").drop("k"), num, den), "pairs")
-    edges = S.kept(_verified(dealt, chunks, first, n, num, den), "edges")
+    edges = _verified(docs, first, n, num, den, chunk_bytes)
     label = S.components(edges, "u", "v")
     entries = cols.where("k is not null").select("k", F.col("u").alias("doc"), F.col("nu").alias("n"), F.col("iu").alias("pos"))
     entries = entries.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -260,9 +290,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     fits = F.expr(f"e.component < f.component and {den} * least(e.n, f.n) >= {num} * greatest(e.n, f.n)")
     bound = F.expr(f"(least(e.pos, f.pos) + 1 + least(e.n - e.pos, f.n - f.pos) - 1) * {num + den} >= {num} * (e.n + f.n)")
     pairs = e.join(f, (F.col("e.k") == F.col("f.k")) & fits & bound).select(F.col("e.doc").alias("u"), F.col("f.doc").alias("v"), F.col("e.n").alias("nu"), F.col("f.n").alias("nv"), F.lit(1).cast("long").alias("c"), F.col("e.pos").alias("iu"), F.col("f.pos").alias("iv"))
-    seen = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    seen = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
     second = S.kept(_possible(pairs, num, den).join(seen, ["u", "v"], "left_anti"), "pairs")
-    edges = edges.unionByName(_verified(dealt, chunks, second, n, num, den))
+    edges = edges.unionByName(_verified(docs, second, n, num, den, chunk_bytes))
     label = S.components(edges, "u", "v")
     named = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
     return sets.join(named, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
