@@ -28,6 +28,8 @@ from larkspur.llm import spread as S
 U = np.uint64
 #: Bytes of an anchor; different snippets of an anchor that an index takes; bits for a place in a slice.
 GRAM, DISTINCT, PLACE = 40, 8, 28
+#: Snippet bytes of one index, about.
+INDEX_BYTES = 1 << 19
 ONCE, INDEX, HOT = 0, 1, 2
 
 
@@ -158,12 +160,11 @@ def _next_stop(zero: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
-def mark_earlier(snippets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray, rank: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each snippet, which of its windows also stand in a snippet of the same group with a smaller rank."""
-    marks = [np.zeros(int(n) - window + 1, bool) for n in lengths]
-    left = np.array([len(m) for m in marks], np.int64)
-    width = int(lengths.max(initial=window)) - window + 1
-    flat = np.zeros((len(starts), width), bool)
+def mark_earlier(snippets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """For each snippet (row), which of its windows also stand in a snippet of the same group with a smaller rank."""
+    n = lengths - window + 1
+    left = n.copy()
+    flat = np.zeros((len(starts), int(n.max(initial=1))), bool)
     sizes = np.bincount(group) if len(group) else np.zeros(0, np.int64)
     for t in range(int(rank.max(initial=0))):
         refs = np.flatnonzero((rank == t) & (sizes[group] > t + 1))
@@ -174,17 +175,12 @@ def mark_earlier(snippets: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
         text = np.zeros(int(total.sum()), np.int64)
         at = np.cumsum(total) - total
         text[K.ragged(at, lengths[refs])] = snippets[K.ragged(starts[refs], lengths[refs])].astype(np.int64) + 1
-        step = 0
-        for live, length in RunIndex(text).stream(snippets, starts[asks], lengths[asks]):
-            step += 1
-            if step < window:
-                continue
-            who = asks[live]
-            flat[who, lengths[who] - step] |= length >= window
-        left[asks] = np.array([len(marks[i]) - int(flat[i, : len(marks[i])].sum()) for i in asks])
-    for i, m in enumerate(marks):
-        m[:] = flat[i, : len(m)]
-    return marks
+        for step, (live, length) in enumerate(RunIndex(text).stream(snippets, starts[asks], lengths[asks]), 1):
+            if step >= window:
+                who = asks[live]
+                flat[who, lengths[who] - step] |= length >= window
+        left[asks] = n[asks] - flat[asks].sum(axis=1)
+    return flat
 
 
 KEY = np.dtype([("k", "<u8"), ("s", "<u8"), ("f", "u1")])
@@ -202,7 +198,7 @@ def _slices(docs: pa.Table, copies: np.ndarray, window: int):
     if not len(ids):
         return
     data, off = K.column(docs["text"])
-    for i, j in K.slices(off):
+    for i, j in K.slices(off, 1 << 19):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         yield ids[i:j], d, o, Anchors(d, o, window)
 
@@ -360,8 +356,12 @@ def _match(window: int):
             sizes = np.diff(np.append(heads, len(by)))
             group = np.repeat(np.arange(len(heads)), sizes)
             rank = np.arange(len(by)) - np.repeat(heads, sizes)
-            for i, m in zip(by, mark_earlier(text, begins[first[by]], one["size"][by].astype(np.int64), group, rank, window), strict=True):
-                mask[i] = U(int(np.packbits(m, bitorder="little").tobytes().ljust(8, b"\0")[:8][::-1].hex(), 16))
+            size = one["size"][by].astype(np.int64)
+            batch = np.cumsum(np.add.reduceat(size, heads))[group] // INDEX_BYTES  # whole groups, a bounded index each
+            for b in np.unique(batch):
+                own = np.flatnonzero(batch == b)
+                flags = mark_earlier(text, begins[first[by[own]]], size[own], group[own] - group[own[0]], rank[own], window)
+                mask[by[own]] = (flags[:, :64].astype(U) << np.arange(min(64, flags.shape[1]), dtype=U)).sum(axis=1, dtype=U)
         out = np.zeros(len(p), ANSWER)
         own = np.repeat(np.arange(len(first)), n)
         for c in ("k", "s", "doc", "at"):
