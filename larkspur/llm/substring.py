@@ -231,14 +231,14 @@ def _first_documents(sent: pa.Table) -> pa.Table:
     return S.table(chunk=pa.array(own, pa.int32()), earlier=S.blobs(np.split(out[order], at[1:]) if len(own) else []))
 
 
-def _remove(window: int, texts: bool):
+def _remove(window: int, texts: bool, carry: tuple[str, ...]):
     def remove(docs: pa.Table, answer: pa.Table) -> pa.Table:
         earlier, _ = S.joined(answer["earlier"], WIN)
         earlier = earlier[np.argsort(earlier["a"], kind="stable")]
         ea, eb, ed = (np.ascontiguousarray(earlier[c]) for c in ("a", "b", "doc"))
         copies = answer["copy"].drop_null().to_numpy()
-        ids_, n_words, n_removed, sha, kept = [], [], [], [], []
-        for ids, d, _, s, e, first, h in _parsed(docs, window) if docs.num_rows else ():
+        n_words, n_removed, sha, kept = [], [], [], []
+        for ids, d, o, s, e, first, h in _parsed(docs, window) if docs.num_rows else ():
             gone = np.zeros(len(h), bool)
             if len(ea) and len(h) >= window:
                 start = K.ragged(first[:-1], np.maximum(np.diff(first) - window + 1, 0))
@@ -259,23 +259,23 @@ def _remove(window: int, texts: bool):
                 x, y = int(first[r]), int(first[r + 1])
                 stay = np.flatnonzero(~gone[x:y]) + x
                 out = b" ".join([raw[p:q] for p, q in zip(s[stay].tolist(), e[stay].tolist(), strict=True)])
-                ids_.append(int(ids[r]))
                 n_words.append(y - x)
                 n_removed.append(y - x - len(stay))
                 sha.append(K.sha256_hex(out))
                 if texts:
-                    kept.append(out)
-        cols = dict(doc_id=pa.array(ids_, pa.int64()), n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), kept_sha256=pa.array(sha, pa.string()))
+                    kept.append(out if len(stay) < y - x else raw[o[r] : o[r + 1]])
+        cols = [docs["doc_id"], *(docs[c] for c in carry), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
         if texts:
-            cols["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
-        return S.table(**cols)
+            cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
+        return pa.table(cols, [str(i) for i in range(len(cols))])
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text): words outside every window that starts in a smaller document too.
+def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, carry: tuple[str, ...] = (), chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
+    """doc_id, the columns of `carry`, n_words, n_removed, kept_sha256 (and kept_text): words outside every window that starts in a smaller document too.
 
+    kept_text is the text itself where no word goes (empty for null), else the kept words joined by one space.
     docs: doc_id (unique, not null) and text; other columns are ignored. A null or empty text has no words. Copies: the
     smallest doc_id keeps all its words, the others lose all of them if they have `window` words or more. An empty table
     gives an empty result.
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, chunk
     copies = same.join(least, ["n", "a", "b"]).where("doc_id > least").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").alias("copy"))
     copies = S.kept(copies, "copies")
     none = F.lit(None)
-    dealt = S.chunked(docs, chunks, "doc_id", "text")
+    dealt = S.chunked(docs, chunks, "doc_id", "text", *carry)
     by_chunk = dealt.groupBy("chunk")
 
     def with_copies(answer: DataFrame, column: str):
@@ -300,4 +300,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, chunk
     shared = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_symbols(width), "chunk int, shared binary")
     wins = by_chunk.cogroup(with_copies(shared, "shared")).applyInArrow(_send_windows(window, buckets, width), "bucket int, chunk int, windows binary")
     first = wins.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_first_documents, "chunk int, earlier binary")
-    return by_chunk.cogroup(with_copies(first, "earlier")).applyInArrow(_remove(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    schema = docs.select("doc_id", *carry).schema
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string"))[: 3 + texts]:
+        schema = schema.add(name, kind)
+    return by_chunk.cogroup(with_copies(first, "earlier")).applyInArrow(_named(_remove(window, texts, carry), schema.names), schema)
+
+
+def _named(f, names: list[str]):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return f(left, right).rename_columns(names)
+
+    return run
