@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm import kernels as K
 
@@ -125,7 +126,7 @@ def fit_ranker(x: np.ndarray, better: np.ndarray, pairs: int = PAIRS, accept: fl
 
 
 def _feature_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    schema = docs.select(*keep).schema.add("features", "array<double>")
+    schema = docs.select(*keep).schema.add("features", T.ArrayType(T.DoubleType()))
 
     def run(batches):
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.functions.ship import ship
-from larkspur.llm import langid, pii, quality
+from larkspur.llm import langid, pii, quality, unigram
 from larkspur.llm.caps import near_duplicates
 from larkspur.llm.jaccard import jaccard_components
 from larkspur.llm.packing import pack_documents
@@ -36,6 +36,11 @@ def op4_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), window=13)
 
 
+def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to Unigram pieces and decoded again: counts and digests, one row per document."""
+    return unigram.round_trips(documents(spark, sf_dir).select("doc_id", "text"), unigram.Model(tokenizer_path("piece_bpe_32k.model")))
+
+
 def op2_pii_bootstrapped_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: seed spans by fixed patterns, more by contexts learned from them."""
     return pii.find(documents(spark, sf_dir).select("doc_id", "text"))
@@ -82,6 +87,6 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), model, keep=("held_out",))
 
 
-_ALL = (op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
+_ALL = (op1_sentencepiece_unigram, op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

@@ -217,7 +217,7 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, new))
 
 
-def _send_keys(window: int, buckets: int):
+def _send_keys(window: int, buckets: int, most: int):
     def send(docs: pa.Table, copies: pa.Table) -> pa.Table:
         parts = [(a.key, a.snip) for _, _, _, a in _slices(docs, _copies(copies), window)]
         k, s = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U), np.zeros(0, U))
@@ -228,7 +228,7 @@ def _send_keys(window: int, buckets: int):
         out["k"], out["s"], out["f"] = k[at], s[at], np.diff(np.append(at, len(k))) > 1
         first = _starts(out["k"])
         many = np.diff(np.append(first, len(out)))
-        hot = many > DISTINCT
+        hot = many > most
         out["f"][first[hot]] = HOT
         drop = np.repeat(hot, many)
         drop[first] = False
@@ -247,7 +247,7 @@ def _per_chunk(chunk: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list]:
     return own, np.split(rows[order], at[1:]) if len(own) else []
 
 
-def _classes(sent: pa.Table) -> pa.Table:
+def _classes(sent: pa.Table, most: int) -> pa.Table:
     """For each chunk, its keys that stand in two places or more, and how their windows are compared."""
     e, counts = S.joined(sent["keys"], KEY)
     chunk = np.repeat(sent["chunk"].to_numpy(), counts)
@@ -258,7 +258,7 @@ def _classes(sent: pa.Table) -> pa.Table:
     n = np.bincount(group, minlength=len(first))
     distinct = np.bincount(group[_starts(e["k"], e["s"])], minlength=len(first))
     top = np.maximum.reduceat(e["f"], first) if len(first) else np.zeros(0, np.uint8)
-    kind = np.where((top == HOT) | (distinct > DISTINCT), HOT, np.where(distinct > 1, INDEX, ONCE))
+    kind = np.where((top == HOT) | (distinct > most), HOT, np.where(distinct > 1, INDEX, ONCE))
     keep = ((n > 1) | (top > 0))[group]
     one = np.flatnonzero(keep)
     pick = one[np.unique(chunk[one].astype(np.int64) * (len(first) + 1) + group[one], return_index=True)[1]]
@@ -454,12 +454,13 @@ def _remove(window: int, texts: bool):
     return remove
 
 
-def remove_matches(docs: DataFrame, window: int = 100, texts: bool = False, chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
+def remove_matches(docs: DataFrame, window: int = 100, texts: bool = False, distinct: int = DISTINCT, chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes): bytes outside every `window`-byte string that also starts earlier.
 
     Earlier is in a smaller doc_id, or before in the same document; overlaps count. docs: doc_id (unique, not null) and
     text; other columns are ignored. Null texts are empty. Copies: the first keeps what it has, the others lose all if they have
-    `window` bytes or more. window: 40 to 100. An empty table gives an empty result.
+    `window` bytes or more. window: 40 to 100; distinct: the different snippets of an anchor up to which an index compares them, results do not
+    depend on it. An empty table gives an empty result.
     """
     rows, size = S.text_bytes(docs)
     chunks, buckets = S.parts(size, chunk_bytes), S.parts(size, S.BUCKET_BYTES)
@@ -472,8 +473,8 @@ def remove_matches(docs: DataFrame, window: int = 100, texts: bool = False, chun
     def with_copies(answer: DataFrame):
         return answer.unionByName(copies, allowMissingColumns=True).groupBy("chunk")
 
-    sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_send_keys(window, buckets), "bucket int, chunk int, keys binary")
-    classes = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_classes, "chunk int, classes binary")
+    sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_send_keys(window, buckets, distinct), "bucket int, chunk int, keys binary")
+    classes = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _classes(t, distinct), "chunk int, classes binary")
     places = by_chunk.cogroup(with_copies(classes)).applyInArrow(_send_places(window, buckets), "bucket int, chunk int, snips binary, texts binary, wins binary, hot binary")
     answers = places.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match(window), "chunk int, answers binary, wins binary, hot binary")
     return by_chunk.cogroup(with_copies(answers)).applyInArrow(_remove(window, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts)

@@ -21,6 +21,42 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class WordStore:
+    """Ids of words by the words' hashes, for one worker."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.at, self.len = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 20, np.uint32)
+        self.used = 0
+
+    def missing(self, key: np.ndarray) -> np.ndarray:
+        """Positions of those ascending keys that are not kept; a store that has grown too large begins anew."""
+        if len(self.key) > CACHE_WORDS:
+            self.forget()
+        if not len(self.key):
+            return np.arange(len(key))
+        return np.flatnonzero(self.key[np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)] != key)
+
+    def add(self, key: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        where = np.searchsorted(self.key, key)
+        self.key, self.at, self.len = np.insert(self.key, where, key), np.insert(self.at, where, at), np.insert(self.len, where, sizes)
+
+    def ids(self, key: np.ndarray, inverse: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words key[inverse], one after another, and where each row begins, given each row's first word."""
+        at = np.searchsorted(self.key, key)
+        start, size = self.at[at][inverse], self.len[at][inverse]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.pool[K.ragged(start, size)], total[first]
+
+
 class WordBpe:
     """Ids of a BPE vocabulary with word ends, as the `tokenizers` library gives them without special tokens.
 
@@ -57,12 +93,7 @@ class WordBpe:
         self.ids = np.array(ids, np.uint32)
         self.newline = ranks[b"\n"]
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x01\n]+\x01|\n", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
-        self.forget()
-
-    def forget(self) -> None:
-        self.key, self.at, self.len = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.used = 0
+        self.store = WordStore()
 
     def encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and the count of each."""
@@ -89,34 +120,17 @@ class WordBpe:
             out[K.ragged(at[~is_fast], sizes[~is_fast])] = np.concatenate(slow_ids)
         return out, sizes
 
-    def learn(self, key: np.ndarray, new: list[str]) -> None:
-        ids, sizes = self.encode_words(new)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        where = np.searchsorted(self.key, key)
-        self.key, self.at, self.len = np.insert(self.key, where, key), np.insert(self.at, where, at), np.insert(self.len, where, sizes)
-
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and offsets (rows + 1)."""
         s, e, first = K.words(data, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        if len(self.key) > CACHE_WORDS:
-            self.forget()
         u, one, inverse = np.unique(K.span_hashes(data, s, e), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.key, u)
-        new = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != u) if len(self.key) else np.arange(len(u))
+        new = self.store.missing(u)
         if len(new):
-            raw = data.tobytes()
-            pick = one[new]
-            self.learn(u[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True)])
-            at = np.searchsorted(self.key, u)
-        start, size = self.at[at][inverse], self.len[at][inverse]
-        total = np.concatenate([[0], np.cumsum(size)])
-        return self.pool[K.ragged(start, size)], total[first]
+            raw, pick = data.tobytes(), one[new]
+            self.store.add(u[new], *self.encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True)]))
+        return self.store.ids(u, inverse, first)
 
 
 _open: dict[str, WordBpe] = {}
