@@ -4,8 +4,8 @@ Rows are documents, columns the n-grams. Only pairs that can reach the threshold
 
 * equal sets are one row from the start (`classes`);
 * a row enters the columns of its prefix only: of its n n-grams in one global order, the first n - ceil(t n) + 1. Two
-  sets with Jaccard t or more share one of them. The order puts n-grams that very many documents hold last, so that a
-  common passage doesn't bring together all who hold it;
+  sets with Jaccard t or more share one of them. The order puts n-grams of rare words first and those that very many
+  documents hold last, so that neither common words nor a common passage bring together all who hold them;
 * overlap counts accumulate over the columns a pair shares there, and pairs whose count and remaining sizes can't reach
   the overlap that their sizes ask for are dropped;
 * the remaining pairs' products are accumulated over blocks of columns, dropping pairs on the way by the same bound.
@@ -29,14 +29,15 @@ from larkspur.llm import spread as S
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: The n-grams that go last in the order: at most so many, the most frequent ones (8 bytes each, broadcast in the closure).
+#: Common n-grams and common words that the order knows: at most so many of each, the most frequent ones (16 bytes each, in the closure).
 LAST = 1 << 16
 #: Column blocks over which a pair's product accumulates.
 BLOCKS = 4
 
 
-def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word shingles (64-bit hashes, ascending in each row) and offsets (rows + 1)."""
+def shingles(data: np.ndarray, off: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray] | None = None):
+    """Distinct n-word shingles (64-bit hashes, ascending in each row), offsets (rows + 1), and with a table of common words and their
+    weights the summed weight of each shingle's words."""
     data = LOWER[data]
     s, e, first = K.words(data, off)
     h = K.span_hashes(data, s, e) if len(s) else np.zeros(0, U)
@@ -49,13 +50,22 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.
         value = np.concatenate([value, np.concatenate([K.gram_hashes(h[first[r] : first[r + 1]], int(counts[r])) for r in short])])
         row = np.concatenate([row, short])
     order = np.lexsort((value, row))
+    keep = np.append(True, (value[order][1:] != value[order][:-1]) | (row[order][1:] != row[order][:-1])) if len(value) else np.zeros(0, bool)
+    order = order[keep]
     value, row = value[order], row[order]
-    keep = np.append(True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])) if len(value) else np.zeros(0, bool)
-    value, row = value[keep], row[keep]
-    return value, np.searchsorted(row, np.arange(len(counts) + 1))
-
-
-def _sets(docs: pa.Table, n: int, wanted: np.ndarray | None = None):
+    out = value, np.searchsorted(row, np.arange(len(counts) + 1))
+    if common is None:
+        return out
+    known, heavy = common
+    w = np.zeros(len(h) + 1, np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        np.cumsum(np.where(known[at] == h, heavy[at], 0), out=w[1:])
+    begin = np.concatenate([start, first[short]])
+    return (*out, (w[begin + np.minimum(counts, n)[np.concatenate([np.repeat(np.arange(len(counts)), np.maximum(counts - n + 1, 0)), short])]] - w[begin])[order])
+
+
+def _sets(docs: pa.Table, n: int, wanted: np.ndarray | None = None, common=None):
     """Per slice: ids, shingles, offsets; only of the wanted ids where given."""
     ids = docs["doc_id"].to_numpy()
     if wanted is not None:
@@ -63,7 +73,7 @@ def _sets(docs: pa.Table, n: int, wanted: np.ndarray | None = None):
         docs, ids = docs.take(pa.array(keep)), ids[keep]
     data, off = K.column(docs["text"])
     for i, j in K.slices(off):
-        yield (ids[i:j], *shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], n))
+        yield (ids[i:j], *shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], n, common))
 
 
 def _set_hashes(v: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
@@ -72,20 +82,51 @@ def _set_hashes(v: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
     return K.mix(sums[off[1:]] - sums[off[:-1]])
 
 
+SIGNED = ["doc_id", "n", "a", "b"]
+
+
+def _told(key: np.ndarray, count: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Counts of shingles (kind 0) or words (kind 1), as rows without a document."""
+    return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(count.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind))], SIGNED)
+
+
 def _sign(n: int):
     def sign(batches):
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            for ids, v, off in _sets(t, n):
-                a, b = _set_hashes(v, off, 3).view(np.int64), _set_hashes(v, off, 4).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off)), pa.array(a), pa.array(b)], ["doc_id", "n", "a", "b"])
+            ids = batch.column(0).to_numpy()
+            data, off = K.column(batch.column(1))
+            seen, times, total = [], [], 0
+            for i, j in K.slices(off):
+                d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                v, at = shingles(d, o, n)
+                a, b = _set_hashes(v, at, 3).view(np.int64), _set_hashes(v, at, 4).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(np.diff(at)), pa.array(a), pa.array(b)], SIGNED)
                 u, c = np.unique(v, return_counts=True)
-                common = c >= max(4, len(ids) // 200)
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(common.sum()), pa.int64()), pa.array(c[common].astype(np.int64)), pa.array(u[common].view(np.int64)), pa.array(np.zeros(int(common.sum()), np.int64))], ["doc_id", "n", "a", "b"])
+                often = c >= max(4, (j - i) // 200)
+                yield _told(u[often], c[often], 0)
+                low = LOWER[d]
+                s, e, _ = K.words(low, o)
+                u, c = np.unique(K.span_hashes(low, s, e), return_counts=True) if len(s) else (np.zeros(0, U), np.zeros(0, np.int64))
+                seen.append(u[c > 1])
+                times.append(c[c > 1])
+                total += len(s)
+            if seen:
+                u, inverse = np.unique(np.concatenate(seen), return_inverse=True)
+                c = np.bincount(inverse, weights=np.concatenate(times), minlength=len(u)).astype(np.int64)
+                often = c >= max(4, total // 100_000)
+                yield _told(u[often], c[often], 1)
 
     return sign
 
 
+def _most_counted(signed: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The LAST most counted keys of a kind, ascending, and the magnitude of their counts."""
+    rows = signed.where(f"doc_id is null and b = {kind}").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(LAST).collect()
+    key, n = np.array([r.a for r in rows], np.int64).view(U), np.array([r.n for r in rows], np.float64)
+    order = np.argsort(key)
+    return key[order], np.log2(np.maximum(n[order], 1)).astype(np.int64)
+
+
 def least_overlap(na, nb, num: int, den: int):
     """The overlap that Jaccard >= num/den asks of sets of these sizes."""
     return -(-num * (na + nb) // (num + den))
@@ -95,14 +136,14 @@ PRE = np.dtype([("k", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("po
 PAIR = "u long, v long, nu int, nv int, c long, iu int, iv int"
 
 
-def _prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray):
+def _prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray, common: tuple[np.ndarray, np.ndarray]):
     def send(batches):
         for batch in batches:
             out = []
-            for ids, v, off in _sets(pa.Table.from_batches([batch]), n):
+            for ids, v, off, weight in _sets(pa.Table.from_batches([batch]), n, common=common):
                 row, size = K.row_of(off, len(v)), np.diff(off)
                 late = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v if len(last) else np.zeros(len(v), bool)
-                order = np.lexsort((v, late, row))
+                order = np.lexsort((v, weight, late, row))
                 pos = np.arange(len(v)) - off[row]
                 keep = pos < (size - -(-num * size // den) + 1)[row]
                 p = np.empty(int(keep.sum()), PRE)
@@ -249,7 +290,7 @@ def _products(n: int, num: int, den: int, part: int):
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -> DataFrame:
     """Those pairs u, v that link. Only the documents in a pair are read on; the set of v goes once to each chunk that holds a partner u."""
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    picked = S.kept(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), "picked")
+    picked = S.kept(docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi"), "picked")
     chunks = S.parts(S.text_bytes(picked)[1], chunk_bytes)
     by_chunk = S.chunked(picked, chunks, "doc_id", "text").groupBy("chunk")
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
@@ -272,11 +313,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     rows, size = S.text_bytes(docs)
     buckets = S.parts(size // 2, S.BUCKET_BYTES)
     signed = S.kept(docs.select("doc_id", "text").mapInArrow(_sign(n), "doc_id long, n long, a long, b long"), "signed")
-    common = signed.where("doc_id is null").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(LAST)
-    last = np.sort(np.array([r.a for r in common.select("a").collect()], np.int64).view(U))
+    (last, _), common = _most_counted(signed, 0), _most_counted(signed, 1)
     sets = signed.where("doc_id is not null")
     classes = S.kept(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
-    sent = docs.select("doc_id", "text").mapInArrow(_prefixes(n, num, den, buckets, last), "bucket int, entries binary")
+    sent = docs.select("doc_id", "text").mapInArrow(_prefixes(n, num, den, buckets, last, common), "bucket int, entries binary")
     cols = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_columns(num, den), PAIR + ", k long")
     cols = S.kept(cols, "columns")
     first = S.kept(_possible(cols.where("k is null").drop("k"), num, den), "pairs")
