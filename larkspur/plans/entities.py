@@ -1,0 +1,125 @@
+"""Entity resolution over documents and parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.functions.scratch import ensure_checkpoints
+from larkspur.functions.text import fold
+from larkspur.operators import entities as E
+from larkspur.plans.registry import Tables, query
+from larkspur.plans.texts import sql_dice, sql_fold
+
+#: Parts of one brand and size are the candidates.
+PAIRS = "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS x, b.p_name AS y, a.p_type AS tx, b.p_type AS ty, a.p_retailprice AS px, b.p_retailprice AS py FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
+
+
+def pairs(t: Tables) -> DataFrame:
+    side = lambda k, n, ty, p: t.part.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(n), F.col("p_type").alias(ty), F.col("p_retailprice").alias(p))
+    return side("a", "x", "tx", "px").join(side("b", "y", "ty", "py"), ["p_brand", "p_size"]).where("a < b")
+
+
+SIM = f"greatest({sql_dice('x', 'y')}, {sql_dice("replace(x, ' ', '')", "replace(y, ' ', '')")})"
+SCORED = f"""SELECT a, b, CASE WHEN abs(px - py) > 900 THEN 0 ELSE least(100, CASE WHEN split_part(tx, ' ', 1) <> split_part(ty, ' ', 1) THEN least(49, pts) ELSE pts END) END AS score, CASE WHEN abs(px - py) > 900 THEN 'price' ELSE 'scored' END AS reason
+FROM (SELECT *, 20 + CASE WHEN tx = ty THEN 22 ELSE 0 END + CASE WHEN abs(px - py) <= 50 THEN 18 ELSE 0 END + CASE WHEN x = y THEN 28 WHEN s >= 0.88 THEN 26 WHEN s >= 0.55 THEN 14 WHEN s >= 0.35 THEN 6 ELSE 0 END AS pts FROM (SELECT *, {SIM} AS s FROM ({PAIRS})))"""
+
+
+def scored(t: Tables) -> DataFrame:
+    rows = pairs(t)
+    head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    gap = F.abs(F.col("px") - F.col("py"))
+    parts = {"same": F.lit(20), "type": F.when(F.col("tx") == F.col("ty"), 22), "price": F.when(gap <= 50, 18), "name": E.name_points("x", "y")}
+    return rows.select("a", "b", *E.gated_score({"price": gap > 900}, parts, (head("tx") != head("ty"), 49)))
+
+
+@query(SCORED)
+def e1_pair_score(t: Tables) -> DataFrame:
+    """Candidates of one block, scored: hard conflicts first, then points, with a cap for pairs of unlike kind."""
+    return scored(t)
+
+
+@query(f"SELECT a, b FROM ({SCORED}) WHERE score >= 60")
+def e4_gates_after_score(t: Tables) -> DataFrame:
+    return scored(t).where("score >= 60").select("a", "b")
+
+
+@query(f"WITH RECURSIVE l AS (SELECT a, b FROM ({SCORED}) WHERE score >= 60), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) SELECT node, min(reach) AS component FROM r GROUP BY node")
+def e5_components(t: Tables) -> DataFrame:
+    ensure_checkpoints(t.spark)
+    return E.components(scored(t).where("score >= 60"))
+
+
+@query("WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\\.', '') AS host, page_id FROM pages) SELECT host, count(*) AS pages, min(page_id) AS first_page FROM h GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500")
+def e6_same_website(t: Tables) -> DataFrame:
+    from larkspur.functions.text import host
+
+    return t.pages.groupBy(host("url").alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page")).where("pages between 2 and 500")
+
+
+@query(f"SELECT a, b, score FROM ({SCORED}) WHERE score BETWEEN 20 AND 49 AND (a + b) % 5 <> 0")
+def e7_review_list(t: Tables) -> DataFrame:
+    """Pairs too weak to merge, without those dismissed before."""
+    dismissed = pairs(t).where("(a + b) % 5 = 0").select("a", "b")
+    return scored(t).where("score between 20 and 49").join(dismissed, ["a", "b"], "left_anti").select("a", "b", "score")
+
+
+@query("""WITH g AS (SELECT md5(text) AS h, d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE lang END AS lang, quality FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT h, arg_min(doc_id, (-coalesce(quality, 0), doc_id)) AS keeper, arg_min(lang, (-coalesce(quality, 0), doc_id)) FILTER (WHERE lang IS NOT NULL) AS lang, arg_min(quality, (-coalesce(quality, 0), doc_id)) FILTER (WHERE quality IS NOT NULL) AS quality, count(*) AS members FROM g GROUP BY h HAVING count(*) > 1""")
+def e8_golden_record(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.md5(F.col("text").cast("binary")).alias("h"), "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang")).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return E.golden(rows, "h", "doc_id", ["lang", "quality"], F.coalesce("quality", F.lit(0))).where("members > 1")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN l_partkey - 1 ELSE l_partkey END AS l_partkey FROM lineitem")
+def e9_reparent_children(t: Tables) -> DataFrame:
+    moved = t.part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") - 1).alias("new"))
+    return E.reparent(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), moved, "l_partkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'kept' WHEN p_size % 2 = 0 THEN 'restored' ELSE 'refused' END AS outcome FROM part")
+def e10_verified_restore(t: Tables) -> DataFrame:
+    """A merge is undone only where the rows still are as the merge left them."""
+    after = t.part.where("p_size % 5 <> 0").select("p_partkey", F.col("p_size").alias("left_as"))
+    now = t.part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).alias("now"))
+    rows = now.join(after, "p_partkey", "left")
+    return rows.select("p_partkey", F.when(F.col("left_as").isNull(), "kept").when(F.col("now") == F.col("left_as"), "restored").otherwise("refused").alias("outcome"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS field FROM part")
+def e12_source_precedence(t: Tables) -> DataFrame:
+    """An aggregator's value stands only where the official one is missing."""
+    official = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
+    return t.part.select("p_partkey", F.coalesce(official, F.col("p_type")).alias("field"))
+
+
+@query("WITH p AS (SELECT a.o_orderkey AS key, min(b.o_orderkey) AS previous FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(a.o_orderdate AS DATE) - CAST(b.o_orderdate AS DATE) BETWEEN 300 AND 430 GROUP BY 1 HAVING count(*) = 1) SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 2 = 0 THEN o.o_orderpriority ELSE q.o_orderpriority END AS priority FROM orders o LEFT JOIN p ON o.o_orderkey = p.key LEFT JOIN orders q ON q.o_orderkey = p.previous")
+def e13_carry_forward(t: Tables) -> DataFrame:
+    """A missing value is taken from the one previous edition, where there is exactly one."""
+    from larkspur.operators.joins import unique_previous
+
+    found = unique_previous(t.orders.withColumn("day", F.to_date("o_orderdate")), "o_orderkey", ["o_custkey"], "day")
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("own")).join(found.withColumnRenamed("key", "o_orderkey"), "o_orderkey", "left")
+    before = t.orders.select(F.col("o_orderkey").alias("previous"), F.col("o_orderpriority").alias("old"))
+    return rows.join(before, "previous", "left").select("o_orderkey", F.coalesce("own", "old").alias("priority"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 100 THEN 'reject' WHEN lang <> 'en' THEN 'hold' WHEN quality IS NULL THEN 'review' ELSE 'apply' END AS decision FROM documents LEFT JOIN labels USING (doc_id)")
+def e14_proposal_gate(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "n_chars", "lang").join(t.labels, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("n_chars") < 100, "reject").when(F.col("lang") != "en", "hold").when(F.col("quality").isNull(), "review").otherwise("apply").alias("decision"))
+
+
+@query(f"WITH k AS (SELECT {sql_fold('p_name')} AS n, min(p_size) AS low, max(p_size) AS high FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) SELECT p.p_partkey, CASE WHEN k.n IS NULL THEN 'new' WHEN p.p_size BETWEEN low AND high THEN 'known' ELSE 'differs' END AS state FROM part p LEFT JOIN k ON {sql_fold('p.p_name')} = k.n WHERE p.p_partkey % 2 = 1")
+def e15_candidate_comparison(t: Tables) -> DataFrame:
+    known = t.part.where("p_partkey % 2 = 0").groupBy(fold("p_name").alias("n")).agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    rows = t.part.where("p_partkey % 2 = 1").withColumn("n", fold("p_name")).join(known, "n", "left")
+    return rows.select("p_partkey", F.when(F.col("low").isNull(), "new").when(F.col("p_size").between(F.col("low"), F.col("high")), "known").otherwise("differs").alias("state"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'nation:' || n_name ELSE 'locked' END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def e19_parent_inheritance(t: Tables) -> DataFrame:
+    """A child takes its parent's value unless it states its own or is locked."""
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    own = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment"))
+    return rows.select("c_custkey", F.when(F.col("c_custkey") % 3 == 2, "locked").otherwise(F.coalesce(own, F.concat(F.lit("nation:"), F.col("n_name")))).alias("value"))

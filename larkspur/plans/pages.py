@@ -1,0 +1,78 @@
+"""Pages, calendars and paging over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.functions.ship import ship
+from larkspur.functions.text import visible_text
+from larkspur.plans.registry import Tables, query
+from larkspur.sources import documents as D
+from larkspur.streaming import jobs
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def s1_full_scan(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 12345 ORDER BY o_orderkey LIMIT 1000")
+def s2_keyset_page(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderkey > 12345").orderBy("o_orderkey").limit(1000).select("o_orderkey")
+
+
+@query()
+def s4_json_ld(t: Tables) -> DataFrame:
+    """Structured items of pages; the test pages hold none, so each page gets a script made from its id."""
+    made = F.concat(F.lit('<script type="application/ld+json">{"@type": "SportsEvent", "name": "Race '), F.col("page_id").cast("string"), F.lit('", "startDate": "2025-05-04T10:00", "location": {"name": "Lund"}}</script>'))
+    return D.json_ld(t.pages.withColumn("html", F.concat("html", made)))
+
+
+@query()
+def s5_layered_readers(t: Tables) -> DataFrame:
+    pages = t.pages
+    return D.layered(pages, [("json_ld", D.json_ld(pages)), ("generic", D.generic(pages))])
+
+
+@query("SELECT page_id, left(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script>', ' ', 'gis'), '<style\\b.*?</style>', ' ', 'gis'), '<nav\\b.*?</nav>', ' ', 'gis'), '<footer\\b.*?</footer>', ' ', 'gis'), '<noscript\\b.*?</noscript>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\x{A0}]+', ' ', 'g')), 20000) AS text FROM pages")
+def s7_visible_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", visible_text("html").alias("text"))
+
+
+@query()
+def s14_calendar_text(t: Tables) -> DataFrame:
+    ship(t.spark)
+    day = F.to_date("o_orderdate")
+    return D.calendar(t.orders.select("o_orderkey", F.concat_ws(", ", "o_orderpriority", "o_orderstatus").alias("name"), day.alias("start"), day.alias("end")), "o_orderkey", "name", "start", "end")
+
+
+@query()
+def s20_generic_reader(t: Tables) -> DataFrame:
+    return D.generic(t.pages)
+
+
+@query()
+def s21_charset(t: Tables) -> DataFrame:
+    ship(t.spark)
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode(F.substring("text", 1, 200), "UTF-8")).otherwise(F.encode(F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
+    return t.documents.select("doc_id", D.charset_text(raw, F.lit("windows-1252")).alias("text"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def t12_streaming_hour_counts(t: Tables) -> DataFrame:
+    """The hourly counts as a stream: one pass over the table's files with watermarks, all windows closed at the end."""
+    return jobs.hourly(t.spark, f"{t.folder}/events.parquet").select("event_type", "hour", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) > 0 AS seen FROM events GROUP BY ALL")
+def t16_streaming_deduplication(t: Tables) -> DataFrame:
+    """The first delivery of each (user, kind, day), kept apart from repeats by state under a watermark."""
+    return jobs.delivered_once(t.spark, f"{t.folder}/events.parquet")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) AS seen FROM events GROUP BY 1")
+def t3_streaming_state(t: Tables) -> DataFrame:
+    """Per-user state over a stream: how many events and failures so far."""
+    ship(t.spark)
+    return jobs.user_state(t.spark, f"{t.folder}/events.parquet")
