@@ -150,7 +150,7 @@ def fit(rows: DataFrame, label: str = "quality", key: str = "doc_id", fit_rows:
 
 def score(docs: DataFrame, model: Ranker, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns of `keep`, score (0 to 1) and predicted (1 where score >= model.accept). Null and empty texts are scored like any other."""
-    schema = docs.select(key, *keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(key, *keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         for batch in batches:
