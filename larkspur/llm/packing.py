@@ -67,8 +67,25 @@ def best_fit(lengths: np.ndarray, room: int) -> np.ndarray:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, room: int, underfull: int = 256, tries: int = 64) -> np.ndarray:
-    """Improve a packing: empty the least full bin by moves and exchanges with other underfull bins, again and again.
+def _exchange(lengths: np.ndarray, bins: np.ndarray, items: np.ndarray, fill: np.ndarray, room: int) -> bool:
+    """Exchange two items of different bins, one for one, so that the sum of squared fills grows most; whether there was such a pair."""
+    own = items[np.argsort(lengths[items], kind="stable")]
+    if len(own) < 2:
+        return False
+    y, b = lengths[own], bins[own]
+    k = np.searchsorted(y, y + room - fill[b], "right") - 1  # the longest that can stand in the item's place
+    more = y[k] - y
+    gain = np.where((more > 0) & (b[k] != b), more * (fill[b] - fill[b[k]] + more), 0)
+    i = int(np.argmax(gain))
+    if gain[i] <= 0:
+        return False
+    bins[own[i]], bins[own[k[i]]] = b[k[i]], b[i]
+    return True
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, room: int, underfull: int = 256, tries: int = 256) -> np.ndarray:
+    """Improve a packing: empty the least full bin by moves and exchanges with other underfull bins, again and again; where that
+    is stuck, items of the others are exchanged for each other, which gathers their room in fewer bins.
 
     `underfull` bounds the bins that take part at once (those with most room, beside the least full one), and a bin that
     can't be emptied ends the search after `tries` changes without success; both bound time only.
@@ -117,13 +134,14 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, room: int, underfull: in
                         k = ok[np.argmin(two[ok])]
                         x_best = (i, int(trial[o[k]]), [int(o[k]), int(o[k + 1])])
                         break
-            if x_best is None:
+            if x_best is not None:
+                i, to, back = x_best
+                trial[i] = to
+                pool = np.append(pool, i)
+                trial[back] = target
+                pool = pool[~np.isin(pool, back)] if back else pool
+            elif not _exchange(lengths, trial, pool[np.isin(trial[pool], others)], fill, room):
                 break
-            i, to, back = x_best
-            trial[i] = to
-            pool = np.append(pool, i)
-            trial[back] = target
-            pool = pool[~np.isin(pool, back)] if back else pool
         if not gained:
             return bins
         bins = trial

@@ -87,7 +87,7 @@ class Ranker:
     def steps(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
         """How far each feature is through each interval between its knots, 0 to 1."""
         low, high = knots[:, :-1], knots[:, 1:]
-        return np.clip((x[:, :, None] - low) / np.maximum(high - low, 1e-9), 0, 1).reshape(len(x), -1)
+        return np.clip((x[:, :, None] - low) / np.maximum(high - low, 1e-9), 0, 1).reshape(len(x), low.size)
 
     def strength(self, x: np.ndarray) -> np.ndarray:
         return self.steps(x, self.knots) @ self.weights
