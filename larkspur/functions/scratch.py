@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -12,3 +13,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the checkpoint folder and read from there."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    to = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return spark.read.schema(df.schema).parquet(to)

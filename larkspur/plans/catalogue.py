@@ -97,9 +97,9 @@ def f18_ilike_stripped(t: Tables) -> DataFrame:
     return t.part.where(F.col("p_name").ilike("%" + "b%lu_e".replace("%", "").replace("_", "") + "%")).select("p_partkey")
 
 
-@query("SELECT p_partkey, regexp_matches(p_name, '^[a-m]') AS early, NOT regexp_matches(lower(p_type), 'steel|brass') AS other FROM part")
+@query("SELECT p_partkey, regexp_matches(p_name, '^[a-m]') AS early, NOT regexp_matches(lower(p_type), 'economy|promo') AS other FROM part")
 def f19_regex_predicates(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.col("p_name").rlike("^[a-m]").alias("early"), (~F.col("p_type").rlike("(?i)steel|brass")).alias("other"))
+    return t.part.select("p_partkey", F.col("p_name").rlike("^[a-m]").alias("early"), (~F.col("p_type").rlike("(?i)economy|promo")).alias("other"))
 
 
 @query("SELECT doc_id FROM documents WHERE strpos(text, 'License') > 0")

@@ -34,9 +34,9 @@ def c4_normalized_name(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.normalized_name("p_name", ["blue", "red", "small"]).alias("name"))
 
 
-@query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace({sql_fold('p_type')}, '^(standard|small) ', 'series:plain ', 'g'), ' [0-9]+$', '', 'g'), ' +', ' ', 'g')) AS name FROM part")
+@query(f"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace({sql_fold('p_name')}, '^(red|small) ', 'series:plain ', 'g'), ' [0-9]+$', '', 'g'), ' +', ' ', 'g')) AS name FROM part")
 def c5_alias_rules(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.ruled("p_type", [("^(standard|small) ", "series:plain "), (" [0-9]+$", "")]).alias("name"))
+    return t.part.select("p_partkey", X.ruled("p_name", [("^(red|small) ", "series:plain "), (" [0-9]+$", "")]).alias("name"))
 
 
 BI = "list_transform(range(1, length({0})), lambda i: substr({0}, CAST(i AS BIGINT), 2))"
