@@ -230,12 +230,12 @@ def j13_sorted_pairs(t: Tables) -> DataFrame:
     return rows.join(other, ["s_nationkey", "k"]).where((F.col("s_suppkey") < F.col("other")) & (F.abs(F.col("s_acctbal") - F.col("v")) <= 500)).select("s_suppkey", "other")
 
 
-@query(f"WITH p AS {PTS} SELECT a.s_suppkey AS l, b.s_suppkey AS r FROM p a JOIN p b ON a.s_suppkey < b.s_suppkey AND abs(a.lat - b.lat) <= 1.5 AND abs(a.lng - b.lng) <= 1.75 AND {KM} >= 0")
+@query(f"WITH p AS {PTS} SELECT a.s_suppkey AS l, b.s_suppkey AS r FROM p a JOIN p b ON a.s_suppkey < b.s_suppkey AND abs(a.lat - b.lat) <= 3.5 AND abs(a.lng - b.lng) <= 4.5 AND {KM} >= 0")
 def j26_same_place_tolerance(t: Tables) -> DataFrame:
     from larkspur.operators.joins import within_km
 
     p = points(t)
-    near = within_km(p, p, 400.0, step=4.0).where("l_s_suppkey < r_s_suppkey and abs(l_lat - r_lat) <= 1.5D and abs(l_lng - r_lng) <= 1.75D")
+    near = within_km(p, p, 700.0, step=7.0).where("l_s_suppkey < r_s_suppkey and abs(l_lat - r_lat) <= 3.5D and abs(l_lng - r_lng) <= 4.5D")
     return near.select(F.col("l_s_suppkey").alias("l"), F.col("r_s_suppkey").alias("r"))
 
 
