@@ -8,6 +8,7 @@ from larkspur.functions.ship import ship
 from larkspur.llm import langid, pii, quality, unigram
 from larkspur.llm.caps import near_duplicates
 from larkspur.llm.jaccard import jaccard_components
+from larkspur.llm.oracles import ORACLES  # noqa: F401
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.pivots import top_k
 from larkspur.llm.runindex import remove_matches
@@ -89,4 +90,4 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_sentencepiece_unigram, op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
