@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from larkspur.llm import spread as S
 
 KINDS = ("email", "ip", "card", "phone")
-# The seed patterns. Quantifiers are possessive only where the next character can't be in the class.
+# The seed patterns. Quantifiers are possessive only where the next character can't be in the class; a group so
+# repeated is matched in a loop, without a stack. A run of characters is entered at its start or where the last match ended, else
+# a very long run would be read again from each of its characters.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+",
-    "ip": r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a pattern to match; cheap to see.
