@@ -328,7 +328,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     entries = S.kept(entries.join(apart, "k"), "entries")
     e, f = entries.alias("e"), entries.alias("f")
     fits = F.expr(f"e.component < f.component and {den} * least(e.n, f.n) >= {num} * greatest(e.n, f.n)")
-    bound = F.expr(f"(least(e.pos, f.pos) + 1 + least(e.n - e.pos, f.n - f.pos) - 1) * {num + den} >= {num} * (e.n + f.n)")
+    # at the first n-gram that a linked pair shares, what is left of the shorter rest holds the whole overlap; later ones only add to its count
+    bound = F.expr(f"least(e.n - e.pos, f.n - f.pos) * {num + den} >= {num} * (e.n + f.n)")
     pairs = e.join(f, (F.col("e.k") == F.col("f.k")) & fits & bound).select(F.col("e.doc").alias("u"), F.col("f.doc").alias("v"), F.col("e.n").alias("nu"), F.col("f.n").alias("nv"), F.lit(1).cast("long").alias("c"), F.col("e.pos").alias("iu"), F.col("f.pos").alias("iv"))
     seen = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
     second = S.kept(_possible(pairs, num, den).join(seen, ["u", "v"], "left_anti"), "pairs")
