@@ -2,8 +2,9 @@
 
 A filter is a direction; a vector belongs to every filter whose direction it exceeds a threshold with. The directions form a product
 code: the (randomly rotated) space is cut into blocks, each block has its own random directions, and a filter takes one
-of each. A vector's filters are list-decoded: block scores are combined only as far as their sum can still pass. Vectors
-of one filter are compared exactly, in double precision; a pair that shares several filters is counted in the least one.
+of each. A vector's filters are list-decoded: block scores are combined only as far as their sum can still pass. The filters of
+one code depend on each other, so several codes with rotations of their own are united; their number comes from the share of
+random pairs at the threshold that have no filter in common, measured before the table is read. Vectors of one filter are compared exactly, in double precision; a pair that shares several filters is counted in the least one.
 Filters with very many vectors are split into pairs of sub-blocks of bounded size, so no task holds a whole one.
 """
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from larkspur.llm import spread as S
 from larkspur.llm.pivots import matrix, usable
 
-#: Vectors that a filter should hold, about; most rows of one side of a task; chance of missing a pair at the threshold, about.
-LOAD, SIDE, MISS = 64, 1024, 0.01
+#: Vectors that a filter should hold, about; most rows of one side of a task; chance of missing a pair at the threshold, at most.
+LOAD, SIDE, MISS = 512, 1024, 0.01
+#: Miss of one code were its filters independent (small codes, of which more are united, need fewer filters); pairs measured.
+ONE, PAIRS = 0.6, 4000
 
 
 def tail(x: float) -> float:
@@ -40,7 +43,7 @@ class Code:
         self.cut = low
         over = self.cut + 1 / (self.cut + 1)  # a typical score beyond the cut
         both = tail((self.cut - cos * over) / math.sqrt(1 - cos * cos))
-        each = math.log(1 / MISS) / both
+        each = math.log(1 / ONE) / both
         self.blocks = min(dim, 2 if each / p < 1e6 else 3)
         self.size = max(2, math.ceil((each / p) ** (1 / self.blocks)))
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -73,21 +76,79 @@ class Code:
         return np.append(row, none), np.append(code, top)
 
 
-def _decode(code: Code, dim: int):
+def pairs_at(dim: int, cos: float, n: int, seed: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors with that cosine (equal ones where dim is 1)."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if dim == 1:
+        return a, a
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    return a, cos * a + math.sqrt(1 - cos * cos) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+def codes(dim: int, n: int, cos: float) -> list[Code]:
+    """As many codes as leave a share of MISS of the measured pairs without a common filter, by two standard errors."""
+    a, b = pairs_at(dim, cos, PAIRS)
+    left, out = np.arange(PAIRS), []
+    while len(left) + 2 * math.sqrt(len(left)) > MISS * PAIRS:
+        out.append(Code(dim, n, cos, seed=11 + len(out)))
+        left = left[~shares([out[-1]], a[left], b[left])]
+    return out
+
+
+def decode(codes: list[Code], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all codes, by row and filter; each code's filters have numbers of their own."""
+    got = [(row, filt + k * c.size**c.blocks) for k, c in enumerate(codes) for row, filt in [c.decode(unit)]]
+    row, filt = (np.concatenate(p) for p in zip(*got, strict=True))
+    order = np.lexsort((filt, row))
+    return row[order], filt[order]
+
+
+def shares(codes: list[Code], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether row i of a and row i of b have a filter in common."""
+    (row, filt), (row2, filt2) = decode(codes, a), decode(codes, b)
+    most = np.int64(max(filt.max(initial=0), filt2.max(initial=0))) + 1
+    out = np.zeros(len(a), bool)
+    out[np.intersect1d(row * most + filt, row2 * most + filt2) // most] = True
+    return out
+
+
+def _decode(codes: list[Code], dim: int):
     def run(batches):
         for batch in batches:
             x = matrix(batch.column(1), dim)
             norm = np.sqrt((x * x).sum(axis=1))
             ok = norm > 0
-            row, filt = code.decode(x[ok] / norm[ok, None])
-            order = np.lexsort((filt, row))
-            row, filt = row[order], filt[order]
+            row, filt = decode(codes, x[ok] / norm[ok, None])
             off = np.searchsorted(row, np.arange(int(ok.sum()) + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(filt))], ["id", "v", "filters"])
 
     return run
 
 
+def _earlier(lists: list[np.ndarray], filt: int, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which of the near pairs share a filter below filt. Only rows with a near pair and filters of several rows are looked at."""
+    out = np.zeros(near.shape, bool)
+    ra, rb = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    rows = np.union1d(a[ra], b[rb])
+    earlier = [lists[i][lists[i] < filt] for i in rows]
+    if not sum(map(len, earlier)):
+        return out
+    owner = np.repeat(np.arange(len(rows)), [len(f) for f in earlier])
+    _, place, count = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+    place, owner = (np.cumsum(count > 1) - 1)[place[count[place] > 1]], owner[count[place] > 1]
+    ia, ib = np.searchsorted(rows, a[ra]), np.searchsorted(rows, b[rb])
+    shared = np.zeros((len(ra), len(rb)), bool)
+    for at in range(0, int((count > 1).sum()), 4096):
+        here = (place >= at) & (place < at + 4096)
+        held = np.zeros((len(rows), min(4096, int((count > 1).sum()) - at)), np.float32)
+        held[owner[here], place[here] - at] = 1
+        shared |= held[ia] @ held[ib].T > 0
+    out[np.ix_(ra, rb)] = shared
+    return out
+
+
 def _links(x: np.ndarray, ids: np.ndarray, lists: list[np.ndarray], filt: int, side: np.ndarray, same: bool, cos: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row that count here, and the least id each row's linked group here has."""
     unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
@@ -95,11 +156,7 @@ def _links(x: np.ndarray, ids: np.ndarray, lists: list[np.ndarray], filt: int, s
     near = unit[a] @ unit[b].T >= cos
     if same:
         np.fill_diagonal(near, False)
-    earlier = [f[f < filt] for f in lists]
-    names, place = np.unique(np.concatenate(earlier), return_inverse=True) if len(earlier) else (np.zeros(0), np.zeros(0, int))
-    held = np.zeros((len(x), len(names)), np.float32)
-    held[np.repeat(np.arange(len(x)), [len(f) for f in earlier]), place] = 1
-    new = near & (held[a] @ held[b].T == 0)
+    new = near & ~_earlier(lists, filt, a, b, near)
     links = np.zeros(len(x), np.int64)
     links[a] += new.sum(axis=1)
     if not same:
@@ -133,15 +190,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     """key, n_links, component_id, kept: rows link where a pair found has cosine >= cos in double precision.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing: no links, a component of their own.
-    Vectors of different lengths don't link. Each pair at the threshold is found with a chance of about 1 - MISS, closer ones
-    with more; none below it is linked. Keys are unique.
+    Vectors of different lengths don't link. Each pair at the threshold is found with a chance of 1 - MISS or more at every size
+    of the table (measured on random pairs, see codes), closer ones with more; none below it is linked. Keys are unique.
     """
     rows = usable(vectors, key, column)
     sizes = rows.groupBy("dim").count().collect()
     found = None
     for r in sorted(sizes, key=lambda r: r["dim"]):
-        code = Code(r["dim"], r["count"], cos)
-        held = S.kept(rows.where(F.col("dim") == r["dim"]).select("id", "v").mapInArrow(_decode(code, r["dim"]), "id long, v array<double>, filters array<long>"), "filters")
+        chosen = codes(r["dim"], r["count"], cos)
+        held = S.kept(rows.where(F.col("dim") == r["dim"]).select("id", "v").mapInArrow(_decode(chosen, r["dim"]), "id long, v array<double>, filters array<long>"), "filters")
         big = held.select(F.explode("filters").alias("f")).groupBy("f").count().where("count > 1").select("f", F.ceil(F.col("count") / SIDE).cast("int").alias("s"))
         dealt = held.select("id", "filters", F.explode("filters").alias("f")).join(big, "f")
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", "f"), F.col("s")).cast("int"))

@@ -95,6 +95,34 @@ def test_filters_are_those_above_the_cut():
     assert want <= have and {r for r, _ in have} == set(range(50))
 
 
+@pytest.mark.parametrize("n", [200, 20_000, 200_000, 2_000_000])
+def test_pairs_at_the_threshold_share_a_filter_at_every_size(n):
+    chosen = caps.codes(64, n, 0.9)
+    for cos in (0.9, 0.95, 0.98):
+        a, b = caps.pairs_at(64, cos, 3000, seed=77)  # other pairs than those the codes were sized on
+        assert caps.shares(chosen, a, b).mean() >= 0.985
+
+
+def test_near_duplicates_of_many_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = caps.pairs_at(64, 0.905, 400, seed=5)
+    x = np.concatenate([x, a, b, caps.pairs_at(64, 0.96, 200, seed=6)[0], caps.pairs_at(64, 0.96, 200, seed=6)[1]]).astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = sum(int((u[at : at + 2048] @ u.T >= 0.9).sum()) for at in range(0, len(u), 2048)) - len(u)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = sum(r.n_links for r in caps.near_duplicates(df, cos=0.9).collect())
+    assert want >= 1200 and 0.98 * want <= found <= want
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_codes_of_few_dimensions(dim):
+    a, b = caps.pairs_at(dim, 0.9, 1000, seed=7)
+    assert caps.shares(caps.codes(dim, 5000, 0.9), a, b).mean() >= 0.98
+
+
 def test_empty_and_useless_tables(spark):
     none = frame(spark, as_rows(np.zeros((1, 2)), [1])).limit(0)
     assert pivots.top_k(none).collect() == [] and caps.near_duplicates(none).collect() == []
