@@ -29,19 +29,31 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: A token of identifier shape: it holds a digit or an at-sign (see _instance).
 TOKEN, TOKEN_HINT = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"[0-9@]"
-#: Characters before a place in which its two context words are looked for.
-CONTEXT = 48
+#: Characters of a context from which on its hash stands for it.
+LONG = 256
 BYTE = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def _matches(docs: DataFrame, pattern: str, hint: str) -> DataFrame:
-    """doc_id, start, end, m, left: the leftmost matches of a pattern, by code points, and the text just before each."""
+    """doc_id, start, end, m, left: the leftmost matches of a pattern, by code points, and the two words before each, or null.
+
+    What stands between two matches, with the earlier one before it, is a piece, of which the last words are kept with single spaces.
+    A place's words are looked for in the pieces from the last word's start but one on; c counts such starts.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = docs.where(text.rlike(hint)).select("doc_id", F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("g"))
-    one = F.expr(f"zip_with(m, slice(g, 1, size(m)), (m, g) -> struct(m, char_length(g) as n, right(g, {CONTEXT}) as left))")
-    rows = hit.select("doc_id", F.posexplode(one).alias("i", "x")).select("doc_id", "i", "x.*")
-    end = F.sum(F.col("n") + F.char_length("m")).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("end", end.cast("int")).select("doc_id", (F.col("end") - F.char_length("m")).alias("start"), "end", "m", "left")
+    words = "split(concat(if(i = 0, '', m[i - 1]), g[i]), '\\\\s++')"
+    one = F.expr(f"transform(m, (x, i) -> struct(x as m, char_length(g[i]) as n, {words} as w))")
+    rows = hit.select("doc_id", F.posexplode(one).alias("i", "x")).select("doc_id", "i", "x.m", "x.n", F.expr("if(size(x.w) > 3, concat(' ', array_join(slice(x.w, -3, 3), ' ')), array_join(x.w, ' '))").alias("piece"))
+    order = W.partitionBy("doc_id").orderBy("i")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.col("n") + F.char_length("m")).over(so_far)
+    begun = F.regexp_count(F.concat(F.coalesce(F.right(F.lag("piece").over(order), F.lit(1)), F.lit("")), "piece"), F.lit(r" \S"))
+    rows = rows.withColumn("end", end.cast("int")).withColumn("c", begun).withColumn("c", F.sum("c").over(so_far))
+    near = F.collect_list(F.struct("i", "piece")).over(W.partitionBy("doc_id").orderBy("c").rangeBetween(-1, 0))
+    rows = rows.withColumn("near", near).withColumn("near", F.expr("array_join(transform(array_sort(filter(near, x -> x.i <= i)), x -> x.piece), '')"))
+    left = F.expr("slice(filter(split(concat('  ', near), ' '), x -> x <> ''), -2, 2)")
+    return rows.select("doc_id", (F.col("end") - F.char_length("m")).alias("start"), "end", "m", F.when(F.size(left) == 2, F.array_join(left, " ")).alias("left"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -66,9 +78,9 @@ def _holds(kind: str) -> Column:
 
 
 def _context() -> Column:
-    """The last two words before a place, lower-case: the lexical pattern."""
-    got = F.lower(F.regexp_extract("left", r"(\S+\s+\S+)\s*$", 1))
-    return F.when(got != "", F.regexp_replace(got, r"\s+", " "))
+    """The last two words before a place, lower-case: the lexical pattern; a very long one by its hash."""
+    got = F.lower("left")
+    return F.when(F.length(got) > LONG, F.sha2(got.cast("binary"), 256)).otherwise(got)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:

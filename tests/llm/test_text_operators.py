@@ -216,6 +216,25 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert got[101].spans == "" and got[102].spans == ""
 
 
+def test_pii_contexts_are_the_two_words_before(spark):
+    odd = "12 34 5 a@b.cd,1.2.3.4,5.6.7.8 x9 " + "w" * 90 + " \t\n" + "v" * 300 + " 5.5.5.5:  +49 30 1234567 9 9\u00a0 9 77,88 99\n1 2 3 4\tend 5 "
+    texts = [odd, " " + odd * 3, "1.2.3.4,5.6.7.8,9.9.9.9", "a 1.2.3.4", "a\tb1.2.3.4 c@d.ef", "item 5 phone: 415/555/2671x1", "no 1 2 " + "é😀 " * 30 + "3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for pattern, hint in [(pii.TOKEN, pii.TOKEN_HINT), *((pii.PATTERNS[k], pii.HINTS[k]) for k in ("email", "ip", "phone")), (pii.PATTERNS["card"], "[0-9]")]:
+        got = pii._matches(df, pattern, hint).collect()
+        assert got
+        for r in got:
+            words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", texts[r.doc_id][: r.start]) if w]
+            assert texts[r.doc_id][r.start : r.end] == r.m and r.left == (" ".join(words[-2:]) if len(words) > 1 else None)
+
+
+def test_pii_patterns_that_hold_a_digit_discover(spark):
+    seen = [(i, f"row {i} item 5 phone: +1 (415) 555-{2000 + i}. and more") for i in range(12)]
+    new = [(100, "item 5 phone: 415/555/2671x1"), (101, "1 2 item 3 4 5 phone: 415/555/2671x1")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(seen + new, "doc_id long, text string")).collect()}
+    assert all(got[i] == f"phone:{t.index('415')}:{len(t)}" for i, t in new)
+
+
 def test_pii_uses_no_python_on_executors(docs):
     plan = pii.find(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
