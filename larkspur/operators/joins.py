@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.functions.geo import haversine
+from larkspur.functions.geo import EARTH_KM, haversine
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, start: str = "start", end: str = "end", days: int = 7) -> DataFrame:
@@ -46,13 +48,26 @@ def day_blocks(df: DataFrame, key: str, start: str, end: str, block: list[str],
 def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lng: str = "lng", step: float = 1.0) -> DataFrame:
     """Pairs at most km apart with their distance: left rows look into the cells that their circle touches. Prefixes l_ and r_.
 
-    step: cell width in degrees, no smaller than km/111; latitudes up to 60 degrees from the equator.
+    step: cell width in degrees. A circle's reach in longitude follows its latitude; one that holds a pole reaches all
+    longitudes, and cells go round the sphere, so any latitude and longitude will do.
     """
-    reach = max(1, int(-(-km / 111.0 * 2 // step)))
-    deltas = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
+    arc = km / EARTH_KM + 1e-7  # radians; the slack covers rounding
+    last = math.ceil(360 / step) - 1
     a = left.select(*(F.col(c).alias("l_" + c) for c in left.columns))
-    a = a.withColumn("_y", F.explode(F.transform(deltas, lambda d: F.floor(F.col("l_" + lat) / step) + d))).withColumn("_x", F.explode(F.transform(deltas, lambda d: F.floor(F.col("l_" + lng) / step) + d)))
-    b = right.select(*(F.col(c).alias("r_" + c) for c in right.columns)).withColumn("_y", F.floor(F.col("r_" + lat) / step)).withColumn("_x", F.floor(F.col("r_" + lng) / step))
+    north, east = F.col("l_" + lat), F.pmod(F.col("l_" + lng), F.lit(360.0))
+    slope = F.cos(F.radians(north))
+    wide = F.when(F.abs(F.radians(north)) + arc < math.pi / 2, F.degrees(F.asin(F.least(F.sin(F.lit(arc)) / slope, F.lit(1.0)))) + 1e-7).otherwise(F.lit(360.0))
+    wide = F.when(north.isNotNull(), wide)
+
+    def turn(by: float) -> Column:
+        low, high = F.greatest(F.floor((east + by - wide) / step), F.lit(0)), F.least(F.floor((east + by + wide) / step), F.lit(last))
+        return F.when(low <= high, F.sequence(low, high)).when(low > high, F.array().cast("array<bigint>"))
+
+    high = math.degrees(arc)
+    a = a.withColumn("_y", F.explode(F.sequence(F.floor((north - high) / step), F.floor((north + high) / step))))
+    a = a.withColumn("_x", F.explode(F.array_distinct(F.concat(*(turn(by) for by in (-360.0, 0.0, 360.0))))))
+    b = right.select(*(F.col(c).alias("r_" + c) for c in right.columns)).withColumn("_y", F.floor(F.col("r_" + lat) / step))
+    b = b.withColumn("_x", F.least(F.floor(F.pmod(F.col("r_" + lng), F.lit(360.0)) / step), F.lit(last)))
     far = haversine(F.col("l_" + lat), F.col("l_" + lng), F.col("r_" + lat), F.col("r_" + lng))
     return a.join(b, ["_y", "_x"]).withColumn("km", far).where(F.col("km") <= km).drop("_y", "_x")
 

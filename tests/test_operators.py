@@ -1,6 +1,7 @@
 """Operators on small made-up rows: edges that the tables don't hold."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,24 @@ def test_interval_overlap_has_each_pair_once_and_no_theta_plan(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize(("km", "step"), [(150, 1.5), (40, 7.0), (900, 2.0)])
+def test_within_km_is_the_theta_join_at_any_latitude(spark, km, step):
+    rows = [(i, 64.9 + i % 7 * 0.02, i * 0.29 - 5) for i in range(80)]
+    rows += [(100 + i, (-1) ** i * (89.9 - i * 0.7), i * 47.0 % 360 - 180) for i in range(20)] + [(200, 64.0, 179.9), (201, 64.0, -179.9), (202, 0.0, -180.0), (203, 0.0, 180.0), (204, None, 1.0), (205, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, lat double, lng double")
+    out = joins.within_km(df, df, km, step=step)
+    got = [(r.l_id, r.r_id) for r in out.select("l_id", "r_id").collect()]
+
+    def far(a, b):
+        p, x, q, y = map(math.radians, (*a[1:], *b[1:]))
+        return 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2)))
+
+    known = [r for r in rows if None not in r]
+    assert sorted(got) == sorted((a[0], b[0]) for a in known for b in known if far(a, b) <= km)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_polygon_and_box(spark):
     df = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, None, 0.5)], "id long, lat double, lng double")
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
