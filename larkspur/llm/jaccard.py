@@ -8,11 +8,15 @@ Rows are documents, columns the n-grams. Only pairs that can reach the threshold
   documents hold last, so that neither common words nor a common passage bring together all who hold them;
 * overlap counts accumulate over the columns a pair shares there, and pairs whose count and remaining sizes can't reach
   the overlap that their sizes ask for are dropped;
-* the remaining pairs' products are accumulated over blocks of columns, dropping pairs on the way by the same bound.
-
-Components, not pairs, are the result, so inside one column all rows are multiplied with the column's least row of like
-size first; only rows that are then still in different components are paired in a second pass. So a group of many
-near copies costs one product per copy, and yet no link between different components is lost.
+* each row has a parity map: about one bit per n-gram, turned over by each n-gram that falls on it. The bits in which two
+  maps differ are no more than the n-grams in which the rows differ, so their number bounds the overlap from above;
+* the remaining pairs' products are accumulated over blocks of columns, dropping pairs on the way by the same bound. Rows
+  stream past the rows of one chunk in the order of their ids, so a task holds one chunk and one batch.
+
+Components, not pairs, are the result, so inside one column all rows are multiplied with a few of the column's rows of like
+size first (its least one and two by hashes); only rows that are then still in different components are paired in a second
+pass. So a group of many near copies costs a few products per copy, and yet no link between different components is lost.
+A column that very many rows hold is dealt out in parts, whose chosen rows then meet in a column of their own.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ LOWER[65:91] += 32
 LAST = 1 << 16
 #: Column blocks over which a pair's product accumulates.
 BLOCKS = 4
+#: Rows of a column beyond which it is dealt out in parts, and bytes of entries after which a worker sends them.
+SPLIT, FLUSH = 20_000, 4 << 20
+#: Seeds of the hashes by which a column's further chosen rows are found.
+CHOSEN = (11, 12)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray] | None = None):
@@ -65,13 +73,10 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int, common: tuple[np.ndarray
     return (*out, (w[begin + np.minimum(counts, n)[np.concatenate([np.repeat(np.arange(len(counts)), np.maximum(counts - n + 1, 0)), short])]] - w[begin])[order])
 
 
-def _sets(docs: pa.Table, n: int, wanted: np.ndarray | None = None, common=None):
-    """Per slice: ids, shingles, offsets; only of the wanted ids where given."""
-    ids = docs["doc_id"].to_numpy()
-    if wanted is not None:
-        keep = np.flatnonzero(np.isin(ids, wanted))
-        docs, ids = docs.take(pa.array(keep)), ids[keep]
-    data, off = K.column(docs["text"])
+def _sets(batch: pa.RecordBatch, n: int, common=None):
+    """Per slice of (doc_id, text): ids, shingles, offsets, and weights where a table of common words is given."""
+    ids = batch.column(0).to_numpy()
+    data, off = K.column(batch.column(1))
     for i, j in K.slices(off):
         yield (ids[i:j], *shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], n, common))
 
@@ -82,12 +87,31 @@ def _set_hashes(v: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
     return K.mix(sums[off[1:]] - sums[off[:-1]])
 
 
-SIGNED = ["doc_id", "n", "a", "b"]
+def _parity_maps(v: np.ndarray, off: np.ndarray) -> pa.Array:
+    """For each row a map of a power of two bits, at least 64 and at least one per n-gram: bit mix(x) turned over by each n-gram x."""
+    size = np.diff(off)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    at = np.append(0, np.cumsum(bits))
+    row = K.row_of(off, len(v))
+    place = at[row] + (K.mix(v, 9) & (bits[row] - 1).astype(U)).astype(np.int64)
+    flat = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at // 8), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _folded(maps: np.ndarray, bits: int) -> np.ndarray:
+    """Parity maps (rows of uint64 words) of a larger power of two, folded to so many bits."""
+    while maps.shape[1] * 64 > bits:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+SIGNED = ["doc_id", "n", "a", "b", "map"]
 
 
 def _told(key: np.ndarray, count: np.ndarray, kind: int) -> pa.RecordBatch:
     """Counts of shingles (kind 0) or words (kind 1), as rows without a document."""
-    return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(count.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind))], SIGNED)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(count.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind)), pa.nulls(len(key), pa.binary())], SIGNED)
 
 
 def _sign(n: int):
@@ -100,7 +124,7 @@ def _sign(n: int):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 v, at = shingles(d, o, n)
                 a, b = _set_hashes(v, at, 3).view(np.int64), _set_hashes(v, at, 4).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(np.diff(at)), pa.array(a), pa.array(b)], SIGNED)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(np.diff(at)), pa.array(a), pa.array(b), _parity_maps(v, at)], SIGNED)
                 u, c = np.unique(v, return_counts=True)
                 often = c >= max(4, (j - i) // 200)
                 yield _told(u[often], c[often], 0)
@@ -120,11 +144,11 @@ def _sign(n: int):
 
 
 def _most_counted(signed: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """The LAST most counted keys of a kind, ascending, and the magnitude of their counts."""
+    """The LAST most counted keys of a kind, ascending, and their counts."""
     rows = signed.where(f"doc_id is null and b = {kind}").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(LAST).collect()
-    key, n = np.array([r.a for r in rows], np.int64).view(U), np.array([r.n for r in rows], np.float64)
+    key, n = np.array([r.a for r in rows], np.int64).view(U), np.array([r.n for r in rows], np.int64)
     order = np.argsort(key)
-    return key[order], np.log2(np.maximum(n[order], 1)).astype(np.int64)
+    return key[order], n[order]
 
 
 def least_overlap(na, nb, num: int, den: int):
@@ -133,14 +157,35 @@ def least_overlap(na, nb, num: int, den: int):
 
 
 PRE = np.dtype([("k", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-PAIR = "u long, v long, nu int, nv int, c long, iu int, iv int"
 
 
-def _prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray, common: tuple[np.ndarray, np.ndarray]):
+def _place(p: np.ndarray, split: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A key by which entries go to buckets: the column's, or for a column dealt out in parts, its part's; equal sets go to one part."""
+    keys, parts = split
+    place = p["k"].copy()
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, place), len(keys) - 1)
+        hot = np.flatnonzero(keys[at] == place)
+        place[hot] = K.mix(place[hot] + p["set"][hot] % parts[at[hot]].astype(U), 5)
+    return place
+
+
+def _prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray, common: tuple[np.ndarray, np.ndarray], split: tuple[np.ndarray, np.ndarray]):
+    def sent(out: list) -> pa.RecordBatch:
+        p = np.concatenate(out)
+        # equal sets of a batch are one row, that of their least document
+        order = np.lexsort((p["doc"], p["n"], p["set"]))
+        q = p[order]
+        new = np.append(True, (q["set"][1:] != q["set"][:-1]) | (q["n"][1:] != q["n"][:-1]))
+        p = q[q["doc"] == q["doc"][new][np.cumsum(new) - 1]]
+        order, got, at = S.by_bucket(_place(p, split), buckets)
+        p = p[order]
+        return pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), S.blobs([p[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])], ["bucket", "entries"])
+
     def send(batches):
         for batch in batches:
-            out = []
-            for ids, v, off, weight in _sets(pa.Table.from_batches([batch]), n, common=common):
+            out, size_out = [], 0
+            for ids, v, off, weight in _sets(batch, n, common):
                 row, size = K.row_of(off, len(v)), np.diff(off)
                 late = last[np.minimum(np.searchsorted(last, v), len(last) - 1)] == v if len(last) else np.zeros(len(v), bool)
                 order = np.lexsort((v, weight, late, row))
@@ -150,17 +195,70 @@ def _prefixes(n: int, num: int, den: int, buckets: int, last: np.ndarray, common
                 p["k"], p["doc"], p["n"], p["pos"] = v[order][keep], ids[row[keep]], size[row[keep]], pos[keep]
                 p["set"] = _set_hashes(v, off, 3)[row[keep]]
                 out.append(p)
-            p = np.concatenate(out) if out else np.zeros(0, PRE)
-            order, got, at = S.by_bucket(p["k"], buckets)
-            p = p[order]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), S.blobs([p[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])], ["bucket", "entries"])
+                size_out += p.nbytes
+                if size_out >= FLUSH:
+                    yield sent(out)
+                    out, size_out = [], 0
+            if size_out:
+                yield sent(out)
 
     return send
 
 
-def _columns(num: int, den: int):
-    """Of a bucket of columns: products of each row with its column's least row of like size, and the entries of shared columns."""
-    step = np.log(den / num)
+def _chosen(p: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in the order of their columns and of bands of like size, the first of each column and band, and by [way, band] the chosen rows."""
+    band = np.floor(np.log(np.maximum(p["n"], 1)) / np.log(den / num) + 1e-9).astype(np.int64)
+    order = np.lexsort((p["doc"], band, p["k"]))
+    p, band = p[order], band[order]
+    head = np.append(True, (p["k"][1:] != p["k"][:-1]) | (band[1:] != band[:-1])) if len(p) else np.zeros(0, bool)
+    at, own = np.flatnonzero(head), np.cumsum(head) - 1
+    chosen = [at]
+    for seed in CHOSEN:
+        by = np.lexsort((K.mix(p["doc"].view(U), seed), own))
+        chosen.append(by[at])
+    return p, band, np.stack(chosen) if len(p) else np.zeros((1, 0), np.int64)
+
+
+def _paired(p: np.ndarray, num: int, den: int) -> tuple[pa.Table, np.ndarray]:
+    """Products of the rows of each column with the column's chosen rows of like size, counted by pair; and the chosen entries."""
+    p, band, chosen = _chosen(p, num, den)
+    at = chosen[0]
+    own = np.searchsorted(at, np.arange(len(p)), "right") - 1
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for back in (0, 1):  # the chosen rows of the own band, and of the band before in the same column
+        g = own - back
+        for lead in chosen[:, np.maximum(g, 0)] if len(p) else ():
+            ok = (g >= 0) & (p["k"][lead] == p["k"]) & (p["doc"][lead] != p["doc"]) & (band - band[lead] <= 1)
+            i = np.flatnonzero(ok & (den * np.minimum(p["n"], p["n"][lead]) >= num * np.maximum(p["n"], p["n"][lead])))
+            left.append(i)
+            right.append(lead[i])
+    i, j = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((p["k"][i], p["doc"][j], p["doc"][i]))
+    i, j = i[order], j[order]
+    once = np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(i) else np.zeros(0, bool)  # a row may be chosen twice
+    i, j = i[once], j[once]
+    u, v = p["doc"][i], p["doc"][j]
+    one = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
+    most = lambda x: np.maximum.reduceat(x, one) if len(one) else np.zeros(0, np.int32)
+    pairs = S.table(u=pa.array(u[one]), v=pa.array(v[one]), nu=pa.array(p["n"][i][one]), nv=pa.array(p["n"][j][one]), c=pa.array(np.diff(np.append(one, len(u)))), iu=pa.array(most(p["pos"][i])), iv=pa.array(most(p["pos"][j])))
+    return pairs, p[np.unique(chosen)] if len(p) else p
+
+
+PAIR = "u long, v long, nu int, nv int, c long, iu int, iv int"
+
+
+def _entries(p: np.ndarray, chosen: bool) -> pa.Table:
+    """Entries as rows without v: column k, document u, size nu, place iu; c is 1 for the chosen ones of a column in parts, else 0."""
+    m = len(p)
+    return S.table(u=pa.array(p["doc"]), v=pa.nulls(m, pa.int64()), nu=pa.array(p["n"]), nv=pa.nulls(m, pa.int32()), c=pa.array(np.full(m, int(chosen))), iu=pa.array(p["pos"]), iv=pa.nulls(m, pa.int32()), k=pa.array(p["k"].view(np.int64)))
+
+
+def _columns(num: int, den: int, split: tuple[np.ndarray, np.ndarray]):
+    """Of a bucket of columns: products with chosen rows, the entries of shared columns, and the chosen entries of columns in parts."""
+
+    def in_parts(k: np.ndarray) -> np.ndarray:
+        keys = split[0]
+        return keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k if len(keys) else np.zeros(len(k), bool)
 
     def multiply(sent: pa.Table) -> pa.Table:
         p, _ = S.joined(sent["entries"], PRE)
@@ -169,170 +267,180 @@ def _columns(num: int, den: int):
             p = p[np.append(True, (p["k"][1:] != p["k"][:-1]) | (p["set"][1:] != p["set"][:-1]) | (p["n"][1:] != p["n"][:-1]))]
         new = np.append(True, p["k"][1:] != p["k"][:-1]) if len(p) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
-        p = p[(np.bincount(group) > 1)[group]] if len(p) else p
-        band = np.floor(np.log(np.maximum(p["n"], 1)) / step + 1e-9).astype(np.int64)
-        order = np.lexsort((p["doc"], band, p["k"]))
-        p, band = p[order], band[order]
-        head = np.append(True, (p["k"][1:] != p["k"][:-1]) | (band[1:] != band[:-1])) if len(p) else np.zeros(0, bool)
-        at = np.flatnonzero(head)
-        own = np.cumsum(head) - 1
-        pairs = []
-        for back in (0, 1):  # the least row of the own band, and of the band before in the same column
-            g = own - back
-            ok = g >= 0
-            lead = at[np.maximum(g, 0)]
-            ok &= (p["k"][lead] == p["k"]) & (p["doc"][lead] != p["doc"]) & (band - band[lead] <= 1)
-            i, j = np.flatnonzero(ok), lead[ok]
-            fits = den * np.minimum(p["n"][i], p["n"][j]) >= num * np.maximum(p["n"][i], p["n"][j])
-            pairs.append((i[fits], j[fits]))
-        i, j = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
-        order = np.lexsort((p["doc"][j], p["doc"][i]))
-        i, j = i[order], j[order]
-        u, v = p["doc"][i], p["doc"][j]
-        one = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
-        c = np.diff(np.append(one, len(u)))
-        iu = np.maximum.reduceat(p["pos"][i], one) if len(one) else np.zeros(0, np.int32)
-        iv = np.maximum.reduceat(p["pos"][j], one) if len(one) else np.zeros(0, np.int32)
-        none = lambda k, kind: pa.nulls(k, kind)
-        made = S.table(u=pa.array(u[one]), v=pa.array(v[one]), nu=pa.array(p["n"][i][one]), nv=pa.array(p["n"][j][one]), c=pa.array(c), iu=pa.array(iu), iv=pa.array(iv), k=none(len(one), pa.int64()))
-        m = len(p)
-        kept = S.table(u=pa.array(p["doc"]), v=none(m, pa.int64()), nu=pa.array(p["n"]), nv=none(m, pa.int32()), c=none(m, pa.int64()), iu=pa.array(p["pos"]), iv=none(m, pa.int32()), k=pa.array(p["k"].view(np.int64)))
-        return pa.concat_tables([made, kept])
+        p = p[(np.bincount(group) > 1)[group] | in_parts(p["k"])] if len(p) else p
+        pairs, chosen = _paired(p, num, den)
+        pairs = pairs.append_column("k", pa.nulls(pairs.num_rows, pa.int64()))
+        return pa.concat_tables([pairs, _entries(p, False), _entries(chosen[in_parts(chosen["k"])], True)])
 
     return multiply
 
 
-def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Overlap so far of each pair, without those whose sizes rule them out."""
-    acc = pairs.groupBy("u", "v").agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"), F.sum("c").alias("c"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
-    most = F.col("c") + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
-    return acc.where(most * (num + den) >= (F.col("nu") + F.col("nv")) * num).select("u", "v", "nu", "nv")
-
+def _chosen_columns(num: int, den: int):
+    """As _columns, of the chosen entries of one column in parts."""
 
-#: Columns go in two parts by their hash: the first quarter rules out most pairs, the rest is sent for the others only.
-PARTS = ((0, 1 << 62), (1 << 62, 1 << 64))
-
-
-def _part(values: np.ndarray, part: int) -> np.ndarray:
-    low, high = PARTS[part]
-    return values[np.searchsorted(values, U(low)) : np.searchsorted(values, U(high - 1), "right")]
+    def multiply(rows: pa.Table) -> pa.Table:
+        p = np.zeros(rows.num_rows, PRE)
+        p["k"], p["doc"], p["n"], p["pos"] = rows["k"].to_numpy().view(U), rows["u"].to_numpy(), rows["nu"].to_numpy(), rows["iu"].to_numpy()
+        return _paired(p, num, den)[0]
 
+    return multiply
 
-def _send_sets(n: int, part: int):
-    def send(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        to, v_, sets = [], [], []
-        if docs.num_rows and asked.num_rows:
-            v, dest = asked["v"].to_numpy(), asked["cu"].to_numpy()
-            order = np.argsort(v, kind="stable")
-            v, dest = v[order], dest[order]
-            for ids, values, off in _sets(docs, n, v):
-                for r, doc in enumerate(ids.tolist()):
-                    raw = _part(values[off[r] : off[r + 1]], part).tobytes()
-                    for d in dest[np.searchsorted(v, doc) : np.searchsorted(v, doc, "right")].tolist():
-                        to.append(d)
-                        v_.append(doc)
-                        sets.append(raw)
-        return S.table(chunk=pa.array(to, pa.int32()), v=pa.array(v_, pa.int64()), set=pa.array(sets, pa.binary()))
 
-    return send
+def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs without those whose sizes and overlap so far rule them out."""
+    acc = pairs.groupBy("u", "v").agg(F.first("nu").alias("nu"), F.first("nv").alias("nv"), F.sum("c").alias("c"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
+    most = F.col("c") + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
+    return acc.where(most * (num + den) >= (F.col("nu") + F.col("nv")) * num).select("u", "v", "nu", "nv")
 
 
-def _products(n: int, num: int, den: int, part: int):
-    """Adds a part's overlap to each pair, block of columns by block, and drops pairs that can't reach what they need."""
-
-    def multiply(docs: pa.Table, work: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if docs.num_rows and work.num_rows:
-            is_set = pa.array(np.array(work["set"].is_valid()))
-            sent = work.filter(is_set)
-            sets = dict(zip(sent["v"].to_pylist(), sent["set"].to_pylist(), strict=True))
-            pairs = work.filter(pc.invert(is_set)).sort_by("v")
-            own = {}
-            for ids, values, off in _sets(docs, n, pairs["u"].to_numpy()):
-                for r, doc in enumerate(ids.tolist()):
-                    own[doc] = _part(values[off[r] : off[r + 1]], part)
-            low, high = PARTS[part]
-            edges = np.array([low + (high - low) // BLOCKS * i for i in range(1, BLOCKS)], U)
-            u, v, nu, nv, acc = (pairs[c].to_numpy().copy() for c in ("u", "v", "nu", "nv", "c"))
-            need = least_overlap(nu.astype(np.int64), nv.astype(np.int64), num, den)
-            left_u, left_v = nu.astype(np.int64), nv.astype(np.int64)
-            if part:  # what the first part held is behind
-                left_u = np.array([len(own[int(d)]) for d in u], np.int64)
-                left_v = np.array([len(sets[int(d)]) // 8 for d in v], np.int64)
-            at = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-            for x, y in zip(at, np.append(at[1:], len(v)), strict=True):
-                right = np.frombuffer(sets[int(v[x])], U)
-                cut_r = np.concatenate([[0], np.searchsorted(right, edges), [len(right)]])
-                live = np.arange(x, y)
-                cuts = {i: np.concatenate([[0], np.searchsorted(own[int(u[i])], edges), [len(own[int(u[i])])]]) for i in live.tolist()}
-                for b in range(BLOCKS):
-                    block = right[cut_r[b] : cut_r[b + 1]]
-                    rows = [own[int(u[i])][cuts[i][b] : cuts[i][b + 1]] for i in live.tolist()]
-                    sizes = np.array([len(r) for r in rows], np.int64)
-                    if len(block) and sizes.sum():
-                        cat = np.concatenate(rows)
-                        hit = block[np.minimum(np.searchsorted(block, cat), len(block) - 1)] == cat
-                        total = np.concatenate([[0], np.cumsum(hit)])
-                        ends = np.cumsum(sizes)
-                        acc[live] += total[ends] - total[ends - sizes]
-                    left_u[live] -= sizes
-                    left_v[live] -= len(block)
-                    live = live[acc[live] + np.minimum(left_u[live], left_v[live]) >= need[live]]
-                    if not len(live):
-                        break
-                out.append((u[live], v[live], nu[live], nv[live], acc[live]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table([pa.array(c).cast(t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["u", "v", "nu", "nv", "c"])
+def _near_maps(num: int, den: int):
+    """Pairs u, v, nu, nv whose parity maps mu, mv leave the overlap that their sizes ask for possible."""
 
-    return multiply
+    def near(batches):
+        for batch in batches:
+            nu, nv = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            most = (nu + nv - 2 * least_overlap(nu, nv, num, den)).astype(np.int64)  # n-grams that only one of the two may hold
+            (mu, ou), (mv, ov) = K.column(batch.column(4)), K.column(batch.column(5))
+            wu, wv = np.diff(ou), np.diff(ov)
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in sorted({*zip(wu.tolist(), wv.tolist(), strict=True)}):
+                rows = np.flatnonzero((wu == a) & (wv == b))
+                for at in range(0, len(rows), max(1, (4 << 20) // (a + b))):
+                    r = rows[at : at + max(1, (4 << 20) // (a + b))]
+                    x = mu[K.ragged(ou[r], wu[r])].view(U).reshape(len(r), -1)
+                    y = mv[K.ragged(ov[r], wv[r])].view(U).reshape(len(r), -1)
+                    bits = 8 * min(a, b)
+                    keep[r] = np.bitwise_count(_folded(x, bits) ^ _folded(y, bits)).sum(axis=1, dtype=np.int64) <= most[r]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+    return near
+
+
+def _close(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that their parity maps leave."""
+    with_maps = pairs.join(maps.select(F.col("doc_id").alias("u"), F.col("map").alias("mu")), "u").join(maps.select(F.col("doc_id").alias("v"), F.col("map").alias("mv")), "v")
+    return with_maps.select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(_near_maps(num, den), "u long, v long, nu int, nv int")
+
+
+def _rows(n: int):
+    """Rows of the matrix: doc_id and its n-grams, ascending, packed."""
+
+    def rows(batches):
+        for batch in batches:
+            for ids, v, off in _sets(batch, n):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(off.astype(np.int64) * 8), pa.py_buffer(v)]).cast(pa.binary())], ["doc_id", "row"])
+
+    return rows
+
+
+EDGES = np.array([(1 << 64) // BLOCKS * i for i in range(1, BLOCKS)], U)
+
+
+def _products(num: int, den: int):
+    """Pairs that link. Rows arrive by chunk: first the chunk's own, then by v the row of v and its pairs. A pair's product is
+    accumulated block of columns by block, and given up where what is left can't reach the overlap it needs."""
+
+    def cuts(row: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.searchsorted(row, EDGES), [len(row)]])
+
+    def multiply(right: np.ndarray, rows: list, need: np.ndarray) -> np.ndarray:
+        acc, live = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        at, ats = cuts(right), [cuts(r) for r in rows]
+        left, left_v = np.array([len(r) for r in rows], np.int64), len(right)
+        for b in range(BLOCKS):
+            block = right[at[b] : at[b + 1]]
+            part = [rows[i][ats[i][b] : ats[i][b + 1]] for i in live.tolist()]
+            sizes = np.array([len(r) for r in part], np.int64)
+            if len(block) and sizes.sum():
+                cat = np.concatenate(part)
+                total = np.append(0, np.cumsum(block[np.minimum(np.searchsorted(block, cat), len(block) - 1)] == cat))
+                ends = np.cumsum(sizes)
+                acc[live] += total[ends] - total[ends - sizes]
+            left[live] -= sizes
+            left_v -= len(block)
+            live = live[acc[live] + np.minimum(left[live], left_v) >= need[live]]
+            if not len(live):
+                break
+        return live
+
+    def products(batches):
+        chunk, own, right = None, {}, np.zeros(0, U)
+        for batch in batches:
+            chunks, kinds, us, vs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 1))
+            head = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1]) | (vs[1:] != vs[:-1])))
+            made_u, made_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(head.tolist(), [*head[1:].tolist(), batch.num_rows], strict=True):
+                if chunks[x] != chunk:
+                    chunk, own = chunks[x], {}
+                if kinds[x] == 0:
+                    own.update((u, np.frombuffer(r, U)) for u, r in zip(us[x:y].tolist(), batch.column(6).slice(x, y - x).to_pylist(), strict=True))
+                elif kinds[x] == 1:
+                    right = np.frombuffer(batch.column(6)[x].as_py(), U)
+                else:
+                    for i in range(x, y, 512):
+                        j = min(i + 512, y)
+                        nu, nv = (batch.column(c).slice(i, j - i).to_numpy().astype(np.int64) for c in (4, 5))
+                        live = multiply(right, [own[u] for u in us[i:j].tolist()], least_overlap(nu, nv, num, den))
+                        made_u.append(us[i:j][live])
+                        made_v.append(vs[i:j][live])
+            u, v = np.concatenate(made_u).astype(np.int64), np.concatenate(made_v).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return products
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, chunk_bytes: int) -> DataFrame:
-    """Those pairs u, v that link. Only the documents in a pair are read on; the set of v goes once to each chunk that holds a partner u."""
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    picked = S.kept(docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi"), "picked")
-    chunks = S.parts(S.text_bytes(picked)[1], chunk_bytes)
-    by_chunk = S.chunked(picked, chunks, "doc_id", "text").groupBy("chunk")
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    pairs = pairs.withColumn("c", F.lit(0).cast("long"))
-    for part in range(len(PARTS)):
-        asked = pairs.select(chunk("v").alias("chunk"), "v", chunk("u").alias("cu")).distinct()
-        sets = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(_send_sets(n, part), "chunk int, v long, set binary")
-        work = pairs.select(chunk("u").alias("chunk"), "u", "v", "nu", "nv", "c").unionByName(sets, allowMissingColumns=True)
-        pairs = S.kept(by_chunk.cogroup(work.groupBy("chunk")).applyInArrow(_products(n, num, den, part), "u long, v long, nu int, nv int, c long"), "products")
-    return pairs.select("u", "v")
-
-
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, chunk_bytes: int = S.CHUNK_BYTES) -> DataFrame:
+    """Those pairs u, v that link. Only rows in a pair are made; the row of v goes once to each chunk that holds a partner u."""
+    ends = pairs.select(F.col("u").alias("doc_id"), F.col("nu").alias("n")).union(pairs.select("v", "nv")).distinct()
+    needed = S.kept(ends, "needed")
+    size = needed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8
+    chunks = S.parts(size, chunk_bytes)
+    rows = docs.select("doc_id", "text").join(needed.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_rows(n), "doc_id long, row binary")
+    rows = S.kept(rows, "rows")
+    chunk = F.pmod(F.xxhash64("u"), F.lit(chunks)).cast("int").alias("chunk")
+    no = lambda kind: F.lit(None).cast(kind)
+    pairs = pairs.select(chunk, "v", F.lit(2).alias("kind"), "u", "nu", "nv", no("binary").alias("row"))
+    own = rows.join(pairs.select("u").distinct(), rows.doc_id == F.col("u"), "left_semi").withColumnRenamed("doc_id", "u").select(chunk, F.lit(-(2**63)).cast("long").alias("v"), F.lit(0).alias("kind"), "u", F.lit(0).alias("nu"), F.lit(0).alias("nv"), "row")
+    sent = rows.join(pairs.select("chunk", "v").distinct(), rows.doc_id == F.col("v")).select("chunk", "v", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("u"), F.lit(0).alias("nu"), F.lit(0).alias("nv"), "row")
+    work = own.unionByName(sent).unionByName(pairs).repartition(chunks, "chunk").sortWithinPartitions("chunk", "v", "kind")
+    return S.kept(work.mapInArrow(_products(num, den), "u long, v long"), "links")
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, chunk_bytes: int = S.CHUNK_BYTES, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link where Jaccard of their n-word shingle sets is num/den or more.
 
     docs: doc_id (unique, not null) and text; other columns are ignored. Words are lower-cased in A-Z. Fewer than n words make one
     shingle; null texts and texts without words have none, and stand alone. Equal sets link. An empty table gives an
-    empty result.
+    empty result. `split`: counted rows of a column beyond which it is dealt out in parts; results don't depend on it.
     """
-    rows, size = S.text_bytes(docs)
-    buckets = S.parts(size // 2, S.BUCKET_BYTES)
-    signed = S.kept(docs.select("doc_id", "text").mapInArrow(_sign(n), "doc_id long, n long, a long, b long"), "signed")
-    (last, _), common = _most_counted(signed, 0), _most_counted(signed, 1)
+    buckets = S.parts(S.text_bytes(docs)[1] // 2, S.BUCKET_BYTES)
+    signed = S.kept(docs.select("doc_id", "text").mapInArrow(_sign(n), "doc_id long, n long, a long, b long, map binary"), "signed")
+    (last, times), (words, often) = _most_counted(signed, 0), _most_counted(signed, 1)
+    hot = times > split
+    parted = last[hot], -(-times[hot] // split)
     sets = signed.where("doc_id is not null")
+    maps = sets.select("doc_id", "map")
     classes = S.kept(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
-    sent = docs.select("doc_id", "text").mapInArrow(_prefixes(n, num, den, buckets, last, common), "bucket int, entries binary")
-    cols = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_columns(num, den), PAIR + ", k long")
-    cols = S.kept(cols, "columns")
-    first = S.kept(_possible(cols.where("k is null").drop("k"), num, den), "pairs")
+    entries = docs.select("doc_id", "text").mapInArrow(_prefixes(n, num, den, buckets, last, (words, np.log2(np.maximum(often, 1)).astype(np.int64)), parted), "bucket int, entries binary")
+    cols = S.kept(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_columns(num, den, parted), PAIR + ", k long"), "columns")
+    first = cols.where("k is null").drop("k").unionByName(cols.where("k is not null and c = 1").groupBy("k").applyInArrow(_chosen_columns(num, den), PAIR))
+    first = S.kept(_close(_possible(first, num, den), maps, num, den), "pairs")
     edges = _verified(docs, first, n, num, den, chunk_bytes)
     label = S.components(edges, "u", "v")
-    entries = cols.where("k is not null").select("k", F.col("u").alias("doc"), F.col("nu").alias("n"), F.col("iu").alias("pos"))
+    entries = cols.where("k is not null and c = 0").select("k", F.col("u").alias("doc"), F.col("nu").alias("n"), F.col("iu").alias("pos"))
     entries = entries.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = entries.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("k")
-    entries = S.kept(entries.join(apart, "k"), "entries")
-    e, f = entries.alias("e"), entries.alias("f")
+    # columns that hold the same rows, such as those of a passage, are one block: as many columns, each row at its first place there
+    held = lambda seed: F.bit_xor(F.xxhash64("doc", F.lit(seed)))
+    apart = entries.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), held(1).alias("s"), held(2).alias("t")).where("x < y")
+    blocks = entries.join(apart.select("k", "rows", "s", "t"), "k").groupBy("rows", "s", "t", "doc", "n", "component").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("pos"))
+    blocks = S.kept(blocks, "blocks")
+    e, f = blocks.alias("e"), blocks.alias("f")
+    same = (F.col("e.s") == F.col("f.s")) & (F.col("e.t") == F.col("f.t")) & (F.col("e.rows") == F.col("f.rows"))
     fits = F.expr(f"e.component < f.component and {den} * least(e.n, f.n) >= {num} * greatest(e.n, f.n)")
-    # at the first n-gram that a linked pair shares, what is left of the shorter rest holds the whole overlap; later ones only add to its count
+    # at the first n-gram that a linked pair shares, what is left of the shorter rest holds the whole overlap; later blocks only add to its count
     bound = F.expr(f"least(e.n - e.pos, f.n - f.pos) * {num + den} >= {num} * (e.n + f.n)")
-    pairs = e.join(f, (F.col("e.k") == F.col("f.k")) & fits & bound).select(F.col("e.doc").alias("u"), F.col("f.doc").alias("v"), F.col("e.n").alias("nu"), F.col("f.n").alias("nv"), F.lit(1).cast("long").alias("c"), F.col("e.pos").alias("iu"), F.col("f.pos").alias("iv"))
-    seen = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    second = S.kept(_possible(pairs, num, den).join(seen, ["u", "v"], "left_anti"), "pairs")
+    pairs = e.join(f, same & fits & bound).select(F.col("e.doc").alias("u"), F.col("f.doc").alias("v"), F.col("e.n").alias("nu"), F.col("f.n").alias("nv"), F.col("e.m").alias("c"), F.col("e.pos").alias("iu"), F.col("f.pos").alias("iv"))
+    second = S.kept(_close(_possible(pairs, num, den), maps, num, den), "pairs")
     edges = edges.unionByName(_verified(docs, second, n, num, den, chunk_bytes))
     label = S.components(edges, "u", "v")
     named = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))

@@ -98,9 +98,9 @@ def shingle_sets(by_id, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "num", "chunk_bytes"), [(4, 85, 8_000), (5, 80, 1 << 22), (2, 40, 8_000)])
-def test_jaccard_components(docs, by_id, n, num, chunk_bytes):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n=n, num=num, den=100, chunk_bytes=chunk_bytes).collect()}
+@pytest.mark.parametrize(("n", "num", "chunk_bytes", "split"), [(4, 85, 8_000, 20_000), (5, 80, 1 << 22, 2), (2, 40, 8_000, 4)])
+def test_jaccard_components(docs, by_id, n, num, chunk_bytes, split):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n=n, num=num, den=100, chunk_bytes=chunk_bytes, split=split).collect()}
     sets = shingle_sets(by_id, n)
     parent = {i: i for i in sets}
 
