@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,9 @@ def vectors(data: np.ndarray, off: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def _slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20):
-    data, off = K.column(batch.column(batch.schema.get_field_index(name)))
+def _slices(text: pa.Array, limit: int = 1 << 20):
+    """Lower-case texts, few at a time: first row, row after the last, bytes, offsets."""
+    data, off = K.column(pc.utf8_lower(text))
     for i, j in K.slices(off, limit):
         for k in range(i, j, 512):
             m = min(k + 512, j)
@@ -66,7 +68,7 @@ def _slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 20):
 def _frequencies(batches):
     df, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for i, j, data, off in _slices(batch, "folded"):
+        for i, j, data, off in _slices(batch.column(0)):
             df += (counts(data, off) > 0).sum(axis=0)
             n += j - i
     if n:
@@ -100,8 +102,8 @@ class Model:
 def fit(rows: DataFrame, lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
     """Learn from rows (key, text, lang not null). Document frequencies come from all of them, centroids from about
     `fit_rows` rows of each language, chosen by a hash of the key. Without rows the model knows no language."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(key, F.lower("text").alias("folded"), F.col(lang).alias("lang"))
-    got = rows.select("folded").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # DIMS + 1 rows
+    rows = rows.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(key, "text", F.col(lang).alias("lang"))
+    got = rows.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # DIMS + 1 rows
     df = np.zeros(DIMS + 1)
     for r in got:
         df[r.place + 1] = r.n
@@ -115,7 +117,7 @@ def fit(rows: DataFrame, lang: str = "lang", key: str = "doc_id", fit_rows: int
     def fit_one(group: pa.Table) -> pa.Table:
         order = np.argsort(group[key].to_numpy(), kind="stable")
         group = group.take(pa.array(order)).combine_chunks()
-        v = np.concatenate([vectors(data, off, idf) for b in group.to_batches() for _, _, data, off in _slices(b, "folded")])
+        v = np.concatenate([vectors(data, off, idf) for b in group.to_batches() for _, _, data, off in _slices(b.column(1))])
         c = centroids(v, k)
         return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(c)), "centre": pa.array([x.tobytes() for x in c], pa.binary())})
 
@@ -130,20 +132,23 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", reject_below: fl
     schema = docs.select(key, *keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     names, idf, centres = np.array(model.langs, object), model.idf, model.centres
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    place = keep.index("text") + 1 if "text" in keep else 1 + len(keep)  # a text that is kept is sent once
+    sent = [key, *keep] if "text" in keep else [key, *keep, "text"]
+    kept = 1 + len(keep)
 
     def run(batches):
         for batch in batches:
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             if len(names):
-                for i, j, data, off in _slices(batch, "_folded"):
+                for i, j, data, off in _slices(batch.column(place)):
                     near = vectors(data, off, idf) @ centres.T
                     best[i:j], score[i:j] = near.argmax(axis=1), near.max(axis=1)
-            ok = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False) & bool(len(names))
+            ok = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & bool(len(names))
             lang = [names[b] if x else "und" for b, x in zip(best, ok, strict=True)]
             score = np.where(ok, np.clip(score, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lang, pa.string()), pa.array(score), pa.array(~ok | (score < reject_below))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(lang, pa.string()), pa.array(score), pa.array(~ok | (score < reject_below))], schema.names)
 
-    return docs.select(key, *keep, letters.alias("_letters"), F.lower("text").alias("_folded")).mapInArrow(run, schema)
+    return docs.select(*sent, letters.alias("_letters")).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5):

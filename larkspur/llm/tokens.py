@@ -11,7 +11,7 @@ from larkspur.llm import kernels as K
 
 U = np.uint64
 #: Kept words of a worker; beyond it the worker forgets them and begins anew (results don't depend on it).
-CACHE_WORDS = 4_000_000
+CACHE_WORDS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
