@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known to one of the learned ones; texts without a letter and texts far from all languages go."""
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out()))
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return langid.predict(rows, model, keep=("row",)).where("not rejected").select("row.*")
+    rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    return langid.predict(rows, model, keep=("text", "row")).where("not rejected").select(*(c if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

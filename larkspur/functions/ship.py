@@ -1,4 +1,4 @@
-"""Gives executors this package, wherever the driver was started from."""
+"""Gives executors this package, wherever the driver was started from, and bounds the Arrow batches that they exchange with Python."""
 
 from __future__ import annotations
 
@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, about, unless the session sets its own bound: workers hold several arrays for each byte of text.
+BATCH, BATCH_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", f"{64 << 20}b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once for each application."""
+    """Add the package to the session's Python files, once for each application, and bound its Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == DEFAULT_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
