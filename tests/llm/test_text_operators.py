@@ -225,7 +225,9 @@ def test_pii_contexts_are_the_two_words_before(spark):
         assert got
         for r in got:
             words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", texts[r.doc_id][: r.start]) if w]
-            assert texts[r.doc_id][r.start : r.end] == r.m and r.left == (" ".join(words[-2:]) if len(words) > 1 else None)
+            assert texts[r.doc_id][r.start : r.end] == r.m and r.left == words[-2:]
+            after = re.match(r"\S*\s+(\S+)\s", texts[r.doc_id][r.end :])
+            assert r.right in (None, after and after[1])
 
 
 def test_pii_patterns_that_hold_a_digit_discover(spark):
@@ -235,6 +237,24 @@ def test_pii_patterns_that_hold_a_digit_discover(spark):
     assert all(got[i] == f"phone:{t.index('415')}:{len(t)}" for i, t in new)
 
 
+def test_pii_accepted_instances_lift_further_patterns(spark):
+    """Ids stand by two contexts: seeds and eight odd numbers by the first, these eight and a ninth by the second; a third context is mixed."""
+    odd = [f"{100 + i}/555/{7000 + i}x" for i in range(9)]
+    rows = [f"z{i} please call +1 (415) 555-{2000 + i} y{i} now" for i in range(200)]
+    rows += [f"z{i} please call {x} y{i} now" for i, x in enumerate(odd[:8])] + [f"q{i} dial fast {x} w{i} then" for i, x in enumerate(odd)]
+    rows += [f"order number was {55500000 + i}z v{i} here" for i in range(20)] + [f"order number was {x} v here" for x in odd[:6]]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
+    for i, t in enumerate(rows):
+        at = next((t.index(x) for x in odd if x in t), None)
+        assert (got[i].n_added, got[i].spans if at is not None else "") == ((1, f"phone:{at}:{at + len(odd[0])}") if at is not None else (0, "")), t
+
+
+def test_pii_known_values_and_keys_are_spans(spark):
+    rows = ["card 4111111111111111 ok", "two 4111111111111111 4111111111111112 ok", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "digest 04dbebab91ab85687d33eeaaf9ac699e1188f962, y", "plain 1234567 z"]
+    got = {r.doc_id: (r.spans, r.n_card, r.n_added, r.n_spans) for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {0: ("card:5:21", 1, 0, 1), 1: ("card:4:20", 0, 1, 1), 2: ("secret:9:49", 0, 1, 1), 3: ("secret:7:47", 0, 1, 1), 4: ("", 0, 0, 0)}
+
+
 def test_pii_uses_no_python_on_executors(docs):
     plan = pii.find(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
