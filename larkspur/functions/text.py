@@ -47,25 +47,22 @@ def ruled(c, rules: list[tuple[str, str]]) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def bigrams(c) -> Column:
-    """Two-letter substrings in order; none for shorter texts."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+def numbered_bigrams(c) -> Column:
+    """Two-letter substrings, each with the number of equal ones before it: an array without repeats, so that set functions count multisets."""
+    own = bigrams(c)
+    return F.transform(own, lambda g, i: F.concat(g, F.size(F.filter(F.slice(own, F.lit(1), i), lambda z: z == g)).cast("string")))
 
 
-def dice(a, b) -> Column:
-    """Dice coefficient of bigram multisets: twice the common ones over all."""
-    x, y = bigrams(a), bigrams(b)
-    count = lambda s, g: F.size(F.filter(s, lambda z: z == g))
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, g: n + F.least(count(x, g), count(y, g)))
+def dice_of(x, y) -> Column:
+    """Dice coefficient of two columns of numbered bigrams."""
     total = F.size(x) + F.size(y)
-    return F.when(total > 0, 2.0 * common / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, 2.0 * F.size(F.array_intersect(x, y)) / total).otherwise(F.lit(0.0))
 
 
-def name_similarity(a, b) -> Column:
-    """The better of dice with blanks and without."""
-    bare = lambda c: F.replace(F.col(c) if isinstance(c, str) else c, F.lit(" "), F.lit(""))
-    return F.greatest(dice(a, b), dice(bare(a), bare(b)))
+def bigrams(c) -> Column:
+    """Two-letter substrings in order; none for shorter texts."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
 def word_overlap(a, b, least: int = 3) -> Column:
@@ -84,7 +81,7 @@ def prefix_distance(text, word: str) -> Column:
 def slug(c, most: int) -> Column:
     """Folded words joined by hyphens, as many whole ones as fit in `most` characters; the first is cut if it must."""
     words = F.split(fold(c), " ")
-    joined = F.aggregate(words, F.lit(""), lambda s, w: F.when(s == "", F.left(w, F.lit(most))).when(F.length(s) + F.length(w) + 1 <= most, F.concat(s, F.lit("-"), w)).otherwise(F.concat(s, F.lit("-"), F.lit("~"))))
+    joined = F.aggregate(words, F.lit(""), lambda s, w: F.when(F.endswith(s, F.lit("-~")), s).when(s == "", F.left(w, F.lit(most))).when(F.length(s) + F.length(w) + 1 <= most, F.concat(s, F.lit("-"), w)).otherwise(F.concat(s, F.lit("-"), F.lit("~"))))
     return F.regexp_replace(joined, "-~.*$", "")
 
 

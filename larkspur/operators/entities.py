@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import name_similarity
-
 
 def gated_score(gates: dict[str, Column], parts: dict[str, Column], cap: tuple[Column, int] | None = None) -> list[Column]:
     """score and reason of a pair: the first gate that holds gives 0 and its name; else the parts add up, under a cap where one applies."""
@@ -20,21 +18,20 @@ def gated_score(gates: dict[str, Column], parts: dict[str, Column], cap: tuple[C
     return [F.least(score, F.lit(100)).alias("score"), reason.alias("reason")]
 
 
-def name_points(a: str, b: str) -> Column:
-    """26, 14 or 6 points for names alike to 0.88, 0.55 or 0.35; 28 for equal ones."""
-    s = name_similarity(a, b)
-    return F.when(F.col(a) == F.col(b), 28).when(s >= 0.88, 26).when(s >= 0.55, 14).when(s >= 0.35, 6).otherwise(0)
+def name_points(same: Column, s: Column) -> Column:
+    """28 points for equal names; 26, 14 or 6 for names alike to 0.88, 0.55 or 0.35."""
+    return F.when(same, 28).when(s >= 0.88, 26).when(s >= 0.55, 14).when(s >= 0.35, 6).otherwise(0)
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """node, component: least node of each connected part, by rounds of least neighbours; each round is checkpointed.
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component: least node of each connected part, by rounds of least neighbours until nothing changes; each round is checkpointed.
 
     Nodes are the ends of pairs. Needs spark.checkpoint.dir or a checkpoint folder set on the context.
     """
     edges = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
     edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     label = edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("c"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select(F.col("x").alias("y"), F.col("c").alias("n")), "y").groupBy("x").agg(F.min("n").alias("n"))
         new = label.join(near, "x").select("x", F.least("c", "n").alias("m"), "c")
         # pointer jumping: a label's own label is nearer to the end

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from larkspur.functions.geo import EARTH_KM, haversine
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, start: str = "start", end: str = "end", days: int = 7) -> DataFrame:
-    """Pairs whose day spans [start, end] overlap; columns get the prefixes l_ and r_.
+def interval_overlap(left: DataFrame, right: DataFrame, start: str = "start", end: str = "end", days: int = 7, on: list[str] | None = None) -> DataFrame:
+    """Pairs whose day spans [start, end] overlap and whose columns `on` are equal; columns get the prefixes l_ and r_.
 
     Each row goes to every bucket of `days` days of its span; the pair is made in the bucket where the later of the two
     starts lies, so it comes once and no distinct is needed. Reversed spans are turned round.
@@ -26,7 +26,11 @@ def interval_overlap(left: DataFrame, right: DataFrame, start: str = "start", en
         out = df.select(*(F.col(c).alias(prefix + c) for c in df.columns), F.explode(F.sequence(number(low), number(high))).alias("_bucket"))
         return out
 
-    both = dealt(left, "l_").join(dealt(right, "r_"), "_bucket")
+    same = F.lit(True)
+    for c in on or []:
+        same = same & (F.col(f"l_{c}") == F.col(f"r_{c}"))
+    a, b = dealt(left, "l_"), dealt(right, "r_").withColumnRenamed("_bucket", "_other")
+    both = a.join(b, same & (F.col("_bucket") == F.col("_other"))).drop("_other")
     first = F.floor(F.unix_date(F.greatest(f"l_{start}", f"r_{start}")) / days)
     return both.where((F.col(f"l_{start}") <= F.col(f"r_{end}")) & (F.col(f"r_{start}") <= F.col(f"l_{end}")) & (F.col("_bucket") == first)).drop("_bucket")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scratch import ensure_checkpoints
-from larkspur.functions.text import fold
+from larkspur.functions.text import dice_of, fold, numbered_bigrams
 from larkspur.operators import entities as E
 from larkspur.plans.registry import Tables, query
 from larkspur.plans.texts import sql_dice, sql_fold
@@ -16,7 +16,12 @@ PAIRS = "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS x, b.p_name AS y
 
 
 def pairs(t: Tables) -> DataFrame:
-    side = lambda k, n, ty, p: t.part.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(n), F.col("p_type").alias(ty), F.col("p_retailprice").alias(p))
+    bare = F.replace(F.col("p_name"), F.lit(" "), F.lit(""))
+
+    def side(k: str, n: str, ty: str, p: str) -> DataFrame:
+        """Bigrams are made once for each row, with blanks and without."""
+        return t.part.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(n), F.col("p_type").alias(ty), F.col("p_retailprice").alias(p), numbered_bigrams("p_name").alias(f"{n}_g"), numbered_bigrams(bare).alias(f"{n}_b"))
+
     return side("a", "x", "tx", "px").join(side("b", "y", "ty", "py"), ["p_brand", "p_size"]).where("a < b")
 
 
@@ -26,10 +31,13 @@ FROM (SELECT *, 20 + CASE WHEN tx = ty THEN 22 ELSE 0 END + CASE WHEN abs(px - p
 
 
 def scored(t: Tables) -> DataFrame:
-    rows = pairs(t)
-    head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    same = F.col("x") == F.col("y")
     gap = F.abs(F.col("px") - F.col("py"))
-    parts = {"same": F.lit(20), "type": F.when(F.col("tx") == F.col("ty"), 22), "price": F.when(gap <= 50, 18), "name": E.name_points("x", "y")}
+    # the similarity is made once for each pair that the price and equality leave open
+    alike = F.when(~(gap > 900) & ~same, F.greatest(dice_of("x_g", "y_g"), dice_of("x_b", "y_b")))
+    rows = pairs(t).select("a", "b", "x", "y", "tx", "ty", "px", "py", alike.alias("s"))
+    head = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    parts = {"same": F.lit(20), "type": F.when(F.col("tx") == F.col("ty"), 22), "price": F.when(gap <= 50, 18), "name": E.name_points(same, F.col("s"))}
     return rows.select("a", "b", *E.gated_score({"price": gap > 900}, parts, (head("tx") != head("ty"), 49)))
 
 

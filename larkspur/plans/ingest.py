@@ -131,11 +131,11 @@ def t15_abandoned_runs(t: Tables) -> DataFrame:
     return t.events.withColumn("n", n).where("n is null or n - ts > interval 30 minute").select("event_id", F.expr("ts + interval 30 minute").alias("closed_at"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS r FROM events WHERE user_id < 40),
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS r FROM events),
 d AS (SELECT user_id, event_type, event_id, s, r, s AS last, true AS sent FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.s, o.r, CASE WHEN o.s - d.last > 1209600 THEN o.s ELSE d.last END, o.s - d.last > 1209600 FROM d JOIN o ON o.user_id = d.user_id AND o.event_type = d.event_type AND o.r = d.r + 1)
 SELECT user_id, event_type, event_id FROM d WHERE sent""")
 def t16_exactly_once_delivery(t: Tables) -> DataFrame:
-    return I.first_per_window(t.events.where("user_id < 40"), ["user_id", "event_type"], "ts", "event_id", 14)
+    return I.first_per_window(t.events, ["user_id", "event_type"], "ts", "event_id", 14)
 
 
 @query("SELECT event_id, array_to_string(list_filter([CASE WHEN abs(value - pv) >= 60 THEN 'value' END, CASE WHEN event_type = 'error' AND pt <> 'error' THEN 'failed' END, CASE WHEN CAST(ts AS DATE) - CAST(pts AS DATE) >= 3 THEN 'moved' END], lambda x: x IS NOT NULL), ',') AS notices FROM (SELECT *, lag(value) OVER w AS pv, lag(event_type) OVER w AS pt, lag(ts) OVER w AS pts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE pv IS NOT NULL")

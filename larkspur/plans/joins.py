@@ -9,12 +9,12 @@ from larkspur.operators import joins as J
 from larkspur.plans.registry import Tables, query
 
 
-def spans(t: Tables, less: int = 40) -> DataFrame:
-    """Orders of the first customers as day spans."""
-    return t.orders.where(F.col("o_custkey") <= less).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("who"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 20).cast("int")).alias("end"))
+def spans(t: Tables) -> DataFrame:
+    """Orders as day spans of their customers."""
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("who"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 20).cast("int")).alias("end"))
 
 
-SPANS = "SELECT o_orderkey AS id, o_custkey AS who, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INTEGER) AS e FROM orders WHERE o_custkey <= 40"
+SPANS = "SELECT o_orderkey AS id, o_custkey AS who, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INTEGER) AS e FROM orders"
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 1")
@@ -67,7 +67,7 @@ def j8_lateral_aggregate(t: Tables) -> DataFrame:
 @query(f"WITH s AS ({SPANS}) SELECT a.id AS l_id, b.id AS r_id FROM s a JOIN s b ON a.s <= b.e AND b.s <= a.e AND a.id < b.id AND a.who = b.who")
 def j10_interval_overlap(t: Tables) -> DataFrame:
     s = spans(t)
-    return J.interval_overlap(s, s, days=14).where("l_id < r_id and l_who = r_who").select("l_id", "r_id")
+    return J.interval_overlap(s, s, days=14, on=["who"]).where("l_id < r_id").select("l_id", "r_id")
 
 
 @query(f"WITH s AS ({SPANS}) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.who = b.who AND a.id < b.id AND b.s - a.e <= 3 AND a.s - b.e <= 3")

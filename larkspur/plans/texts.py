@@ -16,12 +16,9 @@ def sql_fold(c: str) -> str:
     return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
 
 
-HEAD = "substr(text, 1, 120)"
-
-
-@query(f"SELECT doc_id, {sql_fold(HEAD)} AS folded FROM documents")
+@query(f"SELECT doc_id, {sql_fold('text')} AS folded FROM documents")
 def c1_search_fold(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.fold(F.substring("text", 1, 120)).alias("folded"))
+    return t.documents.select("doc_id", X.fold("text").alias("folded"))
 
 
 @query(f"SELECT doc_id, contains(' ' || {sql_fold('text')} || ' ', ' the ') AS the, contains(' ' || {sql_fold('text')} || ' ', ' fur ') AS fur FROM documents")
@@ -50,10 +47,10 @@ def sql_dice(a: str, b: str) -> str:
 
 @query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({sql_dice('a.p_name', 'b.p_name')}, 6) AS dice FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def c6_bigram_dice(t: Tables) -> DataFrame:
-    """Names of one brand and size, compared by bigram multisets."""
-    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(X.dice("x", "y"), 6).alias("dice"))
+    """Names of one brand and size, compared by bigram multisets, which are made once for each row."""
+    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), X.numbered_bigrams("p_name").alias("x"))
+    b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), X.numbered_bigrams("p_name").alias("y"))
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(X.dice_of("x", "y"), 6).alias("dice"))
 
 
 def sql_words(c: str) -> str:
@@ -62,7 +59,7 @@ def sql_words(c: str) -> str:
 
 @query(f"SELECT a, b, round(CASE WHEN greatest(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / greatest(len(x), len(y)) ELSE 0 END, 6) AS share FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, {sql_words('a.p_name')} AS x, {sql_words('b.p_name')} AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)")
 def c7_word_set_similarity(t: Tables) -> DataFrame:
-    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
+    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), X.numbered_bigrams("p_name").alias("x"))
     b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
     return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(X.word_overlap("x", "y"), 6).alias("share"))
 
@@ -85,9 +82,9 @@ def x6_two_phase_search(t: Tables) -> DataFrame:
     return exact.where(F.col("score") >= (best or 0) - 0.1).orderBy(F.desc("score"), "p_partkey").limit(100).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT doc_id, CASE WHEN strpos(s, '-~') > 0 THEN substr(s, 1, strpos(s, '-~') - 1) ELSE s END AS slug FROM (SELECT doc_id, list_reduce(list_prepend('', string_split({sql_fold(HEAD)}, ' ')), lambda s, w: CASE WHEN s = '' THEN substr(w, 1, 30) WHEN length(s) + length(w) + 1 <= 30 THEN s || '-' || w ELSE s || '-~' END) AS s FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN strpos(s, '-~') > 0 THEN substr(s, 1, strpos(s, '-~') - 1) ELSE s END AS slug FROM (SELECT doc_id, list_reduce(list_prepend('', string_split({sql_fold('text')}, ' ')), lambda s, w: CASE WHEN s LIKE '%-~' THEN s WHEN s = '' THEN substr(w, 1, 30) WHEN length(s) + length(w) + 1 <= 30 THEN s || '-' || w ELSE s || '-~' END) AS s FROM documents)")
 def c10_slugs(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.slug(F.substring("text", 1, 120), 30).alias("slug"))
+    return t.documents.select("doc_id", X.slug("text", 30).alias("slug"))
 
 
 @query("SELECT p_partkey, len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), ['blue', 'almond', 'green'])) AS score FROM part")
@@ -96,9 +93,9 @@ def c11_slug_match(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.size(F.array_intersect(F.split(F.lower("p_name"), " "), wanted)).alias("score"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '^[a-z]') OR regexp_matches(text, '[|]\\s*$') OR length(text) < 30 AS fragment FROM (SELECT doc_id, substr(text, 1, 400) AS text FROM documents)")
+@query("SELECT doc_id, regexp_matches(text, '^[a-z]') OR regexp_matches(text, '[|]\\s*$') OR length(text) < 30 AS fragment FROM documents")
 def c13_fragment_detector(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 400)
+    head = F.col("text")
     return t.documents.select("doc_id", (head.rlike("^[a-z]") | head.rlike(r"[|]\s*$") | (F.char_length(head) < 30)).alias("fragment"))
 
 
@@ -118,9 +115,9 @@ def c16_round_extraction(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.nullif(F.regexp_extract("p_brand", "#([0-9])", 1), F.lit("")).alias("round"), F.regexp_extract("p_brand", "([0-9])$", 1).cast("int").alias("last"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({sql_fold(HEAD)}, '(^| )[0-9]+( |$)', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({sql_fold('text')}, '(^| )[0-9]+( |$)', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents")
 def c17_edition_key(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(X.fold(F.substring("text", 1, 120)), "(^| )[0-9]+( |$)", " "), " +", " ")).alias("key"))
+    return t.documents.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(X.fold("text"), "(^| )[0-9]+( |$)", " "), " +", " ")).alias("key"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\\.', '') AS host, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS key FROM pages")

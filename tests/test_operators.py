@@ -75,7 +75,7 @@ def test_three_valued(spark):
 
 def test_dice_counts_repeated_bigrams(spark):
     df = spark.createDataFrame([("aaaa", "aaa"), ("night", "nacht"), ("a", "a"), ("", "")], "x string, y string")
-    assert [round(r.d, 4) for r in df.select(text.dice("x", "y").alias("d")).collect()] == [0.8, 0.25, 0.0, 0.0]
+    assert [round(r.d, 4) for r in df.select(text.dice_of(text.numbered_bigrams("x"), text.numbered_bigrams("y")).alias("d")).collect()] == [0.8, 0.25, 0.0, 0.0]
 
 
 def test_fold_and_slug(spark):
