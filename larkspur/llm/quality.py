@@ -138,12 +138,17 @@ def _feature_rows(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def fit(rows: DataFrame, label: str = "quality", key: str = "doc_id", fit_rows: int = FIT_ROWS, accept: float = 0.3) -> Ranker:
-    """Learn from rows (key, text, label 0/1): about `fit_rows` of them, chosen by a hash of the key."""
-    rows = rows.where(F.col(label).isNotNull())
-    n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.lit(min(1.0, fit_rows / max(n, 1)) * 1_000_003))
-    got = sorted((r[0], r[1], r[2]) for r in _feature_rows(sample, (key, label)).collect())
+def fit(docs: DataFrame, labels: DataFrame | None = None, label: str = "quality", key: str = "doc_id", fit_rows: int = FIT_ROWS, accept: float = 0.3) -> Ranker:
+    """Learn from docs (key, text) and labels (key, label 0/1), which may be columns of docs: about `fit_rows` labelled keys, chosen by a hash.
+
+    Labels are counted and chosen before texts are read, so only the chosen ones (key and label, about `fit_rows` rows) are broadcast.
+    Null labels are left out; of several labels of one key the largest counts.
+    """
+    labels = (docs if labels is None else labels).where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("larkspur_label"))
+    share = min(1.0, fit_rows / max(labels.count(), 1))
+    chosen = labels.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    rows = docs.select(key, "text").join(F.broadcast(chosen), key)
+    got = sorted((r[0], r[1], r[2]) for r in _feature_rows(rows, (key, "larkspur_label")).collect())
     x = np.array([r[2] for r in got]) if got else np.zeros((0, len(BASE)))
     return fit_ranker(x, np.array([r[1] == 1 for r in got], bool), accept=accept)
 

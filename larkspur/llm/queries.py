@@ -66,8 +66,7 @@ def op6_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learned from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    learn = docs.where(~langid.held_out()).join(labels, "doc_id")
-    model = quality.fit(learn)
+    model = quality.fit(docs, labels.where(~langid.held_out()))
     return quality.score(docs.withColumn("held_out", langid.held_out()), model, keep=("held_out",))
 
 

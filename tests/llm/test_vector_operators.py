@@ -48,6 +48,21 @@ def test_top_k_with_fewer_than_k(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in pivots.top_k(frame(spark, rows), every=20).collect()] == [(0, 1, 1)]
 
 
+def test_blocks_are_left_out_but_never_one_that_holds_a_hit():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(-400, 400, (12, 16))
+    x = np.concatenate([c + rng.integers(-5, 6, (100, 16)) for c in centre]).astype(float)
+    piv = pivots.farthest_first(x[::7], 32)
+    far = pivots.distances(x, piv).T
+    low, high, norm = (np.stack([f(part) for part in np.split(v, 12)]) for f, v in ((lambda p: p.min(axis=0), far), (lambda p: p.max(axis=0), far), (lambda p: p.max(), (x**2).sum(axis=1))))
+    q = x[::50]
+    s = q @ x.T
+    limit = np.sort(s, axis=1)[:, -20]
+    there = pivots.may_hold(q, far[::50], limit, norm, low, high)
+    best_of = s.reshape(len(q), 12, 100).max(axis=2)
+    assert there[best_of >= limit[:, None]].all() and there.mean() < 0.5
+
+
 def test_pivot_bounds_leave_work_out():
     rng = np.random.default_rng(1)
     centre = rng.integers(-400, 400, (10, 16))
