@@ -83,68 +83,80 @@ def _exchange(lengths: np.ndarray, bins: np.ndarray, items: np.ndarray, fill: np
     return True
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, room: int, underfull: int = 256, tries: int = 256) -> np.ndarray:
-    """Improve a packing: empty the least full bin by moves and exchanges with other underfull bins, again and again; where that
-    is stuck, items of the others are exchanged for each other, which gathers their room in fewer bins.
-
-    `underfull` bounds the bins that take part at once (those with most room, beside the least full one), and a bin that
-    can't be emptied ends the search after `tries` changes without success; both bound time only.
-    """
-    bins = bins.copy()
+def _two_for_one(x: int, own: np.ndarray, lengths: np.ndarray, bins: np.ndarray, slack: np.ndarray, room: int) -> tuple[int, int] | None:
+    """Two items of one bin, shorter together than x, that make room for x there, or None. slack: each item's bin's room."""
+    order = np.lexsort((lengths[own], bins[own]))
+    own, slack = own[order], slack[order]
+    b, y = np.unique(bins[own], return_inverse=True)[1], lengths[own]
+    line = b * (room + 1) + y  # ascending: bins one after another, in each by length
+    least = np.maximum(x - slack - y, 1)
+    k = np.searchsorted(line, b * (room + 1) + least)
+    k = np.where(k == np.arange(len(own)), k + 1, k)  # not the item itself
+    ok = k < len(own)
+    k = np.minimum(k, len(own) - 1)
+    two = y + y[k]
+    ok &= (b[k] == b) & (two < x) & (two + slack >= x)
+    if not ok.any():
+        return None
+    i = int(np.argmin(np.where(ok, two, room + 1)))
+    return int(own[i]), int(own[k[i]])
+
+
+def _emptied(lengths: np.ndarray, bins: np.ndarray, target: int, room: int) -> np.ndarray | None:
+    """bins with the target bin emptied by moves and exchanges with the other underfull bins, or None. Each change makes the sum of
+    squared fills grow, so it ends."""
+    trial = bins.copy()
+    fill = np.bincount(trial, weights=lengths).astype(np.int64)
+    others = np.flatnonzero((fill > 0) & (fill < room) & (np.arange(len(fill)) != target))
+    if int((room - fill[others]).sum()) < fill[target]:
+        return None
+    pool = np.flatnonzero(np.isin(trial, others))
+    while True:
+        mine = np.flatnonzero(trial == target)
+        if not len(mine):
+            return trial
+        fill = np.bincount(trial, weights=lengths, minlength=len(fill)).astype(np.int64)
+        own = pool[trial[pool] != target]
+        y, slack = lengths[own], (room - fill)[trial[own]]
+        change = None
+        for i in mine[np.argsort(-lengths[mine], kind="stable")].tolist():
+            x = int(lengths[i])
+            fits = others[room - fill[others] >= x]
+            if len(fits):  # a move
+                change = i, int(fits[np.argmin(room - fill[fits])]), []
+                break
+            ok = np.flatnonzero((y < x) & (slack + y >= x))
+            if len(ok):  # one for one: the smallest that makes room
+                k = int(own[ok[np.argmin(y[ok])]])
+                change = i, int(trial[k]), [k]
+                break
+            two = _two_for_one(x, own, lengths, trial, slack, room) if len(own) > 1 else None
+            if two:
+                change = i, int(trial[two[0]]), list(two)
+                break
+        if change is not None:
+            i, to, back = change
+            trial[i] = to
+            trial[back] = target
+            pool = np.append(pool[~np.isin(pool, back)] if back else pool, i)
+        elif not _exchange(lengths, trial, own, fill, room):
+            return None
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, room: int) -> np.ndarray:
+    """Improve a packing: empty the least full bin, again and again, by moves, one-for-one and two-for-one exchanges with all other underfull
+    bins; where that is stuck, items of the others are exchanged for each other, which gathers their room in fewer bins. It ends
+    when there are as few bins as can be, or no change that gains is left for the least full bin."""
     least = -(-int(lengths.sum()) // room)
     while True:
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         used = np.flatnonzero(fill)
         if len(used) <= least:
             return bins
-        target = int(used[np.argmin(fill[used])])
-        others = used[(fill[used] < room) & (used != target)]
-        others = others[np.argsort(fill[others], kind="stable")][:underfull]
-        if int((room - fill[others]).sum()) < fill[target]:
-            return bins
-        trial, gained = bins.copy(), False
-        pool = np.flatnonzero(np.isin(trial, others))
-        for _ in range(tries):
-            mine = np.flatnonzero(trial == target)
-            if not len(mine):
-                gained = True
-                break
-            fill = np.bincount(trial, weights=lengths, minlength=len(fill)).astype(np.int64)
-            x_best = None
-            for i in mine[np.argsort(-lengths[mine], kind="stable")].tolist():
-                x = int(lengths[i])
-                slack = room - fill[others]
-                fits = others[slack >= x]
-                if len(fits):  # a move
-                    x_best = (i, int(fits[np.argmin(room - fill[fits])]), [])
-                    break
-                own = pool[trial[pool] != target]
-                y, slack = lengths[own], (room - fill)[trial[own]]
-                ok = np.flatnonzero((y < x) & (slack + y >= x))
-                if len(ok):  # one for one: the smallest that makes room
-                    k = own[ok[np.argmin(y[ok])]]
-                    x_best = (i, int(trial[k]), [int(k)])
-                    break
-                order = np.lexsort((lengths[own], trial[own]))  # two for one: neighbours by length in a bin
-                o = own[order]
-                if len(o) > 1:
-                    two = np.where(trial[o[1:]] == trial[o[:-1]], lengths[o[1:]] + lengths[o[:-1]], room + 1)
-                    ok = np.flatnonzero((two < x) & (two + (room - fill)[trial[o[1:]]] >= x))
-                    if len(ok):
-                        k = ok[np.argmin(two[ok])]
-                        x_best = (i, int(trial[o[k]]), [int(o[k]), int(o[k + 1])])
-                        break
-            if x_best is not None:
-                i, to, back = x_best
-                trial[i] = to
-                pool = np.append(pool, i)
-                trial[back] = target
-                pool = pool[~np.isin(pool, back)] if back else pool
-            elif not _exchange(lengths, trial, pool[np.isin(trial[pool], others)], fill, room):
-                break
-        if not gained:
+        better = _emptied(lengths, bins, int(used[np.argmin(fill[used])]), room)
+        if better is None:
             return bins
-        bins = trial
+        bins = better
 
 
 def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, group_pieces: int = 20_000) -> DataFrame:

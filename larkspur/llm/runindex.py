@@ -52,6 +52,8 @@ class Anchors:
     def __init__(self, data: np.ndarray, off: np.ndarray, window: int):
         gram = min(GRAM, window)
         n = len(data)
+        if n >= 1 << PLACE:
+            raise ValueError(f"a text of {n} bytes: places are kept in {PLACE} bits; cut it first")
         z = np.zeros(0, np.int64)
         self.row = self.at = self.p0 = self.p1 = z
         self.key = self.snip = np.zeros(0, U)
@@ -465,8 +467,7 @@ def remove_matches(docs: DataFrame, window: int = 100, texts: bool = False, dist
     rows, size = S.text_bytes(docs)
     chunks, buckets = S.parts(size, chunk_bytes), S.parts(size, S.BUCKET_BYTES)
     same = docs.where(F.octet_length("text") >= window).select("doc_id", F.sha2("text", 256).alias("sha"))
-    least = same.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    copies = same.join(least, "sha").where("doc_id > least").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").alias("copy"))
+    copies = S.later_copies(same, ["sha"]).select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").alias("copy"))
     copies = S.kept(copies, "copies")
     by_chunk = S.chunked(docs, chunks, "doc_id", "text").groupBy("chunk")
 

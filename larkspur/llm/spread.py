@@ -9,8 +9,10 @@ asks for it: Spark reuses it within a plan.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -19,6 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+
+
+class _Written(threading.local):
+    """Tables that kept() has written in this thread, in their order."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 #: Text bytes of a chunk, and bytes of packed keys that meet in a bucket, about.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
@@ -27,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or _own.get("at")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = _own["at"] = tempfile.mkdtemp(prefix="larkspur-")
         atexit.register(shutil.rmtree, at, True)
     return at
@@ -37,9 +51,31 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     to = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
+    _written.paths.append(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def written() -> int:
+    """How many tables kept() has written in this thread so far."""
+    return len(_written.paths)
+
+
+def remove_written(spark: SparkSession, since: int, until: int) -> None:
+    """Delete the tables that kept() wrote from the since-th to before the until-th; nothing that is still to run may read them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for to in _written.paths[since:until]:
+        path = jvm.org.apache.hadoop.fs.Path(to)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def later_copies(rows: DataFrame, by: list[str], key: str = "doc_id", salts: int = 16) -> DataFrame:
+    """Rows whose columns `by` equal those of a row with a smaller key, with that least key. A group of copies is dealt to `salts` parts; the
+    groups' least rows, one each, are repeated for them."""
+    least = rows.groupBy(*by).agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(least, [*by, "salt"]).where(F.col(key) > F.col("least")).drop("salt")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column."""
     got = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()

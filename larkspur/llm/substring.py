@@ -285,8 +285,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = False, carry
     buckets, width = S.parts(size, S.BUCKET_BYTES), S.key_bytes(size)
     same = docs.select("doc_id", "text").mapInArrow(_sequences, "doc_id long, n long, a long, b long")
     same = S.kept(same.where(f"n >= {window}"), "sequences")
-    least = same.groupBy("n", "a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    copies = same.join(least, ["n", "a", "b"]).where("doc_id > least").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").alias("copy"))
+    copies = S.later_copies(same, ["n", "a", "b"]).select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").alias("copy"))
     copies = S.kept(copies, "copies")
     none = F.lit(None)
     dealt = S.chunked(docs, chunks, "doc_id", "text", *carry)
