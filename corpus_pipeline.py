@@ -18,7 +18,8 @@ from larkspur.llm.substring import remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known to one of the learned ones; texts without a letter and texts far from all languages go."""
+    """Documents whose language is known to one of the learned ones; texts without a letter and texts far from all languages go.
+    Null and empty texts go, repeated rows stay or go alike, and an empty table gives an empty one."""
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out()))
     rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
@@ -26,14 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles with Jaccard 0.8 or more."""
+    """One document, that of the smallest id, of each group linked by five-word shingles with Jaccard 0.8 or more.
+    Null texts and texts without words link with nothing and stay; an empty table gives an empty one."""
     ship(spark)
     groups = jaccard_components(docs, n=5, num=80, den=100)
     return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of 13-word windows that an earlier document holds; a text that loses words has single spaces between those kept."""
+    """Texts without the words of 13-word windows that an earlier document holds; a text that loses words has single spaces between those kept.
+    All rows stay, with null texts as empty ones where nothing is left; of equal texts that of the smallest id keeps its words. An empty table gives an empty one."""
     ship(spark)
     rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
     out = remove_repeats(rows, window=13, texts=True, carry=("row",))
@@ -43,12 +46,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind. All rows stay; null texts stay null; an empty table gives an empty one."""
     return pii.mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of at most 4096 tokens."""
+    """Pieces of documents and their places in sequences of at most 4096 tokens; a null or empty text is a piece of its end id; an empty table gives none."""
     ship(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
 
@@ -58,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the last stage makes of all of `documents`."""
+    """The pieces that the last stage makes of all of `documents`. What a stage wrote on its way is removed once its rows are written, and these
+    once their successor's are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = None
     for name, stage in STAGES[:-1]:
+        since = spread.written() if begun is None else begun
         docs = spread.kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        begun = spread.written() - 1
+        spread.remove_written(spark, since, begun)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Keep the folder that the session names in spark.checkpoint.dir; set a temporary one only where it names none, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="larkspur-"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
