@@ -104,8 +104,9 @@ def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sc
         dims[d] = (np.array([r.id for r in own]), np.array([r.v for r in own], float))
     pivots = {d: farthest_first(x, PIVOTS) for d, (_, x) in dims.items()}
     n = rows.count()
-    query_blocks, near = S.parts(n // every + 1, QUERY_BLOCK), 1
-    while PIVOTS**near < S.parts(n, block):  # a block's vectors have the same nearest pivots, so many that blocks are of the wanted size
+    query_blocks, wanted_blocks, near = S.parts(n // every + 1, QUERY_BLOCK), S.parts(n, block), 1
+    wide = min(PIVOTS, wanted_blocks)  # a block's vectors have the same nearest ones of so many pivots, so that blocks are of about the wanted size
+    while wide**near < wanted_blocks:
         near += 1
 
     def placed(batches):
@@ -118,7 +119,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sc
                 x = flat[(off[at][:, None] + np.arange(d)).ravel()].reshape(-1, d)
                 far = np.ascontiguousarray(distances(x.astype(float), pivots.get(d, np.zeros((0, d)))).T)
                 cell = np.zeros(len(at), np.int64)
-                for c in np.argsort(far, axis=1, kind="stable")[:, :near].T if far.shape[1] else ():
+                for c in np.argsort(far[:, :wide], axis=1, kind="stable")[:, :near].T if far.shape[1] else ():
                     cell = cell * PIVOTS + c
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(sizes[at]), S.blobs(x), S.blobs(far), pa.array(cell)], ["id", "dim", "v", "far", "cell"])
 
