@@ -40,7 +40,7 @@ def s7_visible_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", visible_text("html").alias("text"))
 
 
-@query()
+@query("SELECT o_orderkey, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || o_orderkey, 'SUMMARY:' || o_orderpriority || '\\, ' || o_orderstatus, 'DTSTART;VALUE=DATE:' || strftime(o_orderdate, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(CAST(o_orderdate AS DATE) + 1, '%Y%m%d'), 'END:VEVENT', '') AS ics FROM orders")
 def s14_calendar_text(t: Tables) -> DataFrame:
     ship(t.spark)
     day = F.to_date("o_orderdate")
@@ -52,7 +52,7 @@ def s20_generic_reader(t: Tables) -> DataFrame:
     return D.generic(t.pages)
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') END AS text FROM documents")
 def s21_charset(t: Tables) -> DataFrame:
     ship(t.spark)
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
