@@ -4,7 +4,9 @@ A text, in lower case and with every run of other ASCII characters than letters
 and 3-grams of UTF-8 bytes, hashed to `DIMS` places: square root of the count, times the n-gram's inverse document frequency,
 scaled to length 1. Document frequencies are counted over all rows to learn from. Each language has several centroids,
 found by spherical k-means on a bounded sample of its rows, inside one task per language. A text gets the language of
-the centroid with the largest cosine; a text farther from all centroids than `reject_below` is rejected.
+the centroid with the largest cosine. How far a text of a language may be from its centroids depends on the text's length:
+for 16, 32, 64 ... bytes of letters, pieces of that length of the sampled rows give a low quantile of their cosines, and a text of at least
+that length whose cosine is below `MARGIN` times the quantile is rejected, as is one below `reject_below` at any length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ U32 = np.uint32
 DIMS = 1 << 12
 #: Rows of each language, at most about, that centroids are fitted on; and centroids of each language.
 FIT_ROWS, CENTROIDS = 600, 4
+#: Lengths, in bytes of letters, that rejection is learned for: 2 ** LEAST and doublings of it.
+LEAST, LENGTHS = 4, 9
+#: A length's limit is MARGIN times the QUANTILE of at least PIECES pieces; with fewer it is the next smaller length's.
+MARGIN, QUANTILE, PIECES = 0.4, 0.05, 50
 #: Blank for every ASCII byte that is no letter; bytes of other characters stay.
 FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -56,6 +62,27 @@ def vectors(data: np.ndarray, off: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters before each place, and in all."""
+    return np.concatenate([[0], np.cumsum(FOLD[data] != 32)])
+
+
+def limits(texts: list[bytes], centre: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each length the least cosine of a text of the language, 0 where the rows are too few: from the first and the last piece of that
+    length of each text. A text is judged by the greatest length it reaches, so by pieces that are no longer than itself."""
+    out, seen = np.zeros(LENGTHS), [(np.frombuffer(t, np.uint8), letters(np.frombuffer(t, np.uint8))) for t in texts]
+    for c in range(LENGTHS):
+        n, pieces = 1 << LEAST + c, []
+        for data, before in seen:
+            if before[-1] >= n:
+                pieces += [data[: np.searchsorted(before, n)], data[np.searchsorted(before, before[-1] - n, "right") - 1 :]]
+        out[c] = out[c - 1] if c else 0.0
+        if len(pieces) >= 2 * PIECES:
+            v = vectors(np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]), idf)
+            out[c] = max(out[c], MARGIN * np.quantile((v @ centre.T).max(axis=1), QUANTILE))
+    return out
+
+
 def _slices(text: pa.Array, limit: int = 1 << 20):
     """Lower-case texts, few at a time: first row, row after the last, bytes, offsets."""
     data, off = K.column(pc.utf8_lower(text))
@@ -93,10 +120,11 @@ def centroids(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Model:
-    """Languages, inverse document frequencies and centroids: DIMS floats for each of at most CENTROIDS per language."""
+    """Languages, inverse document frequencies and centroids: DIMS floats for each of at most CENTROIDS per language; LENGTHS limits for each."""
 
-    def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray):
+    def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray, limits: np.ndarray | None = None):
         self.langs, self.idf, self.centres = langs, idf, centres
+        self.limits = np.zeros((len(langs), LENGTHS)) if limits is None else limits
 
 
 def fit(rows: DataFrame, lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
@@ -119,19 +147,24 @@ def fit(rows: DataFrame, lang: str = "lang", key: str = "doc_id", fit_rows: int
         group = group.take(pa.array(order)).combine_chunks()
         v = np.concatenate([vectors(data, off, idf) for b in group.to_batches() for _, _, data, off in _slices(b.column(1))])
         c = centroids(v, k)
-        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(c)), "centre": pa.array([x.tobytes() for x in c], pa.binary())})
+        least = limits([data[x:y].tobytes() for b in group.to_batches() for _, _, data, off in _slices(b.column(1)) for x, y in zip(off[:-1], off[1:], strict=True)], c, idf)
+        same = [pa.array([x] * len(c)) for x in (group["lang"][0].as_py(), least.tobytes())]
+        return pa.table({"lang": same[0], "centre": pa.array([x.tobytes() for x in c], pa.binary()), "least": same[1]})
 
-    found = sample.groupBy("lang").applyInArrow(fit_one, "lang string, centre binary").orderBy("lang").collect() if sizes else []
+    found = sample.groupBy("lang").applyInArrow(fit_one, "lang string, centre binary, least binary").orderBy("lang").collect() if sizes else []
     found = sorted(found, key=lambda r: (r.lang, bytes(r.centre)))
-    return Model([r.lang for r in found], idf, np.stack([np.frombuffer(bytes(r.centre), np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32))
+    if not found:
+        return Model([], idf, np.zeros((0, DIMS), np.float32))
+    return Model([r.lang for r in found], idf, np.stack([np.frombuffer(bytes(r.centre), np.float32) for r in found]), np.stack([np.frombuffer(bytes(r.least)) for r in found]))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", reject_below: float = 0.12, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, lang_pred, score, rejected, and the columns of `keep`. A null text or one without a letter is `und`, score 0, rejected; a text
-    whose largest cosine is below `reject_below` keeps the nearest language's name and is rejected."""
+    whose largest cosine is below `reject_below`, or below the limit of the nearest language for its length, keeps that language's name and
+    is rejected. Languages learned from fewer than PIECES rows of a length have no limit of their own there."""
     schema = docs.select(key, *keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    names, idf, centres = np.array(model.langs, object), model.idf, model.centres
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    names, idf, centres, least = np.array(model.langs, object), model.idf, model.centres, np.maximum(model.limits, reject_below)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     place = keep.index("text") + 1 if "text" in keep else 1 + len(keep)  # a text that is kept is sent once
     sent = [key, *keep] if "text" in keep else [key, *keep, "text"]
     kept = 1 + len(keep)
@@ -139,16 +172,20 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", reject_below: fl
     def run(batches):
         for batch in batches:
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            limit = np.full(batch.num_rows, reject_below)
             if len(names):
                 for i, j, data, off in _slices(batch.column(place)):
                     near = vectors(data, off, idf) @ centres.T
                     best[i:j], score[i:j] = near.argmax(axis=1), near.max(axis=1)
+                    size = np.diff(letters(data)[off])
+                    length = np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64) - LEAST, LENGTHS - 1)
+                    limit[i:j] = np.where(length >= 0, least[best[i:j], np.maximum(length, 0)], reject_below)
             ok = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & bool(len(names))
             lang = [names[b] if x else "und" for b, x in zip(best, ok, strict=True)]
             score = np.where(ok, np.clip(score, 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(lang, pa.string()), pa.array(score), pa.array(~ok | (score < reject_below))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(lang, pa.string()), pa.array(score), pa.array(~ok | (score < limit))], schema.names)
 
-    return docs.select(*sent, letters.alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*sent, lettered.alias("_letters")).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5):

@@ -345,6 +345,21 @@ def test_language_on_a_held_out_fold(spark):
     assert all(again[i][0] == r.lang_pred and abs(again[i][1] - r.score) < 1e-5 for i, r in out.items())
 
 
+def test_language_rejects_unlearned_languages_by_length(spark):
+    """Limits come from the labelled rows' own cosines: texts of no learned language go, and rows of the learned ones stay, short pieces too."""
+    df = spark.createDataFrame(sentences(), "doc_id long, text string, lang string")
+    model = langid.fit(df.where(~langid.held_out()))
+    assert (model.limits[:, 0] > 0).all() and (np.diff(model.limits) >= 0).all()
+    far = ["kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "qxj wzvk pqkd zxcv mnbq wkjh qpzl xkcv jhgq zzpl kqwx vbnm plok", "9f86d081884c7d65 9a2feaa0c55ad015 a3bf4f1b2b0b822c d15d6c15b0f00a08"]
+    own = [t[:n] for _, t, _ in sentences()[:60] for n in (12, 25, 50, 1000)]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*far, *own])], "doc_id long, text string, _letters string")
+    out = {r.doc_id: r.rejected for r in langid.predict(rows, model).collect()}
+    assert all(out[i] for i in range(len(far)))
+    assert sum(out[i] for i in range(len(far), len(out))) <= 0.02 * len(own)
+    few = langid.fit(df.limit(9))  # too few rows: no limits
+    assert not few.limits.any()
+
+
 def test_language_without_rows_to_learn_from(spark, none):
     model = langid.fit(none.selectExpr("doc_id", "text", "'en' as lang"))
     df = spark.createDataFrame([(1, "hello")], "doc_id long, text string")
