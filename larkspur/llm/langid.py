@@ -185,7 +185,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", reject_below: fl
             score = np.where(ok, np.clip(score, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(lang, pa.string()), pa.array(score), pa.array(~ok | (score < limit))], schema.names)
 
-    return docs.select(*sent, lettered.alias("_letters")).mapInArrow(run, schema)
+    flag = "_letters" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    return docs.select(*sent, lettered.alias(flag)).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5):

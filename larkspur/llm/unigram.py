@@ -86,7 +86,10 @@ class Trie:
 
 
 class Model:
-    """Pieces, scores and types of a SentencePiece model file, as a Unigram model whatever its type."""
+    """Pieces, scores and types of a SentencePiece model file, as a Unigram model whatever its type.
+
+    In a file of type Unigram the scores are log probabilities. In one of type BPE, as among the public files, they are negated merge
+    ranks: the segmentation is still the one of largest sum, but that sum is no likelihood."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb

@@ -381,6 +381,14 @@ def test_quality_ranks_junk_below_prose(spark):
     assert min(out[i].score for i, _, _ in good) > max(out[i].score for i, _, _ in bad)
 
 
+def test_language_of_no_rows_and_of_clashing_columns(spark):
+    df = spark.createDataFrame([(i, t, lang, -1.0, lang) for i, t, lang in sentences()], "doc_id long, text string, lang string, _letters double, lang_other string")
+    model = langid.fit(df)
+    assert langid.predict(df.limit(0), model, keep=("text", "_letters")).collect() == []
+    rows = langid.predict(df, model, keep=("_letters", "lang_other")).collect()
+    assert len(rows) == 240 and all(r._letters == -1.0 and r.lang_other == r.lang_pred and not r.rejected for r in rows)
+
+
 def test_bradley_terry_finds_the_likelihoods_top():
     rng = np.random.default_rng(0)
     diff = rng.standard_normal((500, 3)) + 0.3
