@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import spread as S
-from larkspur.llm.pivots import matrix, usable
+from larkspur.llm.pivots import usable
 
 #: Vectors that a filter should hold, about; most rows of one side of a task; chance of missing a pair at the threshold, at most.
 LOAD, SIDE, MISS = 512, 1024, 0.01
@@ -26,6 +26,12 @@ LOAD, SIDE, MISS = 512, 1024, 0.01
 ONE, PAIRS = 0.6, 4000
 
 
+def rows_of(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list column of vectors of length dim as rows of numbers."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def tail(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2))
 
@@ -117,7 +123,7 @@ def shares(codes: list[Code], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _decode(codes: list[Code], dim: int):
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column(1), dim)
+            x = rows_of(batch.column(1), dim)
             norm = np.sqrt((x * x).sum(axis=1))
             ok = norm > 0
             row, filt = decode(codes, x[ok] / norm[ok, None])
@@ -179,7 +185,7 @@ def _compare(dim: int, cos: float):
         ids = rows["id"].to_numpy()
         lists = [np.asarray(f) for f in rows["filters"].to_pylist()]
         same = rows["lo"][0].as_py() == rows["hi"][0].as_py()
-        links, label = _links(matrix(rows["v"], dim), ids, lists, rows["f"][0].as_py(), (rows["own"].to_numpy() != rows["lo"][0].as_py()).astype(int), same, cos)
+        links, label = _links(rows_of(rows["v"], dim), ids, lists, rows["f"][0].as_py(), (rows["own"].to_numpy() != rows["lo"][0].as_py()).astype(int), same, cos)
         keep = (links > 0) | (label != ids)
         return pa.table({"id": pa.array(ids[keep]), "links": pa.array(links[keep]), "label": pa.array(label[keep])})
 

@@ -30,7 +30,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.where(ok).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"), F.size(column).alias("dim"))
 
 
-def matrix(col, dim: int, kind: str = "<i4") -> np.ndarray:
+def packed_rows(col, dim: int, kind: str = "<i4") -> np.ndarray:
     """Packed vectors as rows of numbers."""
     return S.joined(col, kind)[0].reshape(-1, dim)
 
@@ -130,8 +130,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sc
 
     def numbers(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         dim = t["dim"][0].as_py()
-        x = matrix(t["v"], dim).astype(float)
-        return t["id"].to_numpy(), x, matrix(t["far"], len(pivots.get(dim, ())), "<f4") if len(pivots.get(dim, ())) else np.zeros((len(x), 0), np.float32)
+        x = packed_rows(t["v"], dim).astype(float)
+        return t["id"].to_numpy(), x, packed_rows(t["far"], len(pivots.get(dim, ())), "<f4") if len(pivots.get(dim, ())) else np.zeros((len(x), 0), np.float32)
 
     def found(q_ids, q, q_far, limits, ids, x, far) -> list[pa.Array]:
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
@@ -180,7 +180,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", sc
             return pa.table({"id": pa.array([], pa.int64()), "dim": pa.array([], pa.int32()), "v": pa.array([], pa.binary()), "far": pa.array([], pa.binary()), "limit": pa.array([], pa.float64()), "q": pa.array([], pa.int32()), "cell": pa.array([], pa.int64()), "sub": pa.array([], pa.int32())})
         _, q, far = numbers(q_rows)
         wide = far.shape[1]
-        low, high = (matrix(e_rows[c], wide, "<f4") if wide else np.zeros((e_rows.num_rows, 0)) for c in ("low", "high"))
+        low, high = (packed_rows(e_rows[c], wide, "<f4") if wide else np.zeros((e_rows.num_rows, 0)) for c in ("low", "high"))
         there = may_hold(q, far, q_rows["limit"].to_numpy(), e_rows["norm"].to_numpy(), low, high)
         cell, part = e_rows["cell"].to_numpy(), e_rows["sub"].to_numpy()
         there &= (q_rows["cell"].to_numpy()[:, None] != cell) | (q_rows["sub"].to_numpy()[:, None] != part)
