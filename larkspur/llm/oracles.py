@@ -25,4 +25,18 @@ reach AS (SELECT a AS node, a AS far FROM edge UNION SELECT r.node, e.b FROM rea
 part AS (SELECT node, min(far) AS m FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(part.m, d.doc_id) AS component_id FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN part ON part.node = d.doc_id"""
 
-ORACLES = {"op4_substring_recompression": OP4, "op7_topk_pivot_table": OP7, "op8_ngram_jaccard_product": OP8}
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+word AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS a FROM word GROUP BY ALL HAVING count(DISTINCT row) >= 3), size AS (SELECT lang, count(*) AS v, sum(a) AS n FROM kept GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d), cnt AS (SELECT lang, source, term, count(*) AS c FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL), tot AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL),
+cell AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1) // (coalesce(tot.n, 0) + v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (a + 1) // (size.n + v) AS q
+  FROM grp g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN tot ON g.lang = tot.lang AND g.source = tot.source LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = k.term),
+pair AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM cell x JOIN cell y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM cell WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 200"""
+
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY s) AS group_size, first_value(doc_id) OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) AS keep_id FROM d)"""
+
+ORACLES = {"op4_substring_recompression": OP4, "op7_topk_pivot_table": OP7, "op8_ngram_jaccard_product": OP8, "op12_source_divergence": OP12, "op13_exact_dedup_runs": OP13}

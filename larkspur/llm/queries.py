@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.functions.ship import ship
 from larkspur.llm import langid, pii, quality, unigram
 from larkspur.llm.caps import near_duplicates
+from larkspur.llm.copies import exact_copies
+from larkspur.llm.divergence import divergences
 from larkspur.llm.jaccard import jaccard_components
 from larkspur.llm.oracles import ORACLES  # noqa: F401
 from larkspur.llm.packing import pack_documents
@@ -87,6 +89,16 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), model, keep=("held_out",))
 
 
-_ALL = (op1_sentencepiece_unigram, op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms lie from those of the other sources of its language, and the terms that mark it."""
+    return divergences(documents(spark, sf_dir), least_docs=3, top=200)
+
+
+def op13_exact_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts are equal without white space, and the one that stays: one row per document."""
+    return exact_copies(documents(spark, sf_dir))
+
+
+_ALL = (op1_sentencepiece_unigram, op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids, op12_source_divergence, op13_exact_dedup_runs)
 QUERIES = {f.__name__: f for f in _ALL}
 
