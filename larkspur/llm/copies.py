@@ -1,8 +1,8 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
 Every partition turns its rows into runs: digests in ascending order, each once, with the row that stays and how many rows it stands
-for. Runs are exchanged in binomial rounds: nodes are numbered in base RADIX, and in round r the nodes that differ in digit r only
-deal each other the part of their run whose digest has the receiver's digit there. A node merges the RADIX sorted parts it gets,
+for. Runs are exchanged in binomial rounds: nodes are numbered in base `radix`, and in round r the nodes that differ in digit r only
+deal each other the part of their run whose digest has the receiver's digit there. A node merges the `radix` sorted parts it gets,
 keeps of equal digests the row that stays and adds up the counts, so a digest held by a third of all rows is one entry per run at
 every level, and after the last round each node holds one range of digests, whole. No node ever holds more than its share of them.
 
@@ -46,31 +46,31 @@ def merged(digests: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.n
     return d[first], most, least, np.add.reduceat(counts, first)
 
 
-def rounds_for(rows: int) -> int:
+def rounds_for(rows: int, radix: int = RADIX, run: int = RUN) -> int:
     """Rounds after which a node's share of so many digests is a run."""
     r = 1
-    while RADIX**r * RUN < rows:
+    while radix**r * run < rows:
         r += 1
     return r
 
 
-def digit(digests: np.ndarray, r: int) -> np.ndarray:
-    """Digit r of each digest in base RADIX, from its most significant bits."""
-    bits = RADIX.bit_length() - 1
-    return ((digests[:, 0] >> np.uint64(64 - bits * (r + 1))) & np.uint64(RADIX - 1)).astype(np.int64)
+def digit(digests: np.ndarray, r: int, radix: int) -> np.ndarray:
+    """Digit r of each digest in base radix (a power of two), from its most significant bits."""
+    bits = radix.bit_length() - 1
+    return ((digests[:, 0] >> np.uint64(64 - bits * (r + 1))) & np.uint64(radix - 1)).astype(np.int64)
 
 
-def _segments(node: int, r: int, run: tuple) -> pa.RecordBatch:
+def _segments(node: int, r: int, radix: int, run: tuple) -> pa.RecordBatch:
     """The parts of a run for the nodes that differ from `node` in digit r. What a node holds agrees in the digits before, so parts follow each other."""
-    got, at = np.unique(digit(run[0], r), return_index=True)
+    got, at = np.unique(digit(run[0], r, radix), return_index=True)
     at = np.append(at, len(run[0]))
-    home = node - (node // RADIX**r % RADIX) * RADIX**r
+    home = node - (node // radix**r % radix) * radix**r
     parts = [pa.array([np.ascontiguousarray(x[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in run]
-    return pa.RecordBatch.from_arrays([pa.array(home + got * RADIX**r, pa.int64()), *parts], ["node", "digests", "sizes", "ids", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(home + got * radix**r, pa.int64()), *parts], ["node", "digests", "sizes", "ids", "counts"])
 
 
-def _first_runs(rounds: int):
-    """Rows of a partition as runs of at most RUN entries (or one batch), parted for round 0."""
+def _first_runs(rounds: int, radix: int, most: int):
+    """Rows of a partition as runs of about `most` entries (or one batch), parted for round 0."""
 
     def run(batches):
         held, n = [], 0
@@ -78,8 +78,8 @@ def _first_runs(rounds: int):
         def flush():
             out = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
             # the other digits of the sender's number only share out the work
-            home = int(out[0][0, 3] % np.uint64(RADIX**rounds)) if len(out[0]) else 0
-            return _segments(home, 0, out)
+            home = int(out[0][0, 3] % np.uint64(radix**rounds)) if len(out[0]) else 0
+            return _segments(home, 0, radix, out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -88,7 +88,7 @@ def _first_runs(rounds: int):
             ids = batch.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
             held.append(merged(raw, batch.column(2).to_numpy().astype(np.int64), ids, np.ones(len(raw), np.int64)))
             n += len(held[-1][0])
-            if n >= RUN:
+            if n >= most:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -102,9 +102,9 @@ def _unpacked(t: pa.Table) -> tuple:
     return digests, *(S.joined(t[c], "<i8")[0] for c in ("sizes", "ids", "counts"))
 
 
-def _merge_and_send(r: int):
+def _merge_and_send(r: int, radix: int):
     def run(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_segments(t["node"][0].as_py(), r, merged(*_unpacked(t)))])
+        return pa.Table.from_batches([_segments(t["node"][0].as_py(), r, radix, merged(*_unpacked(t)))])
 
     return run
 
@@ -116,31 +116,31 @@ def _last(t: pa.Table) -> pa.Table:
     return pa.table({"digest": pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), "keep_size": pa.array(sizes[several]), "keep_id": pa.array(ids[several]), "held": pa.array(counts[several])})
 
 
-def merged_groups(rows: DataFrame, n: int) -> DataFrame:
+def merged_groups(rows: DataFrame, n: int, radix: int = RADIX, run: int = RUN) -> DataFrame:
     """digest, keep_size, keep_id, held: every digest that several of the n rows (digest binary, id long, size long) hold, by the merge tree."""
-    rounds = rounds_for(n)
-    runs = rows.select("digest", "id", "size").mapInArrow(_first_runs(rounds), ENTRY)
+    rounds = rounds_for(n, radix, run)
+    runs = rows.select("digest", "id", "size").mapInArrow(_first_runs(rounds, radix, run), ENTRY)
     for r in range(1, rounds):
-        runs = runs.groupBy("node").applyInArrow(_merge_and_send(r), ENTRY)
+        runs = runs.groupBy("node").applyInArrow(_merge_and_send(r, radix), ENTRY)
     return runs.groupBy("node").applyInArrow(_last, "digest binary, keep_size long, keep_id long, held long")
 
 
-def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radix: int = RADIX, run: int = RUN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """key, keep_id, group_size, kept, text_sha256: one row for each row of docs, dropped ones too.
 
     Texts are equal where they are identical without their white space (BLANKS); null counts as empty, so null, empty and blank texts
     are one group. Of equal texts the row with the most code points before anything is deleted stays, then that of the smallest key;
     keys are whole numbers, null ones come last. Rows that repeat a kept row's key and length stay with it. An empty table gives an empty one.
-    Other columns of docs don't matter, whatever their names.
+    Other columns of docs don't matter, whatever their names. radix (a power of two), run and chunk_rows bound what a task holds.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(F.regexp_replace(body, BLANKS, "").cast("binary"), 256))
     rows = S.kept(docs.select(F.col(key).cast("long").alias("id"), digest.alias("digest"), F.char_length(body).cast("long").alias("size")), "digests")
     n = rows.count()
     last = F.lit(np.iinfo(np.int64).max)
-    groups = merged_groups(rows, n).select("digest", "keep_size", F.nullif("keep_id", last).alias("keep_id"), "held")
+    groups = merged_groups(rows, n, radix, run).select("digest", "keep_size", F.nullif("keep_id", last).alias("keep_id"), "held")
     # back to the rows: a group's answer goes once to every chunk of rows that holds its digest, so no key of either join has more rows than a chunk
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(S.parts(n, CHUNK_ROWS))))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(S.parts(n, chunk_rows))))
     answers = rows.select("digest", "chunk").distinct().join(groups, "digest")
     out = rows.join(answers, ["digest", "chunk"], "left")
     alone = F.col("held").isNull()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.functions.ship import ship
 from larkspur.llm import langid, pii, quality, unigram
+from larkspur.llm.align import alignments
 from larkspur.llm.caps import near_duplicates
 from larkspur.llm.copies import exact_copies
 from larkspur.llm.divergence import divergences
@@ -89,6 +90,11 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text").withColumn("held_out", langid.held_out()), model, keep=("held_out",))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers give every document, with the documents that hold each linked pair."""
+    return alignments(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each source's terms lie from those of the other sources of its language, and the terms that mark it."""
     return divergences(documents(spark, sf_dir), least_docs=3, top=200)
@@ -99,6 +105,6 @@ def op13_exact_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(documents(spark, sf_dir))
 
 
-_ALL = (op1_sentencepiece_unigram, op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids, op12_source_divergence, op13_exact_dedup_runs)
+_ALL = (op1_sentencepiece_unigram, op2_pii_bootstrapped_context, op3_packing_swap_search, op4_substring_recompression, op5_suffix_run_index, op6_quality_bradley_terry, op7_topk_pivot_table, op8_ngram_jaccard_product, op9_embedding_caps, op10_language_centroids, op11_tokenizer_alignment, op12_source_divergence, op13_exact_dedup_runs)
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -23,18 +23,15 @@ def brute_copies(rows):
     return sorted(out)
 
 
-def copies_of(df):
-    return sorted(tuple(r) for r in copies.exact_copies(df).collect())
+def copies_of(df, **more):
+    return sorted(tuple(r) for r in copies.exact_copies(df, **more).collect())
 
 
 @pytest.mark.parametrize(("radix", "run"), [(16, 1 << 16), (2, 16), (4, 8)])
-def test_exact_copies(spark, docs, by_id, monkeypatch, radix, run):
+def test_exact_copies(docs, by_id, radix, run):
     """One round, and several with small runs: equal texts, texts equal without white space, nulls, empty and very long texts."""
-    monkeypatch.setattr(copies, "RADIX", radix)
-    monkeypatch.setattr(copies, "RUN", run)
-    monkeypatch.setattr(copies, "CHUNK_ROWS", 20)
-    assert copies.rounds_for(len(by_id)) == (1 if run > 1000 else 4 if radix == 2 else 3)
-    assert copies_of(docs) == brute_copies(list(by_id.items()))
+    assert copies.rounds_for(len(by_id), radix, run) == (1 if run > 1000 else 4 if radix == 2 else 3)
+    assert copies_of(docs, radix=radix, run=run, chunk_rows=20) == brute_copies(list(by_id.items()))
 
 
 def test_exact_copies_hot_group_and_ties(spark):
