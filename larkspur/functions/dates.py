@@ -1,51 +1,120 @@
-"""Dates in free text of several languages, as Column expressions."""
+"""Dates in free text, as Column expressions.
+
+A text is folded and cut into tokens: numbers, names of months, separators (dot, slash, hyphen) and other words. Commas, filler words and
+dots that end an ordinal are dropped, so that "the 12th of May, 2026", "12. května 2026" and "12 may 2026" are the same three tokens. A date is
+then told by the kinds of the tokens from a place on and by what their values can mean, not by a pattern over characters.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import unaccent
 
-# Month names as folded texts have them, by month, in Czech, English, German, Italian and Polish.
-MONTHS = [
-    "ledna january januar gennaio stycznia",
-    "unora february februar febbraio lutego",
-    "brezna march marz marzo marca",
-    "dubna april aprile kwietnia",
-    "kvetna may mai maggio maja",
-    "cervna june juni giugno czerwca",
-    "cervence july juli luglio lipca",
-    "srpna august agosto sierpnia",
-    "zari september settembre wrzesnia",
-    "rijna october oktober ottobre pazdziernika",
-    "listopadu november novembre listopada",
-    "prosince december dezember dicembre grudnia",
-]
-NUMERIC = r"\b(\d{1,2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{2,4})\b"
-ISO = r"\b(20\d{2})-(\d{1,2})-(\d{1,2})\b"
-WORDED = r"\b(\d{1,2})\.?\s*([a-z]{3,12})\.?\s*(20\d{2})?\b"
-YEARLESS = r"\b(\d{1,2})\s*[./]\s*(\d{1,2})\b"
-
-
-def first_date(text, year) -> Column:
-    """The first date in folded text: day, month, year in figures; else ISO; else a day and a month's name; else day and month alone, in the
-    year given. Null where there is none, or where the first form found names no day of the calendar."""
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    number = lambda pattern, i: part(pattern, i).try_cast("int")
-    known = F.create_map(*(F.lit(x) for m, names in enumerate(MONTHS, 1) for name in names.split() for x in (name, m)))
-    month = F.try_element_at(known, part(WORDED, 2))
-    date = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    full = number(NUMERIC, 3)
-    full = F.when(full < 100, full + 2000).otherwise(full)
-    found = F.when(part(NUMERIC, 0) != "", date(full, number(NUMERIC, 2), number(NUMERIC, 1)))
-    found = found.when(part(ISO, 0) != "", date(number(ISO, 1), number(ISO, 2), number(ISO, 3)))
-    found = found.when(month.isNotNull(), date(F.coalesce(number(WORDED, 3), year), month, number(WORDED, 1)))
-    return found.when(part(YEARLESS, 0) != "", date(year, number(YEARLESS, 2), number(YEARLESS, 1)))
-
-
-def date_after(text, phrases: list[str], year, reach: int = 40) -> Column:
-    """The first date that stands within `reach` characters after a phrase (folded, no pattern), phrases in their order."""
-    folded = F.regexp_replace(unaccent(text), r"\s+", " ")
-    behind = F.concat(*(F.regexp_extract_all(folded, F.lit(rf"\Q{p}\E(?=(.{{0,{reach}}}))"), F.lit(1)) for p in phrases))
-    return F.try_element_at(F.filter(F.transform(behind, lambda w: first_date(w, year)), lambda d: d.isNotNull()), F.lit(1))
+LANGUAGES = ("cs", "de", "en", "es", "fr", "it", "pl")
+#: Words that may stand inside a date and mean nothing there, and endings of ordinals.
+FILLERS = ("of", "de", "the", "del", "den", "st", "nd", "rd", "th", "er", "e")
+#: Tokens that a date has at most: a span of two full dates.
+WIDEST = 11
+
+
+def month_names(languages: tuple[str, ...] = LANGUAGES) -> dict[str, int]:
+    """Folded full names of the months in the given languages, inflected and not, from the JVM's locale data. Names that mean two
+    months in two languages (none among LANGUAGES) are left out."""
+    jvm = SparkSession.active()._jvm
+    accents = str.maketrans(dict(zip(*_folding(), strict=True)))
+    names: dict[str, set[int]] = {}
+    for language in languages:
+        locale = jvm.java.util.Locale.forLanguageTag(language)
+        for style in (jvm.java.time.format.TextStyle.FULL, jvm.java.time.format.TextStyle.FULL_STANDALONE):
+            for number, month in enumerate(jvm.java.time.Month.values(), 1):
+                names.setdefault(month.getDisplayName(style, locale).lower().translate(accents), set()).add(number)
+    return {n: m.pop() for n, m in sorted(names.items()) if len(m) == 1}
+
+
+def _folding() -> tuple[str, str]:
+    from larkspur.functions.text import ACCENTS, PLAIN
+
+    return ACCENTS, PLAIN
+
+
+def date_tokens(text, languages: tuple[str, ...] = LANGUAGES) -> Column:
+    """(kind, size, value) of each token: n number of `size` digits, m month, the separator itself, or w any other word."""
+    names = F.create_map(*(F.lit(x) for pair in month_names(languages).items() for x in pair))
+    raw = F.regexp_extract_all(unaccent(text), F.lit("[0-9]+|[a-z]+|[^a-z0-9 ]"), F.lit(0))
+    raw = F.filter(raw, lambda x: ~x.isin(",", *FILLERS) & ~F.rlike(x, F.lit(r"^\s$")))
+
+    def token(x: Column) -> Column:
+        month = F.try_element_at(names, x)
+        kind = F.when(F.rlike(x, F.lit("^[0-9]")), "n").when(month.isNotNull(), "m").when(x.isin(".", "/", "-"), x).when(x == "–", "-").otherwise("w")
+        return F.struct(kind.alias("kind"), F.length(x).alias("size"), F.coalesce(month, F.when(F.length(x) <= 4, x.try_cast("int"))).alias("value"))
+
+    tokens = F.transform(raw, token)
+    following = lambda i: F.try_element_at(tokens, i + F.lit(2))["kind"]
+    return F.filter(tokens, lambda x, i: ~((x["kind"] == ".") & ~following(i).eqNullSafe(F.lit("n"))))
+
+
+def _at(tokens: Column, i: Column, year: Column) -> Column:
+    """The date that begins at the i-th token (from 1), or null: the longest form whose kinds fit there and that is a day of the calendar."""
+    get = lambda k: F.try_element_at(tokens, i + F.lit(k).cast("int"))
+    kind, size, value = (lambda k, f=f: get(k)[f] for f in ("kind", "size", "value"))
+
+    def fits(shape: str, at: int = 0) -> Column:
+        """Kinds of the tokens from `at` on: d day or month in figures, y year of four digits, x year of two, m month's name, s separator, - hyphen."""
+        tests = []
+        for k, c in enumerate(shape, at):
+            is_n = kind(k).eqNullSafe(F.lit("n"))
+            tests.append({"d": is_n & (size(k) <= 2), "y": is_n & (size(k) == 4), "x": is_n & (size(k) == 2), "m": kind(k).eqNullSafe(F.lit("m")), "s": F.coalesce(kind(k).isin(".", "/", "-"), F.lit(False)), "-": kind(k).eqNullSafe(F.lit("-"))}[c])
+        same = [k for k, c in enumerate(shape, at) if c == "s"]
+        tests += [kind(same[0]) == kind(same[1])] if len(same) == 2 else []
+        return reduce(lambda a, b: a & b, tests)
+
+    date = lambda y, m, d: F.when(y.between(1800, 2199), F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
+    near = lambda k: year + F.pmod(value(k) - year + F.lit(50), F.lit(100)) - F.lit(50)  # noqa: E731  two figures: the year of that ending nearest to the given one
+
+    def tail(at: int) -> tuple[Column, Column]:
+        """Month and year where a day, or what a span's first day lacks, is followed from `at` on."""
+        found = F.when(fits("dsdsy", at), F.struct(value(at + 2).alias("m"), value(at + 4).alias("y"))).when(fits("dsdsx", at), F.struct(value(at + 2).alias("m"), near(at + 4).alias("y")))
+        found = found.when(fits("dmy", at), F.struct(value(at + 1).alias("m"), value(at + 2).alias("y"))).when(fits("dm", at), F.struct(value(at + 1).alias("m"), year.alias("y")))
+        found = found.when(fits("dsd", at) & (kind(at + 1) != "-"), F.struct(value(at + 2).alias("m"), year.alias("y")))
+        return found["m"], found["y"]
+
+    forms = [
+        ("ysdsd", date(value(0), value(2), value(4))),
+        ("dsdsy", date(value(4), value(2), value(0))),
+        ("dsdsx", date(near(4), value(2), value(0))),
+        ("dsd-", date(tail(4)[1], value(2), value(0))),  # 30.4.-2.5.2026
+        ("dm-", date(tail(3)[1], value(1), value(0))),  # 30 April - 2 May 2026
+        ("d-d", date(tail(2)[1], tail(2)[0], value(0))),  # 12-14 May 2026, 12.-14.5.2026
+        ("dmy", date(value(2), value(1), value(0))),
+        ("md-dy", date(value(4), value(0), value(1))),  # May 12-14, 2026
+        ("mdy", date(value(2), value(0), value(1))),
+        ("dm", date(year, value(1), value(0))),
+        ("md", date(year, value(0), value(1))),
+        ("dsd", F.when((kind(1) != "-") & ~F.coalesce(fits("s", 3) & (kind(4) == "n"), F.lit(False)), date(year, value(2), value(0)))),
+    ]
+    inside = F.when(i > 2, get(-1)["kind"].isin(".", "/", "-") & (get(-2)["kind"] == "n"))  # the rest of a longer number
+    return F.when(~F.coalesce(inside, F.lit(False)), F.coalesce(*(F.when(fits(shape), day) for shape, day in forms)))
+
+
+def first_date(text, year, languages: tuple[str, ...] = LANGUAGES, reach: int | None = None) -> Column:
+    """The first date in a text, of those that begin within its first `reach` tokens; days come before months where both are figures.
+
+    A date without a year is in the given one, a year of two figures is the nearest of that ending, of a span the first day counts. Null where there is
+    none. `text` and `year` are columns.
+    """
+    tokens = date_tokens(text, languages)
+    tokens = tokens if reach is None else F.slice(tokens, F.lit(1), F.lit(reach + WIDEST))
+    places = F.size(tokens) if reach is None else F.least(F.size(tokens), F.lit(reach))
+    found = F.transform(F.array(tokens), lambda held: F.transform(F.when(places > 0, F.sequence(F.lit(1), places)), lambda i: _at(held, i, year)))
+    return F.try_element_at(F.filter(F.try_element_at(found, F.lit(1)), lambda d: d.isNotNull()), F.lit(1))
+
+
+def date_after(text, phrases: list[str], year, reach: int = 8, languages: tuple[str, ...] = LANGUAGES) -> Column:
+    """The first date that begins within `reach` tokens behind one of the phrases (folded, whole words), which are tried in their order."""
+    folded = F.concat(F.lit(" "), F.regexp_replace(unaccent(text), r"\s+", " "), F.lit(" "))
+    behind = F.concat(*(F.slice(parts := F.split(folded, rf"(?<![a-z0-9])\Q{p}\E(?![a-z0-9])"), F.lit(2), F.size(parts)) for p in phrases))
+    return F.try_element_at(F.filter(F.transform(behind, lambda rest: first_date(rest, year, languages, reach)), lambda d: d.isNotNull()), F.lit(1))

@@ -117,19 +117,34 @@ def e5_rechecked_members(t: Tables) -> DataFrame:
     return E.recheck(E.components(links), links)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (5, 6) THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + INTERVAL 28 YEAR AS DATE) END AS day FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 16 IN (5, 6, 15) THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + INTERVAL 28 YEAR AS DATE) END AS day FROM orders")
 def c25_date_after_phrase(t: Tables) -> DataFrame:
     """Deadlines in texts of several languages and forms: only a date close behind a phrase counts, and only one of the calendar."""
     day = F.add_months(F.to_date("o_orderdate"), 336)
     form = lambda f: F.date_format("day", f)
-    k = F.col("o_orderkey") % 8
-    czech = F.element_at(F.array(*map(F.lit, "ledna února března dubna května června července srpna září října listopadu prosince".split())), F.month("day"))
-    text = F.when(k == 0, F.concat(F.lit("Race 12. Entries close "), form("dd.MM.yyyy"), F.lit(" at noon")))
-    text = text.when(k == 1, F.concat(F.lit("Registration UNTIL  "), form("d MMMM yyyy"), F.lit(" for all who wish to take part in it; race 1.1.2031")))
-    text = text.when(k == 2, F.concat(F.lit("Anmeldung bis "), form("d/M/yy")))
-    text = text.when(k == 3, F.concat(F.lit("Uzávěrka přihlášek: "), form("d. "), czech, form(" yyyy")))
-    text = text.when(k == 4, F.concat(F.lit("entries close "), form("yyyy-MM-dd"), F.lit(".")))
-    text = text.when(k == 5, F.lit("Entries close 31.2.2026")).when(k == 6, F.concat(F.lit("Race on "), form("d.M.yyyy")))
-    text = text.otherwise(F.concat(F.lit("Entries close soon, that is long before the race starts; entries close on "), form("d. M.")))
-    rows = t.orders.select("o_orderkey", day.alias("day")).select("o_orderkey", text.alias("s"), F.year("day").alias("y"))
+    month = lambda names: F.element_at(F.array(*map(F.lit, names.split())), F.month("day"))
+    czech = month("ledna února března dubna května června července srpna září října listopadu prosince")
+    french = month("janvier février mars avril mai juin juillet août septembre octobre novembre décembre")
+    ordinal = F.when(F.dayofmonth("day").isin(1, 21, 31), "st").when(F.dayofmonth("day").isin(2, 22), "nd").when(F.dayofmonth("day").isin(3, 23), "rd").otherwise("th")
+    later = F.date_add("day", 1)
+    texts = [
+        F.concat(F.lit("Race 12. Entries close "), form("dd.MM.yyyy"), F.lit(" at noon")),
+        F.concat(F.lit("Registration UNTIL  "), form("d MMMM yyyy"), F.lit(" for all who wish to take part in it; race 1.1.2031")),
+        F.concat(F.lit("Anmeldung bis "), form("d/M/yy")),
+        F.concat(F.lit("Uzávěrka přihlášek: "), form("d. "), czech, form(" yyyy")),
+        F.concat(F.lit("entries close "), form("yyyy-MM-dd"), F.lit(".")),
+        F.lit("Entries close 31.2.2026"),
+        F.concat(F.lit("Race on "), form("d.M.yyyy")),
+        F.concat(F.lit("Entries close soon, that is long before the race starts; entries close on "), form("d. M.")),
+        F.concat(F.lit("entries close "), form("MMMM d"), F.lit(", "), form("yyyy"), F.lit(" (midnight)")),
+        F.concat(F.lit("Open until the "), form("d"), ordinal, F.lit(" of "), form("MMMM"), F.lit(" and not a day more")),
+        F.concat(F.lit("Anmeldung bis "), form("dd-MM-yyyy"), F.lit(", 18 Uhr")),
+        F.concat(F.lit("Entries close between "), form("d MMMM"), F.lit(" - "), F.date_format(later, "d MMMM"), form(" yyyy")),
+        F.concat(F.lit("Entries close "), form("d.M."), F.lit("–"), F.date_format(later, "d.M."), form("yyyy")),
+        F.concat(F.lit("Inscriptions: until le "), form("d "), french, form(" yyyy")),
+        F.concat(F.lit("entries close "), form("yyyy/M/d")),
+        F.concat(F.lit("Entries closed "), form("d.M.yyyy"), F.lit("; bisher 12.")),
+    ]
+    k = F.element_at(F.array(*texts), (F.col("o_orderkey") % 16 + 1).cast("int"))
+    rows = t.orders.select("o_orderkey", day.alias("day")).select("o_orderkey", k.alias("s"), F.year("day").alias("y"))
     return rows.select("o_orderkey", date_after("s", ["entries close", "until", "bis", "uzaverka"], F.col("y")).alias("day"))
