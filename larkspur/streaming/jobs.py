@@ -40,8 +40,13 @@ def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFr
 
 
 def hourly(spark: SparkSession, path: str) -> DataFrame:
-    """event_type, hour, n, total: tumbling hours with a watermark of two hours; late rows within it still count."""
-    rows = _source(spark, path).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    """hourly_counts of an event file."""
+    return hourly_counts(spark, _source(spark, path))
+
+
+def hourly_counts(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """event_type, hour, n, total: tumbling hours of a stream with a watermark of two hours; late rows within it still count."""
+    rows = events.withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     out = _run(spark, rows, "hourly", "update")
     newest = out.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "_batch").alias("x"))
     return newest.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "x.n", "x.total")
