@@ -82,11 +82,24 @@ def rolling_counts(events: DataFrame, key: str, at: str, seconds: dict[str, int]
     return out.drop("_s")
 
 
-def admitted_budget(charges: DataFrame, order: list[str], day: str, amount: str, per_day: float) -> DataFrame:
-    """Running sum of a day's charges, and whether it is still inside the day's budget. Days are small groups: they go one per window."""
-    w = W.partitionBy(day).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum(F.col(amount).cast("decimal(18,4)")).over(w)
-    return charges.withColumn("running", total).withColumn("ok", F.col("running") <= per_day)
+def admitted_budget(charges: DataFrame, order: str, tie: str, day: str, amount: str, per_day: int) -> DataFrame:
+    """charges with `ok`, whether a charge fits into what its day's admitted ones have left, and `running`, what these add up to with it or without it.
+    A refused charge uses nothing up. order and amount are whole numbers; each day is one sequential fold that streams in batches."""
+    from larkspur.operators.admission import folded
+
+    def fold():
+        spent = 0
+
+        def step(x: int) -> str:
+            nonlocal spent
+            fits = spent + x <= per_day
+            spent += x if fits else 0
+            return f"{int(fits)} {spent}"
+
+        return step
+
+    out = folded(charges, day, [order, tie], fold, [amount], "_fold")
+    return out.withColumns({"ok": F.left("_fold", F.lit(1)) == "1", "running": F.substring("_fold", 3, 30).cast("long")}).drop("_fold")
 
 
 def first_per_window(events: DataFrame, keys: list[str], at: str, tie: str, days: int) -> DataFrame:

@@ -72,10 +72,10 @@ def c37_marker_groups(t: Tables) -> DataFrame:
 SYNONYM = {"MACHINERY": "works", "BUILDING": "works", "AUTOMOBILE": "road", "HOUSEHOLD": "home", "FURNITURE": "home"}
 
 
-@query("SELECT c_nationkey, string_agg(DISTINCT CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'works' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'road' ELSE 'home' END, ',' ORDER BY CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'works' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'road' ELSE 'home' END) AS families FROM customer WHERE c_acctbal > 7000 GROUP BY 1")
+@query("SELECT c_nationkey, string_agg(DISTINCT CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'works' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'road' ELSE 'home' END, ',' ORDER BY CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'works' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'road' ELSE 'home' END) AS families FROM customer GROUP BY 1")
 def c39_canonical_lists(t: Tables) -> DataFrame:
     names = F.create_map(*(F.lit(x) for kv in SYNONYM.items() for x in kv))
-    stated = t.customer.where("c_acctbal > 7000").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("s"))
+    stated = t.customer.groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("s"))
     return stated.select("c_nationkey", F.array_join(F.array_sort(F.array_distinct(F.transform("s", lambda x: F.element_at(names, x)))), ",").alias("families"))
 
 
@@ -86,9 +86,9 @@ def c40_classifier(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", ages.alias("ages"), F.when(F.col("p_name").endswith("bolt"), "national").when(F.col("p_name").endswith("gear"), "regional").otherwise("local").alias("level"))
 
 
-@query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') THEN 'both' WHEN bool_or(event_type = 'purchase') THEN 'buyers' ELSE 'others' END AS audience FROM events WHERE value > 97 GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') AND bool_or(event_type = 'signup') THEN 'both' WHEN bool_or(event_type = 'purchase') THEN 'buyers' ELSE 'others' END AS audience FROM events GROUP BY user_id")
 def c41_audience_of_list(t: Tables) -> DataFrame:
-    lists = t.events.where("value > 97").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    lists = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     has = lambda v: F.exists("k", lambda x: x == v)
     return lists.select("user_id", F.when(has("purchase") & has("signup"), "both").when(has("purchase"), "buyers").otherwise("others").alias("audience"))
 
@@ -108,10 +108,10 @@ def c43_source_state(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.when(F.length(h) == 0, "empty").when(h.rlike("(?i)error|not found"), "failing").when(F.contains(h, F.lit("<li")), "list").otherwise("page").alias("state"))
 
 
-@query("SELECT event_id, '{\"kind\":\"' || event_type || '\",\"k\":' || json_extract_string(props, '$.k') || '}' AS j FROM events WHERE value > 95")
+@query("SELECT event_id, '{\"kind\":\"' || event_type || '\",\"k\":' || json_extract_string(props, '$.k') || '}' AS j FROM events")
 def c44_json_build(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return t.events.where("value > 95").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), k.alias("k"))).alias("j"))
+    return t.events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), k.alias("k"))).alias("j"))
 
 
 @query("SELECT c_custkey, i.a, i.b FROM customer, (VALUES (1, 'x'), (2, 'y')) i(a, b)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.scratch import ensure_checkpoints, written
 from larkspur.functions.text import fold
 from larkspur.operators import fingerprint as D
-from larkspur.operators import gazetteer, merges, search
+from larkspur.operators import classifier, gazetteer, merges, search
 from larkspur.plans.registry import Tables, query
 from larkspur.plans.texts import sql_fold
 
@@ -117,3 +117,24 @@ def a30_relation_differences(t: Tables) -> DataFrame:
     at = f"{t.spark.sparkContext.getCheckpointDir()}/relations-{uuid.uuid4().hex}"
     a, b = (D.stored(df.select(*sorted(df.columns, reverse=turn)), ["o_orderkey"], f"{at}/{turn}", ("seen",)) for df, turn in ((before, False), (after, True)))
     return D.differences(t.spark, a, b)
+
+
+RULES = f"""SELECT item_id AS rule, array_to_string(list_slice(w, 3, 3 + CAST(item_id % 2 AS INT)), ' ') AS run, ['age', 'level', 'class', 'type', 'season'][CAST(item_id % 5 + 1 AS INT)] AS attribute, 'v' || (item_id % 7) AS value, item_id % 3 AS precedence, CASE WHEN item_id % 4 = 0 THEN w[1] || ' ' || w[2] END AS unless
+FROM (SELECT item_id, list_filter(string_split({sql_fold('text')}, ' '), lambda x: length(x) >= 2) AS w FROM benchmark) WHERE len(w) >= 4"""
+
+
+@query(f"""WITH rule AS MATERIALIZED ({RULES}), d AS MATERIALIZED (SELECT doc_id, list_filter(string_split({sql_fold('text')}, ' '), lambda x: x <> '') AS w FROM documents),
+run AS (SELECT doc_id, i AS pos, w[i] AS gram FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d) UNION ALL SELECT doc_id, i, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
+hit AS (SELECT doc_id, rule, min(pos) AS pos FROM run JOIN rule ON run.gram = rule.run GROUP BY ALL), void AS (SELECT DISTINCT doc_id, rule FROM run JOIN rule ON run.gram = unless),
+held AS (SELECT * FROM hit ANTI JOIN void USING (doc_id, rule) JOIN rule USING (rule)), tier AS (SELECT doc_id, attribute, min(precedence) AS tier FROM held GROUP BY 1, 2)
+SELECT doc_id, attribute, CASE WHEN attribute IN ('age', 'type') THEN string_agg(DISTINCT value, ',' ORDER BY value) ELSE arg_min(value, (pos, rule)) END AS found, tier FROM held JOIN tier USING (doc_id, attribute) WHERE precedence = tier GROUP BY doc_id, attribute, tier""")
+def c40_rule_classifier(t: Tables) -> DataFrame:
+    """Ages, level, class, type and season of whole documents by a table of word runs with precedences and exclusions."""
+    words = F.filter(F.split(fold("text"), " "), lambda x: F.length(x) >= 2)
+    k = F.col("item_id")
+    rules = t.benchmark.select("item_id", words.alias("w")).where(F.size("w") >= 4).select(
+        k.alias("rule"), F.array_join(F.slice("w", F.lit(3), (k % 2 + 1).cast("int")), " ").alias("run"), F.element_at(F.array(*map(F.lit, ("age", "level", "class", "type", "season"))), (k % 5 + 1).cast("int")).alias("attribute"),
+        F.concat(F.lit("v"), (k % 7).cast("string")).alias("value"), (k % 3).alias("precedence"), F.when(k % 4 == 0, F.array_join(F.slice("w", 1, 2), " ")).alias("unless"),
+    )
+    out = classifier.classified(t.documents, "doc_id", "text", written(rules, "rules"), several=("age", "type"))
+    return out.select("doc_id", "attribute", F.array_join("values", ",").alias("found"), "tier")

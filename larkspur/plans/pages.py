@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.scratch import ensure_checkpoints
 from larkspur.functions.ship import ship
 from larkspur.functions.text import visible_text
 from larkspur.plans.registry import Tables, query
 from larkspur.sources import documents as D
-from larkspur.sources import readers
+from larkspur.sources import exchange, readers
 from larkspur.streaming import jobs, progress
 
 #: DuckDB's visible text of a page, and its title.
@@ -126,3 +129,25 @@ def s5_read_pages(t: Tables) -> DataFrame:
     rows = readers.read_pages(t.pages.withColumn("html", F.when(k % 5 == 4, shell).otherwise(full)))
     first = F.get("records", F.lit(0))
     return rows.select("page_id", "strategy", first["name"].alias("name"), first["day"].alias("day"), "confidence", "complete", F.array_join("issues", ",").alias("issues"))
+
+
+@query("SELECT doc_id, text, lang, n_chars > 1000 AS long, o.day, n_chars FROM documents JOIN (SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) o ON o_orderkey = doc_id WHERE lang <> 'fr' AND n_chars >= 200")
+def s8_csv_there_and_back(t: Tables) -> DataFrame:
+    """Documents, with all their quotes and line ends, written as semicolon CSV and read again with filters pushed down to the reader."""
+    return _exchanged(t, "larkspur_csv").where("lang <> 'fr' and n_chars >= 200")
+
+
+@query("SELECT doc_id, text, lang, n_chars > 1000 AS long, o.day, n_chars FROM documents JOIN (SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) o ON o_orderkey = doc_id WHERE lang IN ('en', 'de')")
+def s15_json_there_and_back(t: Tables) -> DataFrame:
+    """The same as arrays of objects with headers for caches."""
+    return _exchanged(t, "larkspur_json").where("lang in ('en', 'de')")
+
+
+def _exchanged(t: Tables, form: str) -> DataFrame:
+    ship(t.spark)
+    exchange.register(t.spark)
+    rows = t.documents.join(t.orders.select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day")).distinct(), "doc_id").select("doc_id", "text", "lang", (F.col("n_chars") > 1000).alias("long"), "day", "n_chars")
+    ensure_checkpoints(t.spark)
+    at = f"{t.spark.sparkContext.getCheckpointDir()}/{form}-{uuid.uuid4().hex}"
+    rows.write.format(form).mode("append").save(at)
+    return t.spark.read.format(form).option("pushdown", True).schema(rows.schema).load(at)
