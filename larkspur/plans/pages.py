@@ -111,10 +111,10 @@ def t3_streaming_progress(t: Tables) -> DataFrame:
 @query(rf"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 = 4 THEN '<html><head><title>App ' || page_id || '</title></head><body><script>boot()</script></body></html>'
   ELSE regexp_replace(html, '<article>', '<article><p>' || CASE page_id % 4 WHEN 0 THEN '2025-03-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') WHEN 1 THEN (page_id % 28 + 1) || '. 4. 2026' WHEN 2 THEN '31.2.2026' ELSE '' END || '</p>')
     || CASE WHEN page_id % 3 = 0 THEN {MADE} ELSE '' END || CASE WHEN page_id % 7 = 1 THEN '<script type="application/ld+json">{{"@type": "Event", </script>' ELSE '' END END AS html FROM pages),
-q AS (SELECT page_id, url, page_id % 5 <> 4 AND page_id % 3 = 0 AS made, page_id % 5 <> 4 AND page_id % 7 = 1 AS broken, page_id % 5 = 4 AS shell, {VISIBLE} AS text, {sql_title('html')} AS title FROM p), r AS (SELECT *, {SQL_DAY} AS day FROM q),
+q AS (SELECT page_id, url, page_id % 5 <> 4 AND page_id % 3 = 0 AS made, page_id % 5 <> 4 AND page_id % 7 = 1 AS broken, regexp_matches(html, '(?i)<script') AS scripted, {VISIBLE} AS text, {sql_title('html')} AS title FROM p), r AS (SELECT *, {SQL_DAY} AS day FROM q),
 s AS (SELECT *, CASE WHEN made THEN NULL WHEN title IS NULL THEN 'no_title' WHEN regexp_matches(lower(title), '^(home|index|untitled)\b') THEN 'junk_title' WHEN day IS NOT NULL AND len(years) > 0 AND NOT list_contains(years, CAST(year(day) AS VARCHAR)) THEN 'year_conflict' WHEN day IS NULL THEN 'no_day' END AS issue
   FROM (SELECT *, list_filter(regexp_extract_all(title || ' ' || regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '[0-9]+'), lambda y: regexp_matches(y, '^20[0-9]{{2}}$')) AS years FROM r)),
-u AS (SELECT *, NOT made AND issue IS NOT NULL AND length(text) < 250 AND shell AS thin FROM s)
+u AS (SELECT *, NOT made AND issue IS NOT NULL AND length(text) < 250 AND scripted AS thin FROM s)
 SELECT page_id, CASE WHEN made THEN 'json_ld' WHEN issue IS NULL THEN 'generic' WHEN thin THEN 'dynamic_unread' ELSE 'none' END AS strategy, CASE WHEN made THEN 'Race ' || page_id WHEN issue IS NULL THEN title END AS name, CASE WHEN made THEN DATE '2025-05-04' WHEN issue IS NULL THEN day END AS day,
 CASE WHEN made THEN 0.85 WHEN issue IS NULL THEN 0.4 ELSE 0 END AS confidence, made AND NOT broken AS complete, concat_ws(',', CASE WHEN broken THEN 'unreadable_script' END, issue, CASE WHEN thin THEN 'needs_rendering' END) AS issues FROM u""")
 def s5_read_pages(t: Tables) -> DataFrame:
