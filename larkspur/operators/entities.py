@@ -19,7 +19,7 @@ def gated_score(gates: dict[str, Column], parts: dict[str, Column], cap: tuple[C
 
 
 def name_points(same: Column, s: Column) -> Column:
-    """28 points for equal names; 26, 14 or 6 for names alike to 0.88, 0.55 or 0.35."""
+    """28 points for equal names; 26, 14 or 6 for names alike to 0.88, 0.55 or 0.35 (fixed values)."""
     return F.when(same, 28).when(s >= 0.88, 26).when(s >= 0.55, 14).when(s >= 0.35, 6).otherwise(0)
 
 

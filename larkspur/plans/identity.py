@@ -82,6 +82,7 @@ def j22_claimed_and_logged(t: Tables) -> DataFrame:
 
 
 PLACES = f"(SELECT p.s_suppkey AS id, CAST(floor(lat / 4) AS BIGINT) AS y, CAST(floor(lng / 4) AS BIGINT) AS x, s_nationkey % 4 AS land, s_acctbal, CASE WHEN p.s_suppkey % 10 = 0 THEN n_name WHEN p.s_suppkey % 4 = 1 THEN 'SÍDLO ' || (p.s_suppkey % 2) ELSE 'Sídlo ' || (p.s_suppkey % 2) END AS place FROM (SELECT s_suppkey, {POINT} FROM supplier) p JOIN supplier s ON p.s_suppkey = s.s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
+# The weights by which the best written of equal places is told.
 SCORE = f"CASE WHEN s_acctbal > 0 THEN 8 ELSE 0 END + CASE WHEN regexp_matches(place, '[a-z]') THEN 4 ELSE 0 END + CASE WHEN place <> {sql_fold('place')} THEN 2 ELSE 0 END + CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END"
 
 
