@@ -22,8 +22,8 @@ from larkspur.llm import spread as S
 
 #: Lower-cases A-Z and blanks the other ASCII bytes that aren't letters; bytes from 0x80 on are parts of letters.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bytes of a text that are split at once; unit of the probabilities; entries of a salted part.
-PIECE, SCALE, PART_ROWS = 1 << 20, 1_000_000_000, 1 << 17
+#: Bytes of a text that are split at once; entries held as Python objects; unit of the probabilities; entries of a salted part.
+PIECE, FLUSH, SCALE, PART_ROWS = 1 << 20, 1 << 16, 1_000_000_000, 1 << 17
 
 
 def terms_of(raw: bytes) -> Counter:
@@ -41,19 +41,22 @@ def terms_of(raw: bytes) -> Counter:
 
 
 def _entries(batches):
-    """lang, source, term, count, docs: sums over each batch."""
+    """lang, source, term, count, docs: sums over each batch. Terms leave Python's lists every FLUSH entries."""
     for batch in batches:
-        lang, source, words, counts, owner = [], [], [], [], []
-        for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-            got = terms_of(text or b"")
+        parts, words, counts, owner = [], [], [], []
+        for i, text in enumerate(batch.column(2)):
+            got = terms_of(text.as_buffer().to_pybytes())
             words += got.keys()
             counts += got.values()
             owner += [i] * len(got)
-        rows = pa.array(owner, pa.int64())
-        lang, source = batch.column(0).take(rows), batch.column(1).take(rows)
-        sums = pa.table({"lang": lang, "source": source, "term": pa.array(words, pa.binary()), "count": pa.array(counts, pa.int64())}).group_by(["lang", "source", "term"]).aggregate([("count", "sum"), ("count", "count")])
-        sums = sums.select(["lang", "source", "term", "count_sum", "count_count"]).rename_columns(["lang", "source", "term", "count", "docs"])
-        yield from sums.set_column(2, "term", sums["term"].cast(pa.string())).to_batches(max_chunksize=1 << 16)
+            if len(words) >= FLUSH or i == batch.num_rows - 1:
+                rows = pa.array(owner, pa.int64())
+                parts.append(pa.table({"lang": batch.column(0).take(rows), "source": batch.column(1).take(rows), "term": pa.array(words, pa.binary()), "count": pa.array(counts, pa.int64())}))
+                words, counts, owner = [], [], []
+        if parts:
+            sums = pa.concat_tables(parts).group_by(["lang", "source", "term"]).aggregate([("count", "sum"), ("count", "count")])
+            sums = sums.select(["lang", "source", "term", "count_sum", "count_count"]).rename_columns(["lang", "source", "term", "count", "docs"])
+            yield from sums.set_column(2, "term", sums["term"].cast(pa.string())).to_batches(max_chunksize=1 << 16)
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
