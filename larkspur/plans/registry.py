@@ -35,5 +35,5 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    for name in ("catalogue", "joins", "rollups", "sequences", "texts", "places", "entities", "ingest", "pages", "classify", "identity", "matching", "lookup", "decisions"):
+    for name in ("catalogue", "joins", "rollups", "sequences", "texts", "places", "entities", "ingest", "pages", "classify", "identity", "matching", "lookup", "decisions", "profiles"):
         importlib.import_module(f"larkspur.plans.{name}")
