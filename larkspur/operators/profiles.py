@@ -17,10 +17,6 @@ def names(values) -> Column:
     return F.array(*map(F.lit, values)).cast(NO_NAMES)
 
 
-def looked_up(pairs: dict[str, str], c: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), c) if pairs else F.lit(None).cast("string")
-
-
 def first_of(checks: dict[str, Column], otherwise: str) -> Column:
     """The name of the first condition that holds; an unknown condition doesn't hold."""
     return F.coalesce(*(F.when(c, F.lit(n)) for n, c in checks.items()), F.lit(otherwise))
@@ -40,20 +36,24 @@ class Kinds:
 
 def canonical_kinds(rows: DataFrame, values: str, kinds: Kinds) -> DataFrame:
     """rows with kinds and leading: the known kinds of a list under one spelling each, doubtful ones taken out, those of the leading family first and otherwise in
-    the order stated. The leading family is the only one, else the first strong one, else that of the first kind; null without kinds."""
-    plain = F.transform(F.filter(F.coalesce(F.col(values), names(())), lambda v: v.isNotNull()), lambda v: F.lower(F.trim(v)))
-    rows = rows.withColumn("_k", F.array_distinct(F.filter(F.transform(plain, lambda v: F.coalesce(looked_up(kinds.same, v), v)), lambda v: looked_up(kinds.family, v).isNotNull())))
-    stated = F.transform("_k", lambda v: looked_up(kinds.family, v))
+    the order stated; other spellings must lead to a known kind. The leading family is the only one, else the first strong one, else that of the first kind; null without kinds."""
+    spelt = {**{k: k for k in kinds.family}, **kinds.same}
+    known = F.create_map(*(x for w, k in spelt.items() for x in (F.lit(w), F.struct(F.lit(k).alias("v"), F.lit(kinds.family[k]).alias("f")))))
+    looked_up = F.transform(F.col(values), lambda v: F.try_element_at(known, F.lower(F.trim(v))))
+    none = F.array().cast("array<struct<v: string, f: string>>")
+    rows = rows.withColumn("_k", F.coalesce(F.array_distinct(F.array_compact(looked_up)), none))
     kept = F.col("_k")
     for kind, (beside, keep) in kinds.doubtful.items():
-        void = F.arrays_overlap(F.col("_f"), names(beside)) & ~F.arrays_overlap(F.col("_k"), names(keep))
-        kept = F.when(void, F.array_remove(kept, kind)).otherwise(kept)
-    rows = rows.withColumn("_f", stated).withColumn("_k", kept)
-    rows = rows.withColumn("_f", F.transform("_k", lambda v: looked_up(kinds.family, v)))
-    strong = [F.when(F.array_contains("_f", f) & (F.arrays_overlap(F.col("_k"), names(by)) if by else F.lit(True)), F.lit(f)) for f, by in kinds.strong]
-    rows = rows.withColumn("leading", F.when(F.size(F.array_distinct("_f")) == 1, F.get("_f", F.lit(0))).otherwise(F.coalesce(*strong, F.get("_f", F.lit(0)))))
-    of = lambda same: F.filter("_k", lambda v: (looked_up(kinds.family, v) == F.col("leading")) == F.lit(same))
-    return rows.withColumn("kinds", F.coalesce(F.concat(of(True), of(False)), names(()))).drop("_k", "_f")
+        void = F.arrays_overlap(F.col("_k.f"), names(beside)) & ~F.arrays_overlap(F.col("_k.v"), names(keep))
+        kept = F.when(void & F.array_contains("_k.v", kind), F.array_remove(kept, F.struct(F.lit(kind).alias("v"), F.lit(kinds.family[kind]).alias("f")))).otherwise(kept)
+    rows = rows.withColumn("_k", kept)
+    strong = [F.when(F.array_contains("_k.f", f) & (F.arrays_overlap(F.col("_k.v"), names(by)) if by else F.lit(True)), F.lit(f)) for f, by in kinds.strong]
+    first = F.get("_k.f", F.lit(0))
+    rows = rows.withColumn("leading", F.when(F.size(F.array_distinct("_k.f")) == 1, first).otherwise(F.coalesce(*strong, first)))
+    of = lambda same: F.filter("_k", lambda k: (k["f"] == F.col("leading")) == F.lit(same))
+    mixed = F.size(F.array_distinct("_k.f")) > 1
+    ordered = F.when(mixed, F.concat(of(True), of(False))).otherwise(F.col("_k"))
+    return rows.withColumn("_k", ordered).withColumn("kinds", F.col("_k.v")).drop("_k")
 
 
 @dataclass(frozen=True)

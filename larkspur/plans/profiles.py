@@ -32,8 +32,9 @@ FAMILY = lambda v: sql_map(KINDS.family, v, "NULL")
 SQL_KINDS = f"""WITH s AS (SELECT l_orderkey, {sql_map(KINDS.same, "split_part(p_name, ' ', 2)", "split_part(p_name, ' ', 2)")} AS v, (l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem JOIN part ON p_partkey = l_partkey),
 f AS (SELECT l_orderkey, v, {FAMILY('v')} AS f, min(o) AS o FROM s GROUP BY 1, 2), g AS (SELECT *, list(v) OVER (PARTITION BY l_orderkey) AS vs, list(f) OVER (PARTITION BY l_orderkey) AS fs FROM f WHERE f IS NOT NULL),
 k AS (SELECT l_orderkey, v, f, o FROM g WHERE NOT (v = 'anvil' AND list_has_any(fs, ['flat', 'fixing']) AND NOT list_contains(vs, 'gear')) AND NOT (v = 'rod' AND list_contains(fs, 'device') AND NOT list_has_any(vs, ['bolt', 'plate']))),
-l AS (SELECT l_orderkey, CASE WHEN count(DISTINCT f) = 1 THEN min(f) WHEN bool_or(v = 'gear') THEN 'turning' WHEN bool_or(f = 'device') THEN 'device' ELSE arg_min(f, o) END AS led_by FROM k GROUP BY 1)
-SELECT l_orderkey, led_by, string_agg(v, ',' ORDER BY f <> led_by, o) AS kinds FROM k JOIN l USING (l_orderkey) GROUP BY 1, 2"""
+l AS (SELECT l_orderkey, CASE WHEN count(DISTINCT f) = 1 THEN min(f) WHEN bool_or(v = 'gear') THEN 'turning' WHEN bool_or(f = 'device') THEN 'device' ELSE arg_min(f, o) END AS led_by FROM k GROUP BY 1),
+m AS (SELECT l_orderkey, led_by, string_agg(v, ',' ORDER BY f <> led_by, o) AS kinds FROM k JOIN l USING (l_orderkey) GROUP BY 1, 2)
+SELECT l_orderkey, led_by, coalesce(kinds, '') AS kinds FROM (SELECT DISTINCT l_orderkey FROM s) LEFT JOIN m USING (l_orderkey)"""
 
 
 @query(SQL_KINDS)
@@ -41,7 +42,7 @@ def c39_canonical_families(t: Tables) -> DataFrame:
     """What kinds of part an order is about: one spelling each, doubtful ones out, those of the leading family first."""
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("v")))).alias("l"))
     rows = P.canonical_kinds(lines.select("l_orderkey", F.transform("l", lambda x: x["v"]).alias("v")), "v", KINDS)
-    return rows.select("l_orderkey", F.col("leading").alias("led_by"), F.array_join("kinds", ",").alias("kinds")).where("kinds <> ''")
+    return rows.select("l_orderkey", F.col("leading").alias("led_by"), F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("""WITH c AS (SELECT p_partkey, 2026 AS season, p_size + 1960 AS y, p_size AS a, p_partkey % 12 AS form FROM part),
