@@ -88,3 +88,40 @@ def test_packing_places_every_document(stages, spark):
     assert {r.doc_id for r in rows} == before.keys() and all(r.offset + r.length <= 4096 for r in rows)
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, folder).collect())) == sorted(map(key, rows))
+
+
+CLASHING = "row string, kept_text string, n_removed long, rejected boolean, component_id long, chunk int, piece int, label string, span string, grp int"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, texts):
+    rows = [(i, t, "en", "src", len(t or ""), f"r{i}", "k", -i, True, -1, 7, 8, "l", None, i) for i, t in enumerate(texts[:60])]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}").repartition(3).cache()
+
+
+def test_stages_of_no_rows(spark, clashing):
+    """An empty table comes out of every stage empty, with the columns it came with."""
+    none = clashing.select(COLUMNS).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "")
+        assert out.collect() == [] and (stage is corpus_pipeline.STAGES[-1][1] or out.columns == COLUMNS)
+
+
+def test_run_of_no_rows(spark, clashing, tmp_path):
+    clashing.select(COLUMNS).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_go_through(spark, clashing):
+    """Further columns, named as what the stages use inside, neither change a stage's decisions nor are changed, and stay with their rows."""
+    extra = [c for c in clashing.columns if c not in COLUMNS]
+    held = {r.doc_id: [r[c] for c in extra] for r in clashing.collect()}
+    plain = clashing.select(COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        with_extra, without = (spread.kept(stage(spark, df, ""), name) for df in (clashing, plain))
+        got = with_extra.collect()
+        assert with_extra.columns == clashing.columns and all([r[c] for c in extra] == held[r.doc_id] for r in got)
+        assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == sorted(map(tuple, without.collect())), name
+    last = corpus_pipeline.STAGES[-1][1]
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, last(spark, clashing, "").select(key).collect())) == sorted(map(tuple, last(spark, plain, "").select(key).collect()))

@@ -406,3 +406,12 @@ def test_empty_tables(none, bpe, pieces):
     assert unigram.round_trips(none, pieces).collect() == []
     model = quality.fit(none.selectExpr("doc_id", "text", "1 as quality"))
     assert quality.score(none, model).collect() == []
+
+
+def test_quality_of_clashing_columns(spark):
+    """Columns named as what the ranker uses inside are left alone, and the keys may be called otherwise."""
+    rows = [(i, "Some words of prose, and more of them here." if i % 2 else "## || %% 77 ##", i % 2, [9.0], -5.0, 3, 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, text string, mark int, features array<double>, score double, predicted int, larkspur_label int")
+    model = quality.fit(df, label="mark", key="k")
+    out = quality.score(df, model, key="k", keep=("features", "larkspur_label")).collect()
+    assert len(out) == 60 and all(r.features == [9.0] and r.larkspur_label == 4 and 0 <= r.score <= 1 and r.predicted == r.k % 2 for r in out)

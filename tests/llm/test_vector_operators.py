@@ -150,3 +150,17 @@ def test_components(spark):
     got = {r.node: r.component for r in spread.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys((100, 101, 102), 100)}
     assert spread.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_clashing_columns_and_names(spark, made):
+    """Columns named as what the operators use inside change nothing, whatever the key and the vector are called."""
+    x, ids = made
+    rows = [(int(i), [float(c) for c in v], 1, [1], 2, 3.0, 4, 5, 6) for i, v in zip(ids[-90:], x[-90:], strict=True)]
+    df = spark.createDataFrame(rows, "f long, filters array<float>, dim int, v array<int>, own int, s double, lo int, hi int, component long").repartition(3)
+    plain = df.selectExpr("f as vec_id", "filters as embedding")
+    got, want = caps.near_duplicates(df, "f", "filters"), caps.near_duplicates(plain)
+    assert got.columns == ["f", "n_links", "component_id", "kept"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    found, wanted = pivots.top_k(df, "f", "filters", every=5, k=4), pivots.top_k(plain, every=5, k=4)
+    as_set = lambda rows: {(r.query_id, r["rank"], r[2], r.score) for r in rows}
+    assert as_set(found.collect()) == as_set(wanted.collect())
