@@ -35,6 +35,15 @@ def interval_overlap(left: DataFrame, right: DataFrame, start: str = "start", en
     return both.where((F.col(f"l_{start}") <= F.col(f"r_{end}")) & (F.col(f"r_{start}") <= F.col(f"l_{end}")) & (F.col("_bucket") == first)).drop("_bucket")
 
 
+def spans_near(left: DataFrame, right: DataFrame, gap: int, start: str = "start", end: str = "end", days: int = 7, on: list[str] | None = None) -> DataFrame:
+    """Pairs whose day spans overlap or lie at most `gap` days apart and whose columns `on` are equal; columns get the prefixes l_ and r_. That is the overlap
+    with the left spans made longer by `gap` days at both ends, in buckets."""
+    low, high = F.least(start, end), F.greatest(start, end)
+    wide = left.withColumns({"_span": F.struct(start, end), start: F.date_sub(low, gap), end: F.date_add(high, gap)})
+    pairs = interval_overlap(wide, right, start, end, days, on)
+    return pairs.withColumns({f"l_{start}": F.col(f"l__span.{start}"), f"l_{end}": F.col(f"l__span.{end}")}).drop("l__span")
+
+
 def dates_compatible(a1, a2, b1, b2, gap: int) -> Column:
     """Spans, whichever way round, that overlap or lie at most `gap` days apart."""
     low1, high1, low2, high2 = F.least(a1, a2), F.greatest(a1, a2), F.least(b1, b2), F.greatest(b1, b2)

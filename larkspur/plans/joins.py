@@ -72,9 +72,9 @@ def j10_interval_overlap(t: Tables) -> DataFrame:
 
 @query(f"WITH s AS ({SPANS}) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.who = b.who AND a.id < b.id AND b.s - a.e <= 3 AND a.s - b.e <= 3")
 def j11_dates_compatible(t: Tables) -> DataFrame:
+    """Spans of one customer that overlap or lie at most three days apart, in buckets of days: no customer's spans all meet each other."""
     s = spans(t)
-    pairs = s.alias("x").join(s.alias("y"), (F.col("x.who") == F.col("y.who")) & (F.col("x.id") < F.col("y.id")))
-    return pairs.where(J.dates_compatible(F.col("x.end"), F.col("x.start"), F.col("y.start"), F.col("y.end"), 3)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return J.spans_near(s, s, 3, days=14, on=["who"]).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
 @query(f"WITH s AS (SELECT id, who, s, least(e, s + 11) AS e FROM ({SPANS})) SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.who = b.who AND a.id < b.id AND b.s - a.e <= 1 AND a.s - b.e <= 1")

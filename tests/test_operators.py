@@ -34,6 +34,21 @@ def test_interval_overlap_has_each_pair_once_and_no_theta_plan(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("gap", [0, 3, 9])
+def test_spans_near_is_the_theta_join(spark, gap):
+    rows = [(i, D(2024, 1, 1) + datetime.timedelta(days=i * 7 % 90), D(2024, 1, 1) + datetime.timedelta(days=i * 7 % 90 + i % 11)) for i in range(50)]
+    rows += [(99, D(2024, 2, 9), D(2024, 1, 30)), (100, None, D(2024, 1, 5)), (101, D(1969, 12, 30), D(1970, 1, 2))]
+    df = days(spark, rows)
+    near = joins.dates_compatible(F.col("x.start"), F.col("x.end"), F.col("y.start"), F.col("y.end"), gap)
+    want = {(r[0], r[1]) for r in df.alias("x").join(df.alias("y"), near).select("x.id", "y.id").collect()}
+    out = joins.spans_near(df, df, gap, days=6)
+    got = [(r.l_id, r.r_id) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    held = {r.l_id: (r.l_start, r.l_end) for r in out.collect()}
+    assert held[99] == (D(2024, 2, 9), D(2024, 1, 30))
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("km", "step"), [(150, 1.5), (40, 7.0), (900, 2.0)])
 def test_within_km_is_the_theta_join_at_any_latitude(spark, km, step):
     rows = [(i, 64.9 + i % 7 * 0.02, i * 0.29 - 5) for i in range(80)]
