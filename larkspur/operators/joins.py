@@ -131,3 +131,34 @@ def three_way(base: DataFrame, theirs: DataFrame, ours: DataFrame, key: str, col
     for x in both:
         conflict = conflict | x
     return rows.select(key, *merged, conflict.alias("conflict"))
+
+
+#: Characters between words, and the numbers of words by which texts meet items.
+BLANKS, RUNS = "[ \\t\\n\\f\\r]+", (8, 4, 2, 1)
+
+
+def held_items(texts: DataFrame, items: DataFrame, key: str, item: str, text: str = "text") -> DataFrame:
+    """item, key: which texts hold which items whole, as a run of words, each pair once. Empty and null items are in no text.
+
+    An item meets texts by its first eight words, or four, two or one if it has no more: each length has windows of its own, so a short item doesn't make long ones meet
+    texts by a common word. A pair that meets is compared whole. Items of the same words are compared once.
+    """
+    words = lambda df, *c: df.select(*c, F.filter(F.split(text, BLANKS), lambda w: w != "").alias("w"))
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    run = F.coalesce(*(F.when(F.size("w") >= k, F.lit(k)) for k in RUNS))
+    listed = words(items, F.col(item).alias("_item")).where("size(w) > 0").withColumn("k", run)
+    whole = listed.groupBy("w", "k").agg(F.min("_item").alias("_least")).withColumn("h", F.xxhash64(F.slice("w", F.lit(1), F.col("k")), "k"))
+    used = sorted(r.k for r in whole.select("k").distinct().collect())  # four at most
+    held = words(texts, F.col(key).alias("_key"))
+    none = F.array().cast("array<bigint>")
+
+    def windows(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("w") - (k - 1))
+        return F.when(F.size("w") >= k, F.transform(at, lambda i: F.xxhash64(F.slice("w", i, F.lit(k)), F.lit(k)))).otherwise(none)
+
+    dealt = held.select("_key", F.explode(F.array_distinct(F.concat(none, *map(windows, used)))).alias("h"))
+    met = dealt.join(whole.select("h", "_least"), "h").select("_key", "_least").distinct()
+    both = met.join(held.select("_key", line("w").alias("s")), "_key").join(whole.select("_least", line("w").alias("x")), "_least")
+    found = both.where(F.contains("s", "x")).select("_key", "_least").distinct()
+    same = listed.join(whole.select("w", "_least"), "w").select("_item", "_least")
+    return found.join(same, "_least").select(F.col("_item").alias(item), F.col("_key").alias(key))

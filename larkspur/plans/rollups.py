@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.operators.joins import held_items
 from larkspur.operators import rollups as R
 from larkspur.plans.registry import Tables, query
 
@@ -180,25 +181,18 @@ WORDS = "trim(regexp_replace({0}, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
 
 @query(f"WITH d AS MATERIALIZED (SELECT ' ' || {WORDS.format('text')} || ' ' AS s FROM documents), b AS MATERIALIZED (SELECT item_id, ' ' || {WORDS.format('text')} || ' ' AS s FROM benchmark) SELECT count(*) AS items, count(*) FILTER (WHERE hit) AS found, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS recall FROM (SELECT item_id, EXISTS (SELECT 1 FROM d WHERE strpos(d.s, b.s) > 0 AND b.s <> '  ') AS hit FROM b)")
 def a29_benchmark_recall(t: Tables) -> DataFrame:
-    """How many benchmark items stand whole, word for word, in some document.
-
-    Documents' windows of as many words as the shortest item has, eight at most, meet items on the hash of their first words; a pair
-    that meets is then compared whole. Equal items are one, and so are equal windows of a document.
-    """
-    words = lambda df, key: df.select(key, F.filter(F.split("text", "[ \\t\\n\\f\\r]+"), lambda w: w != "").alias("w"))
-    items = words(t.benchmark, "item_id")
-    k = items.where("size(w) > 0").agg(F.least(F.coalesce(F.min(F.size("w")), F.lit(1)), F.lit(8))).first()[0]
-    whole = items.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item")).withColumn("h", F.xxhash64(F.slice("w", 1, k)))
-    docs = words(t.documents, "doc_id").where(F.size("w") >= k)
-    windows = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(k)))))).alias("h"))
-    met = windows.join(whole.select("h", "item"), "h").select("doc_id", "item").distinct()
-    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    both = met.join(docs.select("doc_id", line("w").alias("s")), "doc_id").join(whole.select("item", line("w").alias("x")), "item")
-    found = both.where(F.contains("s", "x") & (F.col("x") != "  ")).select("item", F.lit(1).alias("hit")).distinct()
-    out = whole.join(found, "item", "left").agg(F.sum("n").alias("items"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("found"))
+    """How many benchmark items stand whole, word for word, in some document."""
+    found = held_items(t.documents, t.benchmark, "doc_id", "item_id").select("item_id").distinct().withColumn("hit", F.lit(1))
+    out = t.benchmark.select("item_id").join(found, "item_id", "left").agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("found"))
     return out.withColumn("recall", F.round(100.0 * F.col("found") / F.col("items"), 1))
 
 
+@query(f"WITH d AS MATERIALIZED (SELECT doc_id, ' ' || {WORDS.format('text')} || ' ' AS s FROM documents), b AS MATERIALIZED (SELECT item_id, ' ' || {WORDS.format('text')} || ' ' AS s FROM benchmark) SELECT item_id, doc_id FROM b JOIN d ON strpos(d.s, b.s) > 0 WHERE b.s <> '  '")
+def a29_items_in_documents(t: Tables) -> DataFrame:
+    """Which documents hold which benchmark items whole."""
+    return held_items(t.documents, t.benchmark, "doc_id", "item_id")
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, true AS same FROM orders")
 def a30_relation_fingerprint(t: Tables) -> DataFrame:
     """The same whatever the order and number of partitions; a hash has no SQL twin, so two layouts are compared."""

@@ -180,3 +180,17 @@ def test_semicolon_csv_checks_its_header(spark, tmp_path):
 def test_charset_prefers_utf8(spark):
     df = spark.createDataFrame([("é".encode(), "windows-1250"), ("š".encode("windows-1250"), "windows-1250"), (b"\xe9", "no-such"), (None, None)], "b binary, l string")
     assert [r.t for r in df.select(documents.charset_text("b", "l").alias("t")).collect()] == ["é", "š", "é", None]
+
+
+def test_held_items(spark):
+    import random
+
+    rnd = random.Random(11)
+    docs = [(i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(90, None), (91, " \t\n"), (92, "a\tb\n c")]
+    items = [(i, " ".join(rnd.choice("abcd") for _ in range(n))) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 5, 5, 6, 7, 8, 9, 12])]
+    items += [(50 + i, " ".join((docs[i][1] or "").split()[3 : 3 + n])) for i, n in enumerate([8, 9, 20, 40])] + [(70, None), (71, ""), (72, "a  b\nc"), (73, items[0][1]), (74, "ab")]
+    pad = lambda x: f" {' '.join((x or '').split())} "
+    want = {(i, d) for i, x in items for d, y in docs if pad(x).strip() and pad(x) in pad(y)}
+    got = [tuple(r) for r in joins.held_items(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(items, "i long, text string"), "d", "i").collect()]
+    assert set(got) == want and len(got) == len(want) and {50, 51, 52, 72, 73} & {i for i, _ in want}
+    assert joins.held_items(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame([(1, None)], "i long, text string"), "d", "i").collect() == []
