@@ -245,11 +245,10 @@ def j13_sorted_pairs(t: Tables) -> DataFrame:
 
 @query(f"WITH p AS {PTS} SELECT a.s_suppkey AS l, b.s_suppkey AS r FROM p a JOIN p b ON a.s_suppkey < b.s_suppkey AND abs(a.lat - b.lat) <= 3.5 AND abs(a.lng - b.lng) <= 4.5 AND {KM} >= 0")
 def j26_same_place_tolerance(t: Tables) -> DataFrame:
-    from larkspur.operators.joins import within_km
+    """Pairs of suppliers in one tolerance of latitude and longitude."""
+    from larkspur.operators.joins import within_box
 
-    p = points(t)
-    near = within_km(p, p, 700.0, step=7.0).where("l_s_suppkey < r_s_suppkey and abs(l_lat - r_lat) <= 3.5D and abs(l_lng - r_lng) <= 4.5D")
-    return near.select(F.col("l_s_suppkey").alias("l"), F.col("r_s_suppkey").alias("r"))
+    return within_box(points(t), "s_suppkey", 3.5, 4.5)
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name LIMIT 10")
