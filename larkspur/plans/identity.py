@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import date_after
-from larkspur.functions.scratch import ensure_checkpoints
+from larkspur.functions.scratch import ensure_checkpoints, written
 from larkspur.functions.text import fold
 from larkspur.operators import entities as E
-from larkspur.plans.entities import SCORED, scored
+from larkspur.plans.entities import SCORED, parts, scored_classes
 from larkspur.plans.joins import POINT, points
 from larkspur.plans.registry import Tables, query
 from larkspur.plans.texts import sql_fold
@@ -114,8 +114,12 @@ SELECT node, CASE WHEN node = component OR e.a IS NOT NULL THEN component ELSE n
 def e5_rechecked_members(t: Tables) -> DataFrame:
     """Components whose members must match the keeper itself; those that only a chain ties to it are let go."""
     ensure_checkpoints(t.spark)
-    links = scored(t).where("score >= 60").select("a", "b").checkpoint()
-    return E.recheck(E.components(links), links)
+    rows = parts(t)
+    links = written(scored_classes(rows).where("score >= 60").select("c", "d"), "links")
+    keeper = F.col("p_partkey") == F.col("component")  # the least part of a component is the first of its class, so links with its class are links with it
+    with_keeper = links.select(F.col("d").alias("cls"), F.col("c").alias("component"), F.lit(True).alias("ok"))
+    found = E.class_components(links, rows, "p_partkey").join(with_keeper, ["cls", "component"], "left")
+    return rows.join(found, "cls").select(F.col("p_partkey").alias("node"), F.when(F.col("ok") | keeper, F.col("component")).otherwise(F.col("p_partkey")).alias("component"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 16 IN (5, 6, 15) THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + INTERVAL 28 YEAR AS DATE) END AS day FROM orders")
