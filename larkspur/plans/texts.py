@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
+from larkspur.operators import entities as E
 from larkspur.plans.registry import Tables, query
 
 
@@ -47,10 +48,15 @@ def sql_dice(a: str, b: str) -> str:
 
 @query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({sql_dice('a.p_name', 'b.p_name')}, 6) AS dice FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def c6_bigram_dice(t: Tables) -> DataFrame:
-    """Names of one brand and size, compared by bigram multisets, which are made once for each row."""
-    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), X.numbered_bigrams("p_name").alias("x"))
-    b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), X.numbered_bigrams("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(X.dice_of("x", "y"), 6).alias("dice"))
+    """Names of one brand and size, compared by bigram multisets; two names are compared once, however many parts have them."""
+    return named_pairs(t, "dice", F.round(X.dice_of(X.numbered_bigrams("x_p_name"), X.numbered_bigrams("y_p_name")), 6))
+
+
+def named_pairs(t: Tables, name: str, value: Column) -> DataFrame:
+    """a, b and a value told by their names (x_p_name, y_p_name): all pairs of parts of one brand and size."""
+    rows = E.classed(t.part, "p_partkey", ["p_brand", "p_size", "p_name"])
+    pairs = E.once_for(E.class_pairs(rows, "p_partkey", ["p_brand", "p_size"], ["p_name"]), ["x_p_name", "y_p_name"], name, value)
+    return E.members_of(pairs.select("c", "d", name), rows, "p_partkey")
 
 
 def sql_words(c: str) -> str:
@@ -59,9 +65,7 @@ def sql_words(c: str) -> str:
 
 @query(f"SELECT a, b, round(CASE WHEN greatest(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / greatest(len(x), len(y)) ELSE 0 END, 6) AS share FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, {sql_words('a.p_name')} AS x, {sql_words('b.p_name')} AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)")
 def c7_word_set_similarity(t: Tables) -> DataFrame:
-    a = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    b = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(X.word_overlap("x", "y"), 6).alias("share"))
+    return named_pairs(t, "share", F.round(X.word_overlap("x_p_name", "y_p_name"), 6))
 
 
 @query(f"SELECT p_partkey, list_min(list_transform(string_split({sql_fold('p_name')}, ' '), lambda w: levenshtein(substr(w, 1, 5), 'blush'))) AS d FROM part")
