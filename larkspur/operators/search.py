@@ -76,15 +76,16 @@ def misspelt(tokens: DataFrame, words: DataFrame) -> DataFrame:
     spelt = words.select("word", spellings.alias("s")).select("word", "s.size", "s.spelt")
     # forms are made of distinct spellings: most words share their beginnings with others
     kinds = _forms(spelt.select("size", "spelt").distinct(), "spelt", "size")
-    met = own.join(kinds, ["size", "form"]).select("token", "size", "spelt").distinct().withColumn("d", F.levenshtein("token", "spelt"))
+    # both sides were multiplied, which the planner's size estimate leaves out: never broadcast them
+    met = own.join(kinds.hint("merge"), ["size", "form"]).select("token", "size", "spelt").distinct().withColumn("d", F.levenshtein("token", "spelt"))
     near = met.where(F.col("d") <= errors(F.col("size")))
-    return near.join(spelt, ["size", "spelt"]).groupBy("token", "word").agg(F.min("d").alias("d"))
+    return near.join(spelt.hint("merge"), ["size", "spelt"]).groupBy("token", "word").agg(F.min("d").alias("d"))
 
 
 def containing(tokens: DataFrame, grams: DataFrame) -> DataFrame:
     """token, word: index words that hold a token as a substring."""
     asked = tokens.withColumn("gram", F.left("token", F.lit(3)))
-    return asked.join(grams, "gram").where(F.contains("word", F.col("token"))).select("token", "word")
+    return asked.join(grams.hint("merge"), "gram").where(F.contains("word", F.col("token"))).select("token", "word")
 
 
 def search(index: Index, queries: DataFrame, query_key: str, query: str, cut: float = 0.1) -> DataFrame:
@@ -101,7 +102,7 @@ def search(index: Index, queries: DataFrame, query_key: str, query: str, cut: fl
 
     def rows_for(of: DataFrame, known: DataFrame) -> DataFrame:
         """q, id, score: rows that hold a known word for each token of their query."""
-        best = of.join(known, "token").join(index.postings, "word").groupBy("q", "n", "token", "id").agg(F.min("d").alias("d"))
+        best = of.join(known.hint("merge"), "token").join(index.postings.hint("merge"), "word").groupBy("q", "n", "token", "id").agg(F.min("d").alias("d"))
         share = F.lit(1.0) - F.least(F.col("d"), F.length("token")) / F.length("token")
         return best.groupBy("q", "n", "id").agg(F.count(F.lit(1)).alias("found"), F.avg(share).alias("score")).where("found = n").select("q", "id", "score")
 

@@ -52,3 +52,22 @@ def test_boxes_meet_by_places(spark):
     rows = [(i, r.randint(0, 8) * 1.5, r.randint(-4, 4) * 2.25) for i in range(120)] + [(120, None, 0.0)]
     got = sorted(map(tuple, J.within_box(spark.createDataFrame(rows, "k long, lat double, lng double"), "k", 3.5, 4.5).collect()))
     assert got == sorted((a, b) for a, p, q in rows[:120] for b, s, t in rows[:120] if a < b and abs(p - s) <= 3.5 and abs(q - t) <= 4.5)
+
+
+def test_search_broadcasts_no_forms(spark):
+    from larkspur.operators import search as S
+
+    tokens, words = spark.createDataFrame([("lakeside",), ("lop",)], "token string"), spark.createDataFrame([("lakeside",), ("lakesid",), ("loop",)], "word string")
+    for out in (S.misspelt(tokens, words), S.containing(tokens, words.selectExpr("word", "left(word, 3) AS gram"))):
+        assert "Broadcast" not in plan(out)[1]
+    assert sorted(map(tuple, S.misspelt(tokens, words).collect())) == [("lakeside", "lakesid", 1), ("lakeside", "lakeside", 0)]
+
+
+def test_candidates_carry_no_lists_of_keys(spark):
+    from larkspur.operators import scoring as P
+
+    rows = spark.createDataFrame([(i, "2026-05-09", 50.0, 14.0) for i in range(3)], "id long, d string, lat double, lng double")
+    rows = rows.select("id", F.to_date("d").alias("low"), F.to_date("d").alias("high"), "lat", "lng", F.lit(True).alias("placed"), F.array(F.lit("p/q")).alias("pages"), F.array(F.lit("loop")).alias("words"), F.array(F.lit("lake")).alias("spots"))
+    pairs = P.candidates(rows)
+    assert " ka#" not in plan(pairs)[0]
+    assert sorted(map(tuple, pairs.collect())) == [(0, 1), (0, 2), (1, 2)]
