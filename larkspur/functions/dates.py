@@ -7,8 +7,6 @@ then told by the kinds of the tokens from a place on and by what their values ca
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,63 +39,77 @@ def _folding() -> tuple[str, str]:
     return ACCENTS, PLAIN
 
 
+def _bound(value, use) -> Column:
+    """use(value), with the value computed once for each row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def date_tokens(text, languages: tuple[str, ...] = LANGUAGES) -> Column:
     """(kind, size, value) of each token: n number of `size` digits, m month, the separator itself, or w any other word."""
     names = F.create_map(*(F.lit(x) for pair in month_names(languages).items() for x in pair))
     raw = F.regexp_extract_all(unaccent(text), F.lit("[0-9]+|[a-z]+|[^a-z0-9 ]"), F.lit(0))
     raw = F.filter(raw, lambda x: ~x.isin(",", *FILLERS) & ~F.rlike(x, F.lit(r"^\s$")))
+    named = F.transform(raw, lambda x: F.struct(x.alias("x"), F.try_element_at(names, x).alias("month")))
 
-    def token(x: Column) -> Column:
-        month = F.try_element_at(names, x)
+    def token(t: Column) -> Column:
+        x, month = t["x"], t["month"]
         kind = F.when(F.rlike(x, F.lit("^[0-9]")), "n").when(month.isNotNull(), "m").when(x.isin(".", "/", "-"), x).when(x == "–", "-").otherwise("w")
-        return F.struct(kind.alias("kind"), F.length(x).alias("size"), F.coalesce(month, F.when(F.length(x) <= 4, x.try_cast("int"))).alias("value"))
+        return F.struct(kind.alias("kind"), F.length(x).alias("size"), F.coalesce(month, F.when(F.rlike(x, F.lit("^[0-9]{1,4}$")), x.cast("int"))).alias("value"))
+
+    following = lambda tokens, i: F.try_element_at(tokens, i + F.lit(2))["kind"]
+    return _bound(F.transform(named, token), lambda tokens: F.filter(tokens, lambda x, i: ~((x["kind"] == ".") & ~following(tokens, i).eqNullSafe(F.lit("n")))))
+
+
+#: Letters of a shape and what they match among the codes of tokens (see _codes): d day or month in figures, y year of four digits, x year of two, m month's name, s separator, - hyphen.
+CLASSES = {"d": "[12]", "y": "4", "x": "2", "m": "m", "-": "-"}
+#: What may follow a span's first day: its shape, what must not follow that, where its year stands, and whether that has two figures.
+TAILS = (("dsdsy", "", 4, False), ("dsdsx", "", 4, True), ("dmy", "", 2, False), ("dm", "(?!4)", None, False), ("dtd", r"(?!\{t}[24])", None, False))
+
+
+def _pattern(shape: str) -> str:
+    """A shape as a pattern over codes; of two separators in a row of figures the second is the first again, t is one other than the hyphen."""
+    out, groups = "^", 0
+    for k, c in enumerate(shape):
+        if c in "st":
+            again = c == "s" and k > 1 and shape[k - 2] == "s" and shape[k - 1] == "d"
+            groups += not again
+        out += CLASSES[c] if c in CLASSES else f"\\{groups}" if again else "([./-])" if c == "s" else "([./])"
+    return out
 
-    tokens = F.transform(raw, token)
-    following = lambda i: F.try_element_at(tokens, i + F.lit(2))["kind"]
-    return F.filter(tokens, lambda x, i: ~((x["kind"] == ".") & ~following(i).eqNullSafe(F.lit("n"))))
 
+def _forms() -> list[tuple[str, int | None, bool, int, int]]:
+    """Pattern, and the places of year (None: the given one; whether it has two figures), month and day, in the order in which they are tried."""
+    forms = [(_pattern("ysdsd"), 0, False, 2, 4), (_pattern("dsdsy"), 4, False, 2, 0), (_pattern("dsdsx"), 4, True, 2, 0)]
+    for head, at, month in (("dsd-", 4, 2), ("dm-", 3, 1), ("d-", 2, None)):  # 30.4.-2.5.2026, 30 April - 2 May 2026, 12-14 May 2026 and 12.-14.5.2026
+        for tail, behind, year, short in TAILS:
+            own = month if month is not None else at + (1 if tail[1] == "m" else 2)
+            forms.append((_pattern(head + tail) + behind.format(t=1 + head.count("s")), None if year is None else at + year, short, own, 0))
+    forms += [(_pattern("dmy"), 2, False, 1, 0), (_pattern("md-dy"), 4, False, 0, 1), (_pattern("mdy"), 2, False, 0, 1), (_pattern("dm"), None, False, 1, 0), (_pattern("md"), None, False, 0, 1)]
+    return [*forms, (_pattern("dtd") + "(?![./-][0-9])", None, False, 2, 0)]
 
-def _at(tokens: Column, i: Column, year: Column) -> Column:
+
+def _codes(tokens: Column) -> Column:
+    """One character for each token: a number's size if it is 1, 2 or 4, else 0; any other token's kind."""
+    return F.array_join(F.transform(tokens, lambda t: F.when(t["kind"] != "n", t["kind"]).when(t["size"].isin(1, 2, 4), t["size"].cast("string")).otherwise("0")), "")
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """A day of the calendar, or null."""
+    first = F.make_date(y, m, F.lit(1))
+    return F.when(y.between(1800, 2199) & m.between(1, 12) & (d >= 1), F.when(d <= F.dayofmonth(F.last_day(first)), F.date_add(first, d - 1)))
+
+
+def _at(codes: Column, values: Column, i: Column, year: Column) -> Column:
     """The date that begins at the i-th token (from 1), or null: the longest form whose kinds fit there and that is a day of the calendar."""
-    get = lambda k: F.try_element_at(tokens, i + F.lit(k).cast("int"))
-    kind, size, value = (lambda k, f=f: get(k)[f] for f in ("kind", "size", "value"))
-
-    def fits(shape: str, at: int = 0) -> Column:
-        """Kinds of the tokens from `at` on: d day or month in figures, y year of four digits, x year of two, m month's name, s separator, - hyphen."""
-        tests = []
-        for k, c in enumerate(shape, at):
-            is_n = kind(k).eqNullSafe(F.lit("n"))
-            tests.append({"d": is_n & (size(k) <= 2), "y": is_n & (size(k) == 4), "x": is_n & (size(k) == 2), "m": kind(k).eqNullSafe(F.lit("m")), "s": F.coalesce(kind(k).isin(".", "/", "-"), F.lit(False)), "-": kind(k).eqNullSafe(F.lit("-"))}[c])
-        same = [k for k, c in enumerate(shape, at) if c == "s"]
-        tests += [kind(same[0]) == kind(same[1])] if len(same) == 2 else []
-        return reduce(lambda a, b: a & b, tests)
-
-    date = lambda y, m, d: F.when(y.between(1800, 2199), F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
+    value = lambda k: F.get(values, i + F.lit(k - 1))
     near = lambda k: year + F.pmod(value(k) - year + F.lit(50), F.lit(100)) - F.lit(50)  # noqa: E731  two figures: the year of that ending nearest to the given one
 
-    def tail(at: int) -> tuple[Column, Column]:
-        """Month and year where a day, or what a span's first day lacks, is followed from `at` on."""
-        found = F.when(fits("dsdsy", at), F.struct(value(at + 2).alias("m"), value(at + 4).alias("y"))).when(fits("dsdsx", at), F.struct(value(at + 2).alias("m"), near(at + 4).alias("y")))
-        found = found.when(fits("dmy", at), F.struct(value(at + 1).alias("m"), value(at + 2).alias("y"))).when(fits("dm", at), F.struct(value(at + 1).alias("m"), year.alias("y")))
-        found = found.when(fits("dsd", at) & (kind(at + 1) != "-"), F.struct(value(at + 2).alias("m"), year.alias("y")))
-        return found["m"], found["y"]
-
-    forms = [
-        ("ysdsd", date(value(0), value(2), value(4))),
-        ("dsdsy", date(value(4), value(2), value(0))),
-        ("dsdsx", date(near(4), value(2), value(0))),
-        ("dsd-", date(tail(4)[1], value(2), value(0))),  # 30.4.-2.5.2026
-        ("dm-", date(tail(3)[1], value(1), value(0))),  # 30 April - 2 May 2026
-        ("d-d", date(tail(2)[1], tail(2)[0], value(0))),  # 12-14 May 2026, 12.-14.5.2026
-        ("dmy", date(value(2), value(1), value(0))),
-        ("md-dy", date(value(4), value(0), value(1))),  # May 12-14, 2026
-        ("mdy", date(value(2), value(0), value(1))),
-        ("dm", date(year, value(1), value(0))),
-        ("md", date(year, value(0), value(1))),
-        ("dsd", F.when((kind(1) != "-") & ~F.coalesce(fits("s", 3) & (kind(4) == "n"), F.lit(False)), date(year, value(2), value(0)))),
-    ]
-    inside = F.when(i > 2, get(-1)["kind"].isin(".", "/", "-") & (get(-2)["kind"] == "n"))  # the rest of a longer number
-    return F.when(~F.coalesce(inside, F.lit(False)), F.coalesce(*(F.when(fits(shape), day) for shape, day in forms)))
+    def read(rest: Column) -> Column:
+        read_as = [F.when(F.rlike(rest, F.lit(p)), F.struct((year if y is None else near(y) if short else value(y)).cast("int").alias("y"), value(m).alias("m"), value(d).alias("d"))) for p, y, short, m, d in _forms()]
+        days = F.transform(F.filter(F.array(*read_as), lambda x: x.isNotNull()), lambda x: _day(x["y"], x["m"], x["d"]))
+        return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
+
+    return _bound(F.substring(codes, i, F.lit(WIDEST)), read)
 
 
 def first_date(text, year, languages: tuple[str, ...] = LANGUAGES, reach: int | None = None) -> Column:
@@ -108,13 +120,19 @@ def first_date(text, year, languages: tuple[str, ...] = LANGUAGES, reach: int |
     """
     tokens = date_tokens(text, languages)
     tokens = tokens if reach is None else F.slice(tokens, F.lit(1), F.lit(reach + WIDEST))
-    places = F.size(tokens) if reach is None else F.least(F.size(tokens), F.lit(reach))
-    found = F.transform(F.array(tokens), lambda held: F.transform(F.when(places > 0, F.sequence(F.lit(1), places)), lambda i: _at(held, i, year)))
-    return F.try_element_at(F.filter(F.try_element_at(found, F.lit(1)), lambda d: d.isNotNull()), F.lit(1))
+
+    def dates(held: Column) -> Column:
+        codes, values = held["codes"], held["values"]
+        places = F.length(codes) if reach is None else F.least(F.length(codes), F.lit(reach))
+        begins = lambda i: F.rlike(F.substring(codes, i, F.lit(1)), F.lit("[124m]")) & ~((i > 2) & F.rlike(F.substring(codes, i - 2, F.lit(2)), F.lit("^[0-9][./-]")))  # noqa: E731  not the rest of a longer number
+        return F.transform(F.filter(F.when(places > 0, F.sequence(F.lit(1), places)), begins), lambda i: _at(codes, values, i, year))
+
+    found = _bound(_bound(tokens, lambda t: F.struct(_codes(t).alias("codes"), F.transform(t, lambda x: x["value"]).alias("values"))), dates)
+    return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
 
 
 def date_after(text, phrases: list[str], year, reach: int = 8, languages: tuple[str, ...] = LANGUAGES) -> Column:
     """The first date that begins within `reach` tokens behind one of the phrases (folded, whole words), which are tried in their order."""
     folded = F.concat(F.lit(" "), F.regexp_replace(unaccent(text), r"\s+", " "), F.lit(" "))
-    behind = F.concat(*(F.slice(parts := F.split(folded, rf"(?<![a-z0-9])\Q{p}\E(?![a-z0-9])"), F.lit(2), F.size(parts)) for p in phrases))
-    return F.try_element_at(F.filter(F.transform(behind, lambda rest: first_date(rest, year, languages, reach)), lambda d: d.isNotNull()), F.lit(1))
+    behind = _bound(folded, lambda s: F.concat(*(F.filter(F.split(s, rf"(?<![a-z0-9])\Q{p}\E(?![a-z0-9])"), lambda _, i: i > 0) for p in phrases)))
+    return F.get(F.filter(F.transform(behind, lambda rest: first_date(rest, year, languages, reach)), lambda d: d.isNotNull()), F.lit(0))

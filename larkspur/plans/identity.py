@@ -150,6 +150,6 @@ def c25_date_after_phrase(t: Tables) -> DataFrame:
         F.concat(F.lit("entries close "), form("yyyy/M/d")),
         F.concat(F.lit("Entries closed "), form("d.M.yyyy"), F.lit("; bisher 12.")),
     ]
-    k = F.element_at(F.array(*texts), (F.col("o_orderkey") % 16 + 1).cast("int"))
+    k = F.coalesce(*(F.when(F.col("o_orderkey") % 16 == i, text) for i, text in enumerate(texts)))  # only a row's own text is made
     rows = t.orders.select("o_orderkey", day.alias("day")).select("o_orderkey", k.alias("s"), F.year("day").alias("y"))
     return rows.select("o_orderkey", date_after("s", ["entries close", "until", "bis", "uzaverka"], F.col("y")).alias("day"))
