@@ -5,7 +5,8 @@ of objects with the headers that a server should send along.
     spark.read.format("larkspur_csv").schema("id long, name string").load(folder)
     df.write.format("larkspur_json").option("maxAge", 300).mode("overwrite").save(folder)
 
-Reading: each file is a partition, streamed record by record (a quoted field may hold separators, quotes and line ends). With the option `pushdown`,
+Reading: each file is a partition, streamed record by record (a quoted field may hold separators, quotes and line ends) and handed on in batches of bounded
+bytes. With the option `pushdown`,
 comparisons of a column with a value are tested on a record before it leaves the reader. Spark 4.1 keeps the
 files and the pushed filters of its first use with what was loaded: load anew after a write, and, with this option, for other filters. Writing: tasks write parts under a name of their attempt;
 the driver's commit gives those that count their final names and writes the manifest last, so a reader sees all of a write or nothing. An aborted write
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 MANIFEST = "_manifest.json"
+#: Characters of text and records that a batch of the reader holds, about. Spark's own batches of rows from Python are counted in rows only.
+BATCH_CHARS, BATCH_ROWS = 2 << 20, 10_000
 COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
@@ -98,16 +101,33 @@ class Reader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File) -> Iterator:
+        """Arrow batches of the records that pass."""
         system, at = files_at(partition.path)
         with system.open_input_stream(at) as raw:
+            held, size = [], 0
             for row in self.records(raw, partition.path):
                 if self.passes(row):
-                    yield row
+                    held.append(row)
+                    size += sum(len(v) for v in row if isinstance(v, str))
+                    if size >= BATCH_CHARS or len(held) >= BATCH_ROWS:
+                        yield self.batch(held)
+                        held, size = [], 0
+            if held:
+                yield self.batch(held)
+
+    def batch(self, rows: list[tuple]):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        zoned = [i for i, f in enumerate(self.columns) if isinstance(f.dataType, T.TimestampType)]  # times without a zone are of the machine's, as in rows
+        columns = [[v and v.astimezone(datetime.timezone.utc) for v in c] if i in zoned else list(c) for i, c in enumerate(zip(*rows, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(self.columns))
 
 
 class CsvReader(Reader):
     def records(self, raw, path: str) -> Iterator[tuple]:
+        csv.field_size_limit(2**31 - 1)  # whole texts; the module's own limit is 131,072 characters
         rows = csv.reader(io.TextIOWrapper(io.BufferedReader(raw), "utf-8-sig", newline=""), delimiter=";", strict=True)
         header = next(rows, [])
         if header != self.columns.names:

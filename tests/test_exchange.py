@@ -138,3 +138,18 @@ def test_rules(spark):
         got.setdefault(r.id, {})[r.attribute] = (r["values"], r.tier)
     assert [got.get(i, {}) for i in range(len(TEXTS))] == [t[1] for t in TEXTS]
     assert classifier.classified(texts, "id", "t", rules.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("form", ["larkspur_csv", "larkspur_json"])
+def test_batches_are_bounded_by_their_text(spark, formats, tmp_path, form):
+    """A batch was 10,000 records, however long their texts; and a CSV field of over 131,072 characters could not be read."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = "id long, s string, at timestamp"
+    df = spark.range(40).select("id", F.repeat(F.lit("ü"), F.when(F.col("id") == 7, 3_000_000).otherwise(200_000)).alias("s"), F.timestamp_seconds("id").alias("at"))
+    df.coalesce(1).write.format(form).mode("append").save(str(tmp_path / "x"))
+    back = spark.read.format(form).schema(schema).load(str(tmp_path / "x"))
+    assert sorted((r.id, r.n, r.t) for r in back.select("id", F.length("s").alias("n"), F.unix_seconds("at").alias("t")).collect()) == [(i, 3_000_000 if i == 7 else 200_000, i) for i in range(40)]
+    reader = {"larkspur_csv": exchange.CsvReader, "larkspur_json": exchange.JsonReader}[form](_parse_datatype_string(schema), {"path": str(tmp_path / "x")})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in batches) == 40 and max(b.num_rows for b in batches) <= 11
