@@ -1,6 +1,7 @@
 """Places named in texts: known names found by their word n-grams, the best of several by rules of precedence.
 
-A text's runs of words, as long as the longest known name, meet the gazetteer in one equi-join; nothing is scanned name by name.
+A text's words meet the first words of names, and runs from there on, as long as the longest such name, the gazetteer, both in equi-joins; nothing is
+scanned name by name.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ def resolved(texts: DataFrame, key: str, text: str, places: DataFrame, name: str
     most = known.agg(F.max(F.size(words))).first()[0]
     if most is None:
         return texts.select(key, F.lit(None).cast(places.schema[place].dataType).alias("place"), F.lit("").alias("name"), F.lit("").alias("how")).limit(0)
-    rows = texts.select(F.col(key).alias("_key"), *([F.col(country).alias("_of")] if country else []), F.filter(F.split(fold(text), " "), lambda w: w != "").alias("w"))
-    n = F.size("w")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(most), n))
-    grams = F.flatten(F.transform(F.when(n > 0, lengths), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(F.array_join(F.slice("w", i, k), " ").alias("gram"), i.alias("at"), k.alias("k")))))
-    runs = rows.select("_key", *(["_of"] if country else []), n.alias("n"), F.explode(grams).alias("g")).select("*", "g.gram", "g.at", "g.k").drop("g")
+    of = ["_of"] if country else []
+    rows = texts.select(F.col(key).alias("_key"), *([F.col(country).alias("_of")] if country else []), F.array_remove(F.split(fold(text), " "), "").alias("w"))
+    # each word with those behind it, as rows of a few words: no row carries its text; outer, as Spark else folds all texts once more for a filter before it
+    ahead = [f"w{i}" for i in range(most)]
+    rows = rows.select("_key", *of, F.size("w").alias("n"), F.arrays_zip(*(F.slice("w", F.lit(i + 1), F.size("w")) for i in range(most))).alias("z"))
+    rows = rows.select("_key", *of, "n", F.posexplode_outer("z").alias("at", "z")).select("_key", *of, "n", (F.col("at") + 1).alias("at"), *(F.col("z").getField(str(i)).alias(c) for i, c in enumerate(ahead)))
+    # runs are only made where a name begins with the word, and no longer than such a name
+    first = known.groupBy(F.get(words, F.lit(0)).alias("w0")).agg(F.max(F.size(words)).alias("longest"))
+    k = F.explode(F.sequence(F.lit(1), F.least("longest", F.col("n") - F.col("at") + 1))).alias("k")
+    runs = rows.join(first, "w0").select("_key", *of, "n", "at", F.concat_ws(" ", *ahead).alias("ahead"), k).withColumn("gram", F.call_function("substring_index", F.col("ahead"), F.lit(" "), F.col("k")))
     ends = F.col("at") + F.col("k") - 1 == F.col("n")
     hits = runs.where(ends | (F.length("gram") >= LEAST)).join(known, "gram")
     if country:

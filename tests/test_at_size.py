@@ -71,3 +71,10 @@ def test_candidates_carry_no_lists_of_keys(spark):
     pairs = P.candidates(rows)
     assert " ka#" not in plan(pairs)[0]
     assert sorted(map(tuple, pairs.collect())) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_runs_of_words_carry_no_texts(spark):
+    """Each run was a row with its whole text, and Spark folds a text again for each mention in a filter that it puts before an explode."""
+    text = plan(registry.QUERIES["e17_gazetteer_runs"](spark, FOLDER))[0]
+    documents = text.split("Join Inner")[2]
+    assert "posexplode" in documents and "slice" not in documents.split("posexplode")[0] and documents.split("Join")[0].split("Aggregate")[0].count("regexp_replace") == 1
