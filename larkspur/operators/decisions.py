@@ -41,14 +41,16 @@ def assigned_names(rows: DataFrame, key: str, order: list[str], names: list[Colu
 def combined(first: DataFrame, second: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
     """Records of two readers: where exactly one record of each agrees in `by`, one record with the first's fields and, for gaps, the second's; all others
     stay apart. Adds `seen`: first, second or both. Nulls in `by` agree with nothing."""
+    told = lambda df, name: df.select(*by, *fields, F.lit(name).alias("seen"))
     w = W.partitionBy(*by)
-    known = lambda df: df.withColumn("_n", F.count(F.lit(1)).over(w))
-    a, b = known(first), known(second)
-    pairs = a.where("_n = 1").alias("a").join(b.where("_n = 1").alias("b"), by)
-    both = pairs.select(*by, *(F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in fields), F.lit("both").alias("seen"))
-    met = both.select(*by)
-    rest = [df.select(*by, *fields, F.lit(name).alias("seen"), "_n").join(met.withColumn("_met", F.lit(True)), by, "left").where("_met is null or _n > 1").drop("_met", "_n") for df, name in ((a, "first"), (b, "second"))]
-    return both.unionByName(rest[0]).unionByName(rest[1])
+    of = lambda name, v: F.when(F.col("seen") == name, v)
+    # both readers' rows of a key meet in one shuffle, so each side is read once
+    rows = told(first, "first").unionByName(told(second, "second")).withColumns({"_a": F.count(of("first", F.lit(1))).over(w), "_b": F.count(of("second", F.lit(1))).over(w), "_other": F.first(of("second", F.struct(*fields)), ignorenulls=True).over(w)})
+    pair = (F.col("_a") == 1) & (F.col("_b") == 1)
+    for c in by:
+        pair = pair & F.col(c).isNotNull()
+    filled = [F.when(pair, F.coalesce(F.col(c), F.col("_other")[c])).otherwise(F.col(c)).alias(c) for c in fields]
+    return rows.where(~(pair & (F.col("seen") == "second"))).select(*by, *filled, F.when(pair, "both").otherwise(F.col("seen")).alias("seen"))
 
 
 def preferred(facts: DataFrame, by: list[str], value: str, official: str, specific: str, at: str, tie: str) -> DataFrame:

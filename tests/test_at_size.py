@@ -78,3 +78,14 @@ def test_runs_of_words_carry_no_texts(spark):
     text = plan(registry.QUERIES["e17_gazetteer_runs"](spark, FOLDER))[0]
     documents = text.split("Join Inner")[2]
     assert "posexplode" in documents and "slice" not in documents.split("posexplode")[0] and documents.split("Join")[0].split("Aggregate")[0].count("regexp_replace") == 1
+
+
+def test_two_readers_are_read_once(spark):
+    from larkspur.operators import decisions as O
+
+    text = plan(registry.QUERIES["e11_two_readers"](spark, FOLDER))[0]
+    assert text.count("Relation [") == 3 and text.count("Join") == 1
+    a = [(1, "x", None), (2, "x", 5), (2, "y", 6), (None, "n", None), (4, "q", 1)]
+    b = [(1, "z", 9), (2, "z", None), (None, "m", 3), (5, None, None), (5, None, 2)]
+    got = O.combined(*(spark.createDataFrame(r, "k int, s string, v int") for r in (a, b)), ["k"], ["s", "v"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "x", 9, "both"), *((*r, "first") for r in a[1:]), *((*r, "second") for r in b[1:])], key=str)
