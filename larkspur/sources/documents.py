@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,8 +94,12 @@ def calendar(events: DataFrame, key: str, name: str, start: str, end: str) -> Da
     return events.select(key, lines.alias("l"), summary.alias("s")).select(key, F.concat(F.array_join(F.concat(F.slice("l", 1, 2), F.array("s"), F.slice("l", 3, 3)), "\r\n"), F.lit("\r\n")).alias("ics"))
 
 
-@F.pandas_udf(T.StringType())
-def charset_text(raw: pd.Series, declared: pd.Series) -> pd.Series:
+#: Texts that are decoded as Python objects at a time.
+SLICE = 64
+
+
+@F.arrow_udf(T.StringType())
+def charset_text(raw: pa.Array, declared: pa.Array) -> pa.Array:
     """Bytes to text: valid UTF-8 wins over any label; then the label, if it is known; then Latin-1."""
 
     def one(b: bytes | None, label: str | None) -> str | None:
@@ -102,9 +107,11 @@ def charset_text(raw: pd.Series, declared: pd.Series) -> pd.Series:
             return None
         for name in ("utf-8", label, "latin-1"):
             try:
-                return bytes(b).decode(name)
+                return b.decode(name)
             except (UnicodeDecodeError, LookupError, TypeError):
                 continue
         return None
 
-    return pd.Series([one(b, x) for b, x in zip(raw, declared, strict=True)])
+    # a few texts at a time are Python objects, never a whole batch of them
+    parts = [pa.array([one(b, x) for b, x in zip(raw.slice(i, SLICE).to_pylist(), declared.slice(i, SLICE).to_pylist(), strict=True)], pa.string()) for i in range(0, len(raw), SLICE)]
+    return pa.concat_arrays(parts or [pa.array([], pa.string())])

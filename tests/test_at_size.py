@@ -89,3 +89,14 @@ def test_two_readers_are_read_once(spark):
     b = [(1, "z", 9), (2, "z", None), (None, "m", 3), (5, None, None), (5, None, 2)]
     got = O.combined(*(spark.createDataFrame(r, "k int, s string, v int") for r in (a, b)), ["k"], ["s", "v"]).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "x", 9, "both"), *((*r, "first") for r in a[1:]), *((*r, "second") for r in b[1:])], key=str)
+
+
+def test_bytes_become_texts_slice_by_slice():
+    """A whole batch was held as Python objects, bytes and texts both."""
+    import pyarrow as pa
+
+    from larkspur.sources import documents as D
+
+    raw = [("ü" * i).encode("latin-1" if i % 2 else "utf-8") for i in range(150)] + [None]
+    got = D.charset_text.func(pa.array(raw, pa.binary()), pa.array(["windows-1252"] * 100 + [None, "nonsense"] + ["latin-1"] * 49))
+    assert isinstance(got, pa.Array) and got.to_pylist() == ["ü" * i for i in range(150)] + [None]
