@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.functions.scratch import written
-
 from larkspur.operators import filters as P
-from larkspur.plans.entities import SCORED, parts, scored, scored_classes
+from larkspur.plans.entities import BLOCK, SCORED, TOLD, known, met, scored, two_scores
 from larkspur.plans.joins import KM, POINT, points
 from larkspur.plans.registry import Tables, query
 from larkspur.plans.texts import sql_fold
@@ -197,20 +194,12 @@ def e2_decision(t: Tables) -> DataFrame:
 
 @query(f"WITH s AS (SELECT a, b, score FROM ({SCORED}) WHERE score >= 20), m AS (SELECT a, max(score) AS m FROM s GROUP BY a) SELECT s.a, min(b) AS best FROM s JOIN m ON s.a = m.a AND score = m GROUP BY s.a HAVING count(*) = 1")
 def e3_unique_best_match(t: Tables) -> DataFrame:
-    """The best later part of each part's block, where there is one best. The last two parts that a class has at a score tell whether none, one or several come
-    after a part, so a part meets one row for each score of its class instead of all parts of its block."""
-    rows = parts(t)
-    pairs = written(scored_classes(rows).where("score >= 20").select("c", "d", "score"), "classes")
-    both = pairs.unionByName(pairs.where("c <> d").select(F.col("d").alias("c"), F.col("c").alias("d"), "score"))
-
-    def last_two(of: DataFrame, by: list[str], v: str) -> DataFrame:
-        return of.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(v)))).where("r <= 2").drop("r")
-
-    ends = last_two(both.join(last_two(rows.select(F.col("cls").alias("d"), "p_partkey"), ["d"], "p_partkey"), "d"), ["c", "score"], "p_partkey")
-    ends = ends.groupBy(F.col("c").alias("cls"), "score").agg(F.max("p_partkey").alias("m"), F.when(F.count(F.lit(1)) > 1, F.min("p_partkey")).alias("n"))
-    later = rows.select(F.col("p_partkey").alias("a"), "cls").join(ends, "cls").where("m > a")
-    top = later.groupBy("a").agg(F.max_by(F.struct("m", "n"), "score").alias("top"))
-    return top.where("top.n is null or top.n <= a").select("a", F.col("top.m").alias("best"))
+    """The best later part of each part's block, where there is one best. Later parts are counted by score where they meet a part, so that a part leaves one row for
+    each score, and no pair is dealt out."""
+    pairs = met(known(t.part.select("p_partkey", *BLOCK, *TOLD))).where("a < b").select(*BLOCK, "piece", "a", "b", two_scores()[0]).where("score >= 20")
+    ends = pairs.groupBy(*BLOCK, "piece", "a", "score").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+    top = ends.groupBy("a").agg(F.max_by(F.struct("n", "b"), "score").alias("top"))
+    return top.where("top.n = 1").select("a", F.col("top.b").alias("best"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS value, p_partkey % 3 = 0 AS first FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")

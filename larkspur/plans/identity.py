@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import date_after
-from larkspur.functions.scratch import ensure_checkpoints, written
 from larkspur.functions.text import fold
 from larkspur.operators import entities as E
-from larkspur.plans.entities import SCORED, parts, scored_classes
+from larkspur.plans.entities import SCORED, linked_classes, one_of_each, parts, two_scores
 from larkspur.plans.joins import POINT, points
 from larkspur.plans.registry import Tables, query
 from larkspur.plans.texts import sql_fold
@@ -113,12 +112,12 @@ def e16_location_merge(t: Tables) -> DataFrame:
 SELECT node, CASE WHEN node = component OR e.a IS NOT NULL THEN component ELSE node END AS component FROM c LEFT JOIN e ON e.a = component AND e.b = node""")
 def e5_rechecked_members(t: Tables) -> DataFrame:
     """Components whose members must match the keeper itself; those that only a chain ties to it are let go."""
-    ensure_checkpoints(t.spark)
     rows = parts(t)
-    links = written(scored_classes(rows).where("score >= 60").select("c", "d"), "links")
-    keeper = F.col("p_partkey") == F.col("component")  # the least part of a component is the first of its class, so links with its class are links with it
-    with_keeper = links.select(F.col("d").alias("cls"), F.col("c").alias("component"), F.lit(True).alias("ok"))
-    found = E.class_components(links, rows, "p_partkey").join(with_keeper, ["cls", "component"], "left")
+    ones = one_of_each(rows)
+    keeper = F.col("p_partkey") == F.col("component")  # the least part of a component is the first of its class, so a score with its class is one with it
+    side = lambda of, s, more: of.select(*more, *(F.col(c).alias(f"{s}_{c}") for c in ("p_type", "head", "p_retailprice", "to", "place")))
+    members = side(linked_classes(ones, rows).join(ones, "cls"), "x", ("cls", "component"))
+    found = members.join(side(ones, "y", (F.col("cls").alias("component"),)), "component").select("cls", "component", (two_scores()[0] >= 60).alias("ok"))
     return rows.join(found, "cls").select(F.col("p_partkey").alias("node"), F.when(F.col("ok") | keeper, F.col("component")).otherwise(F.col("p_partkey")).alias("component"))
 
 

@@ -44,3 +44,22 @@ def test_comparisons_do_not_grow_with_copies(spark):
 def test_copies_and_nulls(spark, folder, name):
     # DuckDB's share of words tells a null first name from a null second one, which ours does not
     agrees(spark, f"{folder}/named" if name.startswith("c7_") else folder, name)
+
+
+@pytest.mark.parametrize("name", "e1_pair_score e2_decision e4_gates_after_score e7_review_list".split())
+def test_no_pair_of_parts_is_dealt_out(spark, folder, name):
+    """Pairs of classes were dealt out with their names to find how alike these are, and again for each side's rows."""
+    text = registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    after = text.split("== Initial Plan ==")[-1].split("SortMergeJoin")
+    assert len(after) == (4 if name.startswith("e4_") else 2) and "Exchange" not in after[0]
+
+
+def test_names_are_compared_in_lists(spark):
+    value = lambda x, y: F.length(x["s"]) * 100 + F.length(y["s"])
+    few = [(i, i % 6, "a" * (1 + i % 4)) for i in range(30)] + [(30, 0, None)]
+    many = [(i, i % 6, "a" * (1 + i)) for i in range(30)] + [(30, 0, None)]
+    for rows, sizes in ((few, {4}), (many, {5})):
+        got = E.known_names(spark.createDataFrame(rows, "k long, b int, s string"), ["b"], "s", {"n": F.length("s")}, value).collect()
+        assert sorted((r["k"], r["b"], r["s"]) for r in got) == rows and {len(r["to"]) for r in got if r["s"]} == sizes
+        assert [(r["place"], r["to"]) for r in got if r["s"] is None] == [(None, None)]
+        assert all(x["to"][y["place"]] == len(x["s"]) * 100 + len(y["s"]) for x in got for y in got if x["s"] and y["s"] and x["b"] == y["b"])
