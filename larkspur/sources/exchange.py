@@ -43,7 +43,7 @@ def files_at(path: str):
 
 
 def to_text(v) -> str:
-    """A value as the formats write it; null is the empty field."""
+    """A value as the formats write it; null is the empty field, and so are empty texts in CSV (JSON tells them apart)."""
     if v is None:
         return ""
     if isinstance(v, bool):
@@ -141,12 +141,12 @@ class CsvReader(Reader):
 
 class JsonReader(Reader):
     def records(self, raw, path: str) -> Iterator[tuple]:
-        """One object per line between the brackets, as the writer leaves them."""
+        """One object per line between the brackets, as the writer leaves them. An empty text is a text, only null is none."""
         for line in io.TextIOWrapper(io.BufferedReader(raw), "utf-8"):
             line = line.strip().rstrip(",")
             if line not in ("[", "]", "[]", ""):
                 held = json.loads(line)
-                yield tuple(from_text(held.get(f.name), f.dataType) for f in self.columns)
+                yield tuple(v if isinstance(f.dataType, T.StringType) and isinstance(v, str) else from_text(v, f.dataType) for f in self.columns for v in (held.get(f.name),))
 
 
 class Pushed:

@@ -153,3 +153,22 @@ def test_batches_are_bounded_by_their_text(spark, formats, tmp_path, form):
     reader = {"larkspur_csv": exchange.CsvReader, "larkspur_json": exchange.JsonReader}[form](_parse_datatype_string(schema), {"path": str(tmp_path / "x")})
     batches = [b for part in reader.partitions() for b in reader.read(part)]
     assert sum(b.num_rows for b in batches) == 40 and max(b.num_rows for b in batches) <= 11
+
+
+def test_json_keeps_odd_texts(spark, tmp_path):
+    """An empty text came back as null."""
+    import duckdb
+
+    from larkspur.plans import registry
+
+    registry.load()
+    texts = ["", None, " ", "null", "\x00", "a\x85b\u2028c\x1cd\x0ce\r\nf\rg", "\ufeffx", "],", "}", "\\n\"", "e\u0301 \U0001f600", "0", "NaN"]
+    docs = [(i, x, lang, 0 if x is None else len(x)) for lang in ("en", "", None, "fr") for i, x in enumerate(texts, {"en": 0, "": 20, None: 40, "fr": 60}[lang])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(80).select(F.col("id").alias("o_orderkey"), F.lit("2026-05-01").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "orders"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    df = registry.QUERIES["s15_json_there_and_back"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({registry.ORACLES['s15_json_there_and_back']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want, key=lambda r: r[0]) and len(want) == len(texts)
