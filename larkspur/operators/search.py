@@ -1,8 +1,7 @@
 """Search of many queries over an inverted index that forgives typing errors.
 
 The index keeps each word once and, apart from it, which rows hold it. A query's words meet the index's words by equal keys only: by a
-gram of up to three letters for words that contain them, and by their deletion neighbourhood for misspelt ones (two words at edit distance k
-have a form in common after at most k letters are struck from each). Candidates are verified by the JVM's levenshtein, so no text is compared
+gram of up to three letters for words that contain them, and by a piece for misspelt ones (of k + 1 pieces of a word, one is left whole by k errors). Candidates are verified by the JVM's levenshtein, so no text is compared
 with a query word unless they share a key, and no row is read for a query whose words the index doesn't know.
 """
 
@@ -18,6 +17,8 @@ from larkspur.functions.text import fold
 
 #: Words from these lengths on may have one and two errors.
 ONE, TWO = 4, 8
+#: So many pieces of query words are read by the driver to leave out what none of them meets.
+FEW = 5000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -37,23 +38,27 @@ def indexed(rows: DataFrame, key: str, text: str) -> Index:
     return Index(words, words.select("word", F.explode(grams).alias("gram")), postings)
 
 
-def struck(c: Column, times: int) -> Column:
-    """What is left of a word when up to `times` letters are struck from it."""
-    out = F.array(c)
-    for _ in range(times):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))))))
-    return out
-
-
 def errors(length: Column) -> Column:
     """Errors that a query word of that length may have."""
     return F.when(length < ONE, 0).when(length < TWO, 1).otherwise(2)
 
 
-def _forms(words: DataFrame, word: str, size: str) -> DataFrame:
-    """word, form: for words (columns word and size, the length of the query words they are to meet), one row per struck form of the spelling `word`."""
-    few, many = words.where(F.col(size) < TWO), words.where(F.col(size) >= TWO)
-    return few.withColumn("form", F.explode(struck(F.col(word), 1))).unionByName(many.withColumn("form", F.explode(struck(F.col(word), 2))))
+def _pieces(word: Column, size: Column, shifts: int, most: int) -> Column:
+    """(piece, form): a query word of that length cut in most + 1 pieces, as they stand in a spelling up to `shifts` letters off their place. With at most `most`
+    errors one piece of the word is left whole, and moved by no more letters than there are errors."""
+    bound = lambda i: F.floor(size * i / (most + 1)).cast("int")
+    found = [
+        F.when((at >= 0) & (at + n <= F.length(word)), F.struct(F.lit(i).alias("piece"), F.substring(word, at + 1, n).alias("form")))
+        for i in range(most + 1) for shift in range(-shifts, shifts + 1) for at, n in [(bound(i) + shift, bound(i + 1) - bound(i))]
+    ]
+    return F.explode(F.filter(F.array(*found), lambda p: p.isNotNull()))
+
+
+def _forms(words: DataFrame, word: str, moved: bool) -> DataFrame:
+    """words (columns word and size, the length of the query words they are to meet) with piece and form: a few rows for each word, whatever its length."""
+    both = ((words.where(F.col("size") < TWO), 1), (words.where(F.col("size") >= TWO), 2))
+    few, many = (of.withColumn("p", _pieces(F.col(word), F.col("size"), most if moved else 0, most)) for of, most in both)
+    return few.unionByName(many).select(*words.columns, "p.piece", "p.form")
 
 
 def misspelt(tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def misspelt(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """
     asked = tokens.select("token", F.length("token").alias("size")).where(F.col("size") >= ONE)
     sizes = sorted(r[0] for r in asked.select("size").distinct().collect())
-    own = _forms(asked, "token", "size").select("token", "size", "form")
+    own = _forms(asked, "token", False)
     long = F.length("word")
     spellings = F.explode(F.array_distinct(F.concat(*(
         F.filter(F.array(
@@ -75,10 +80,15 @@ def misspelt(tokens: DataFrame, words: DataFrame) -> DataFrame:
         return tokens.select("token", F.lit("").alias("word"), F.lit(0).alias("d")).limit(0)
     spelt = words.select("word", spellings.alias("s")).select("word", "s.size", "s.spelt")
     # forms are made of distinct spellings: most words share their beginnings with others
-    kinds = _forms(spelt.select("size", "spelt").distinct(), "spelt", "size")
-    # both sides were multiplied, which the planner's size estimate leaves out: never broadcast them
-    met = own.join(kinds.hint("merge"), ["size", "form"]).select("token", "size", "spelt").distinct().withColumn("d", F.levenshtein("token", "spelt"))
-    near = met.where(F.col("d") <= errors(F.col("size")))
+    kinds = _forms(spelt.select("size", "spelt").distinct(), "spelt", True)
+    # where few pieces are asked for, the others are not dealt out
+    at = ["size", "piece", "form"]
+    wanted = [tuple(r) for r in own.select(*at).distinct().limit(FEW + 1).collect()]
+    if len(wanted) <= FEW:
+        kinds = kinds.where(F.concat_ws(" ", *at).isin([" ".join(map(str, w)) for w in wanted]))
+    # both sides were multiplied, which the planner's size estimate leaves out: never broadcast them; distances are told where they meet
+    met = own.join(kinds.hint("merge"), at).select("token", "size", "spelt").withColumn("d", F.levenshtein("token", "spelt", 2))
+    near = met.where((F.col("d") >= 0) & (F.col("d") <= errors(F.col("size")))).distinct()
     return near.join(spelt.hint("merge"), ["size", "spelt"]).groupBy("token", "word").agg(F.min("d").alias("d"))
 
 
@@ -102,7 +112,10 @@ def search(index: Index, queries: DataFrame, query_key: str, query: str, cut: fl
 
     def rows_for(of: DataFrame, known: DataFrame) -> DataFrame:
         """q, id, score: rows that hold a known word for each token of their query."""
-        best = of.join(known.hint("merge"), "token").join(index.postings.hint("merge"), "word").groupBy("q", "n", "token", "id").agg(F.min("d").alias("d"))
+        # only what holds a known word is dealt out
+        known = written(known, "known")
+        held = index.postings.join(known.select("word"), "word", "left_semi")
+        best = of.join(known.hint("merge"), "token").join(held.hint("merge"), "word").groupBy("q", "n", "token", "id").agg(F.min("d").alias("d"))
         share = F.lit(1.0) - F.least(F.col("d"), F.length("token")) / F.length("token")
         return best.groupBy("q", "n", "id").agg(F.count(F.lit(1)).alias("found"), F.avg(share).alias("score")).where("found = n").select("q", "id", "score")
 

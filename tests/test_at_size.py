@@ -100,3 +100,32 @@ def test_bytes_become_texts_slice_by_slice():
     raw = [("ü" * i).encode("latin-1" if i % 2 else "utf-8") for i in range(150)] + [None]
     got = D.charset_text.func(pa.array(raw, pa.binary()), pa.array(["windows-1252"] * 100 + [None, "nonsense"] + ["latin-1"] * 49))
     assert isinstance(got, pa.Array) and got.to_pylist() == ["ü" * i for i in range(150)] + [None]
+
+
+def test_misspelt_words_make_few_forms(spark):
+    """A word was a row for each way to strike one or two letters from it, which grows with the square of its length."""
+    from larkspur.operators import search as S
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    tokens = sorted({word(r.randint(3, 12)) for _ in range(60)})
+    words = {word(r.randint(1, 16)) for _ in range(300)} | {t[:i] + x + t[j:] + y for t in tokens for i, j, x, y in ((2, 3, "", ""), (4, 4, "ab", "c"), (1, 3, "", "bb"), (len(t), len(t), "c", ""))}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = []
+    for t in tokens:
+        k = 0 if len(t) < 4 else 1 if len(t) < 8 else 2
+        for w in words if k else ():
+            d = min(distance(t, w), distance(t, w[: len(t)]))
+            want += [(t, w, d)] if d <= k else []
+    frame = lambda c, values: spark.createDataFrame([(v,) for v in values], f"{c} string")
+    assert sorted(map(tuple, S.misspelt(frame("token", tokens), frame("word", sorted(words))).collect())) == sorted(want)
+    long = frame("spelt", ["abcdefghijklmnopqrstuvwxyz"]).withColumn("size", F.length("spelt"))
+    assert S._forms(long, "spelt", True).count() == 11
