@@ -8,6 +8,7 @@ with a query word unless they share a key, and no row is read for a query whose
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,22 +44,17 @@ def errors(length: Column) -> Column:
     return F.when(length < ONE, 0).when(length < TWO, 1).otherwise(2)
 
 
-def _pieces(word: Column, size: Column, shifts: int, most: int) -> Column:
-    """(piece, form): a query word of that length cut in most + 1 pieces, as they stand in a spelling up to `shifts` letters off their place. With at most `most`
-    errors one piece of the word is left whole, and moved by no more letters than there are errors."""
-    bound = lambda i: F.floor(size * i / (most + 1)).cast("int")
-    found = [
-        F.when((at >= 0) & (at + n <= F.length(word)), F.struct(F.lit(i).alias("piece"), F.substring(word, at + 1, n).alias("form")))
-        for i in range(most + 1) for shift in range(-shifts, shifts + 1) for at, n in [(bound(i) + shift, bound(i + 1) - bound(i))]
-    ]
-    return F.explode(F.filter(F.array(*found), lambda p: p.isNotNull()))
-
-
 def _forms(words: DataFrame, word: str, moved: bool) -> DataFrame:
-    """words (columns word and size, the length of the query words they are to meet) with piece and form: a few rows for each word, whatever its length."""
+    """words (columns word and size, the length of the query words they are to meet) with piece and form: a query word of that length is cut in one piece more than it
+    may have errors, as the pieces stand in a spelling at their place, or (moved) off it by as many letters. One piece is left whole by the errors, and moved by no
+    more letters than there are. A few rows for each word, whatever its length."""
+    def form(of: DataFrame, i: int, shift: int, most: int) -> DataFrame:
+        bound = lambda k: F.floor(F.col("size") * k / (most + 1)).cast("int")
+        at, end = bound(i) + shift, bound(i + 1) + shift
+        return of.where((at >= 0) & (end <= F.length(word))).select(*of.columns, F.lit(i).alias("piece"), F.substring(F.col(word), at + 1, end - at).alias("form"))
+
     both = ((words.where(F.col("size") < TWO), 1), (words.where(F.col("size") >= TWO), 2))
-    few, many = (of.withColumn("p", _pieces(F.col(word), F.col("size"), most if moved else 0, most)) for of, most in both)
-    return few.unionByName(many).select(*words.columns, "p.piece", "p.form")
+    return reduce(DataFrame.unionByName, (form(of, i, shift, most) for of, most in both for i in range(most + 1) for shift in (range(-most, most + 1) if moved else (0,))))
 
 
 def misspelt(tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -80,7 +76,7 @@ def misspelt(tokens: DataFrame, words: DataFrame) -> DataFrame:
         return tokens.select("token", F.lit("").alias("word"), F.lit(0).alias("d")).limit(0)
     spelt = words.select("word", spellings.alias("s")).select("word", "s.size", "s.spelt")
     # forms are made of distinct spellings: most words share their beginnings with others
-    kinds = _forms(spelt.select("size", "spelt").distinct(), "spelt", True)
+    kinds = _forms(written(spelt.select("size", "spelt").distinct(), "spelt"), "spelt", True)
     # where few pieces are asked for, the others are not dealt out
     at = ["size", "piece", "form"]
     wanted = [tuple(r) for r in own.select(*at).distinct().limit(FEW + 1).collect()]
